@@ -34,7 +34,7 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     Null ends and self-loops link nothing (a vertex with only self-loops is its own component).
     """
     kind = dict(edges.dtypes)[src]
-    ends = edges.select(F.col(src).alias("x"), F.col(dst).cast(kind).alias("y")).where("x is not null and y is not null")
+    ends = materialize(edges.select(F.col(src).alias("x"), F.col(dst).cast(kind).alias("y")).where("x is not null and y is not null").distinct(), "links")
     now = materialize(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
