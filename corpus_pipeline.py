@@ -5,16 +5,26 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import decontaminate, secret_scan, simhash
+from knotwork.llm import bpe, decontaminate, language_id, secret_scan, simhash
 from knotwork.llm.common import read
 from knotwork.session import materialize
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model rejects go: no letters, or too far from every language."""
+    keeps = language_id.identify(docs).where(~F.col("rejected")).select("doc_id").distinct()
+    return docs.select(*DOCUMENT).join(keeps, "doc_id", "left_semi")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest doc_id stays."""
     stays = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
@@ -33,10 +43,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secret_scan.redacted_documents(docs, DOCUMENT)
 
 
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens of every document left."""
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
 STAGES = [
+    ("language_id", identify_language),
     ("near_dedup", near_dedup),
     ("decontaminate", drop_contaminated),
     ("secret_scan", redact_secrets),
+    ("bpe", encode_tokens),
 ]
 
 #: SimHash components, learned language models and tokenization are not expressible in SQL; tests use brute force.
