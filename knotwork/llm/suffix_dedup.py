@@ -39,6 +39,7 @@ from .induced_sort import suffix_order
 WINDOW, GRAM = 100, 32
 NO_ID = -(1 << 63)
 BLOCK_BYTES = 1 << 20  # of text whose fragments are found at once
+SORT_BYTES = 4 << 20  # of fragments whose suffixes are sorted at once
 FOLD_ROWS = 1 << 20  # fragments that are folded at once
 POSITION_BITS = 24
 CUT, SHOWN = 1, 0  # kinds of rows
@@ -248,17 +249,34 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, parts: list[bytes], win
 
 
 def sort_shard(window: int, memory: int):
-    """mapInArrow body: a shard's fragments to ranges that go."""
+    """mapInArrow body: a shard's fragments, sorted by anchor, to ranges that go.
+
+    Only fragments of one anchor can hold equal windows, so the stream is sorted in pieces of about SORT_BYTES
+    that end between two anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, start, parts = [], [], []
+        doc: list[int] = []
+        start: list[int] = []
+        parts: list[bytes] = []
+        size, last = 0, None
+
+        def ranges() -> pa.RecordBatch:
+            d, a, b = repeated_windows(np.array(doc, np.int64), np.array(start, np.int64), parts, window, memory)
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b - a)], names=["doc_id", "start", "size"])
+
         for batch in batches:
-            doc.append(batch.column(1).to_numpy(zero_copy_only=False))
-            start.append(batch.column(2).to_numpy(zero_copy_only=False))
-            parts += batch.column(3).to_pylist()
+            for g, d, a, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if size >= SORT_BYTES and g != last:
+                    yield ranges()
+                    doc, start, parts, size = [], [], [], 0
+                doc.append(d)
+                start.append(a)
+                parts.append(t)
+                size += len(t)
+                last = g
         if parts:
-            d, a, b = repeated_windows(np.concatenate(doc), np.concatenate(start), parts, window, memory)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b - a)], names=["doc_id", "start", "size"])
+            yield ranges()
 
     return run
 
@@ -271,7 +289,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mem
     places = found.where(F.col("kind") == SHOWN).groupBy("doc_id").agg(F.collect_list(F.struct("g", "start", "size")).alias("places"))
     named = text.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     shown = named.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(cut_bytes, "g long, doc_id long, start long, bytes binary")
-    sorted_ = shown.repartition("g").select("g", "doc_id", "start", "bytes").mapInArrow(sort_shard(window, memory), "doc_id long, start long, size long")
+    sorted_ = shown.repartition("g").sortWithinPartitions("g").select("g", "doc_id", "start", "bytes").mapInArrow(sort_shard(window, memory), "doc_id long, start long, size long")
     return found.where(F.col("kind") == CUT).select("doc_id", "start", F.col("size").cast("long").alias("size")).unionByName(sorted_)
 
 
