@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, secret_scan, simhash, suffix_dedup, token_count, toxicity
+from . import bpe, chat_format, decontaminate, language_id, media, secret_scan, simhash, suffix_dedup, token_count, toxicity
 from .common import read
 
 
@@ -26,6 +26,11 @@ def op4_token_count(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32
     return token_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(model))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return media.fingerprint_vectors(vectors).withColumnRenamed("id", "vec_id")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -56,6 +61,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
     "op4_token_count": op4_token_count,
+    "op5_media": op5_media,
     "op6_chat_format": op6_chat_format,
     "op7_bpe": op7_bpe,
     "op8_suffix_dedup": op8_suffix_dedup,
