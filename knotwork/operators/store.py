@@ -26,7 +26,9 @@ _SCHEMAS = {
     "concept_aliases": "id long, concept_id long, alias_text string, alias_norm string, source string, confidence double, status string, approved_at timestamp, review_note string",
     "node_concept_links": "id long, node_id long, concept_id long, link_type string, score double, method string, created_at timestamp",
 }
-SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _SCHEMAS.items()}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+# Spark's own DDL parser needs a running session, and these are wanted at import.
+SCHEMAS: dict[str, T.StructType] = {name: T.StructType([T.StructField(c.split()[0], _TYPES[c.split()[1]]) for c in ddl.split(", ")]) for name, ddl in _SCHEMAS.items()}
 KEYS = {
     "documents": ("content_hash",),
     "triplets": ("document_id", "row_idx", "extraction_stage", "subject_text", "predicate_text", "object_text"),

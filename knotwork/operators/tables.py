@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.text import cell_text, is_marker, null_like, prefix_numeric, squash, strip_units
 
 HORIZONTAL_MARK = "1.7"
-MISSING = F.lit("")
 
 
 def repair_decimal_commas(cells: Column, width: Column) -> Column:
@@ -64,13 +63,13 @@ def horizontal_triplets(table: DataFrame) -> DataFrame:
     rows = clean_rows(table)
     names = rows.where("row_idx = 1").select("table_file", F.posexplode("cells").alias("col_idx", "subject"))
     values = rows.where("row_idx = 2").select("table_file", F.posexplode("cells").alias("col_idx", "predicate"))
-    return names.join(values, ["table_file", "col_idx"], "left").where("subject <> ''").select("table_file", F.lit(2).alias("row_idx"), "col_idx", "subject", F.coalesce("predicate", MISSING).alias("predicate"), F.lit("").alias("object"))
+    return names.join(values, ["table_file", "col_idx"], "left").where("subject <> ''").select("table_file", F.lit(2).alias("row_idx"), "col_idx", "subject", F.coalesce("predicate", F.lit("")).alias("predicate"), F.lit("").alias("object"))
 
 
 def vertical_triplets(table: DataFrame) -> DataFrame:
     """Name-value tables in two columns."""
     rows = clean_rows(table)
-    return rows.select("table_file", "row_idx", F.lit(1).alias("col_idx"), F.get("cells", F.lit(0)).alias("subject"), F.coalesce(F.get("cells", F.lit(1)), MISSING).alias("predicate"), F.lit("").alias("object")).where("subject <> ''")
+    return rows.select("table_file", "row_idx", F.lit(1).alias("col_idx"), F.get("cells", F.lit(0)).alias("subject"), F.coalesce(F.get("cells", F.lit(1)), F.lit("")).alias("predicate"), F.lit("").alias("object")).where("subject <> ''")
 
 
 def table_triplets(tables: DataFrame) -> DataFrame:
@@ -134,7 +133,7 @@ def comparison_triplets(table: DataFrame) -> DataFrame:
     joined = marked.groupBy("table_file", "run", "col_idx").agg(
         F.min_by("subject", "row_idx").alias("subject"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "value"))), lambda x: x["value"]), "").alias("predicate")
     )
-    named = joined.join(header, "table_file").select("table_file", F.col("run").alias("row_idx"), (F.col("col_idx") + 1).alias("col_idx"), "subject", "predicate", F.coalesce(F.get("header", F.col("col_idx") + 1), MISSING).alias("object"))
+    named = joined.join(header, "table_file").select("table_file", F.col("run").alias("row_idx"), (F.col("col_idx") + 1).alias("col_idx"), "subject", "predicate", F.coalesce(F.get("header", F.col("col_idx") + 1), F.lit("")).alias("object"))
     return named.where(~null_like(F.col("predicate")) & (F.col("subject") != ""))
 
 
@@ -164,18 +163,20 @@ def extract_triplets(tables: DataFrame, backend=None) -> DataFrame:
 
 
 def prompt_tables(table: DataFrame, separator: str = ";") -> DataFrame:
-    """A table as CSV text for a prompt: empty rows and columns out, line breaks and hyphenation removed."""
-    flat = table.select("table_file", "row_idx", F.posexplode("cells").alias("col_idx", "cell"))
-    kept = flat.groupBy("table_file", "col_idx").agg(F.bool_or(F.trim(F.coalesce("cell", F.lit(""))) != "").alias("full")).where("full").drop("full")
-    cells = flat.join(kept, ["table_file", "col_idx"], "left_semi").withColumn("cell", squash(F.coalesce("cell", F.lit(""))))
-    ordered = lambda keys, of: F.transform(F.array_sort(F.collect_list(F.struct(*keys, of))), lambda x: x[of])
-    lines = cells.groupBy("table_file", "row_idx").agg(F.array_join(ordered(["col_idx"], "cell"), separator).alias("line"))
-    full = lines.where(F.regexp_replace("line", separator, "") != "")
+    """A table as CSV text for a prompt: empty rows and columns out, line breaks and hyphenation removed.
+
+    A column is empty if it holds nothing below the header; a header that only counts from 0 is left out.
+    """
+    counting = F.transform(F.sequence(F.lit(0), F.greatest(F.size("cells") - 1, F.lit(0))), lambda i: i.cast("string"))
     first = Window.partitionBy("table_file").orderBy("row_idx")
-    numbered = full.withColumn("n", F.row_number().over(first))
-    technical = F.col("line") == F.array_join(F.transform(F.sequence(F.lit(0), F.size(F.split("line", separator)) - 1), lambda i: i.cast("string")), separator)
-    kept_lines = numbered.where(~((F.col("n") == 1) & technical)).withColumn("line", F.when(F.col("n") == 1, F.regexp_replace("line", "-\\s+", "")).otherwise(F.col("line")))
-    return kept_lines.groupBy("table_file").agg(F.array_join(ordered(["row_idx"], "line"), "\n").alias("prompt"))
+    numbered = table.withColumn("n", F.row_number().over(first)).where(~((F.col("n") == 1) & (F.transform("cells", lambda c: F.trim(c)) == counting)))
+    flat = numbered.select("table_file", "row_idx", "n", F.posexplode("cells").alias("col_idx", "cell")).withColumn("cell", squash(F.coalesce("cell", F.lit(""))))
+    kept = flat.groupBy("table_file", "col_idx").agg(F.bool_or((F.col("n") > 1) & (F.col("cell") != "")).alias("full")).where("full").drop("full")
+    cells = flat.join(kept, ["table_file", "col_idx"], "left_semi")
+    ordered = lambda key, of: F.transform(F.array_sort(F.collect_list(F.struct(key, of))), lambda x: x[of])
+    lines = cells.groupBy("table_file", "row_idx").agg(F.array_join(ordered("col_idx", "cell"), separator).alias("line")).where(F.replace("line", F.lit(separator), F.lit("")) != "")
+    shown = lines.withColumn("n", F.row_number().over(first)).withColumn("line", F.when(F.col("n") == 1, F.regexp_replace("line", "-\\s+", "")).otherwise(F.col("line")))
+    return shown.groupBy("table_file").agg(F.array_join(ordered("row_idx", "line"), "\n").alias("prompt"))
 
 
 def strip_triplet_units(triplets: DataFrame) -> DataFrame:
@@ -185,5 +186,5 @@ def strip_triplet_units(triplets: DataFrame) -> DataFrame:
 
 def as_frames(triplets: DataFrame) -> DataFrame:
     """Flat slots to ``{text, frame: []}`` structs."""
-    slot = lambda c: F.struct(F.coalesce(F.col(c), MISSING).alias("text"), F.array().cast("array<string>").alias("frame"))
+    slot = lambda c: F.struct(F.coalesce(F.col(c), F.lit("")).alias("text"), F.array().cast("array<string>").alias("frame"))
     return triplets.withColumns({c: slot(c) for c in ("subject", "predicate", "object")})
