@@ -28,10 +28,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same matches as [0-9a-f]+ with at least 24 characters
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "entropy")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
-    r"|[a-z]+(?:[-_/=+][A-Za-z]+)*[0-9]{0,4}"  # words joined by marks, a number after
+    r"|[a-z]+(?:[-_/+][A-Za-z]+)*[-_/+]?[0-9]{0,4}"  # words joined by marks, a number after
     r"|[0-9+/_=-]+"  # digits and marks only
     r"|(?i:.*(?:example|placeholder|your[-_]?key|xxxx|lorem).*)"
 )
@@ -59,14 +59,14 @@ def entropy_windows(s: str, width: int) -> Iterator[float]:
     counts: dict[str, int] = {}
     total = 0.0
     for i, ch in enumerate(s):
-        n = counts.get(ch, 0)
-        counts[ch] = n + 1
-        total += term[n + 1] - term[n]
         if i >= width:
             out = s[i - width]
             n = counts[out]
             counts[out] = n - 1
             total += term[n - 1] - term[n]
+        n = counts.get(ch, 0)
+        counts[ch] = n + 1
+        total += term[n + 1] - term[n]
         if i >= width - 1:
             yield math.log2(width) - total / width
 
