@@ -1,5 +1,9 @@
 """Recall of table triplets against a graph: equi-joins first, containment only for what they leave.
 
+Containment gets an equi-key too. If one string holds another, it holds all its n-grams, so it is enough to look
+up the rarest one: the value's rarest gram among the grams of all keys, and each key's rarest gram among the
+grams of all values. The pairs found that way are then checked in full.
+
 Match kinds in order: an equal triplet, an equal relation (an empty object matches any), containment either
 way in the triplet's texts and frame terms. The first match by (kind, index order) counts.
 """
@@ -43,10 +47,49 @@ def _contains(value: Column, keys: Column) -> Column:
     return F.when(value == "", F.array_contains(keys, "")).otherwise(F.exists(keys, lambda k: (k == value) | ((k != "") & (F.contains(k, value) | F.contains(value, k)))))
 
 
+def _grams(text: Column, low: int, high: int) -> Column:
+    """Distinct n-grams of a string, for n from ``low`` to ``high``."""
+    size = F.length(text)
+    of = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(of(n) for n in range(low, high + 1))))
+
+
+def _signature(text: Column) -> Column:
+    """The grams one of which is looked up: trigrams, or the whole of a shorter string."""
+    return F.when(F.length(text) >= 3, _grams(text, 3, 3)).otherwise(F.array(text))
+
+
+def _held(small: DataFrame, large: DataFrame, small_id: list[str], large_id: str) -> DataFrame:
+    """Candidate pairs of ids where a string of ``large`` may hold one of ``small``: (role, text, ids)."""
+    every = materialize(large.select(large_id, "role", F.explode(_grams(F.col("text"), 1, 3)).alias("gram")), "grams")
+    seen = every.groupBy("role", "gram").agg(F.count("*").alias("n"))
+    probes = small.where("text <> ''").select(*small_id, "role", "text", F.explode(_signature(F.col("text"))).alias("gram"))
+    # A gram that no text of the other side holds ends the search for its string.
+    rarest = probes.join(seen, ["role", "gram"], "left").groupBy(*small_id, "role", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r"))
+    return rarest.where("r.n > 0").select(*small_id, "role", F.col("r.gram").alias("gram")).join(every, ["role", "gram"]).select("row_key", "entry").distinct()
+
+
+def containment_candidates(rest: DataFrame, index: DataFrame) -> DataFrame:
+    """(row_key, entry): index entries that may match a triplet by containment; none that does is missed.
+
+    A triplet is looked up by its first slot that holds text; one without any meets the entries with empty keys.
+    """
+    first = F.coalesce(*(F.when(F.col(f"c_{r}") != "", F.struct(F.lit(r).alias("role"), F.col(f"c_{r}").alias("text"))) for r in ROLES))
+    asked = materialize(rest.select("row_key", first.alias("f")).where("f is not null").select("row_key", "f.role", "f.text"), "asked_slots")
+    keys = materialize(index.select("entry", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"f_{r}").alias("texts")) for r in ROLES))).alias("x")).select("entry", "x.role", F.explode("x.texts").alias("text")).where("text <> ''"), "keys")
+    roles = asked.select("role").distinct()
+    keys = keys.join(roles, "role", "left_semi")
+    value_in_key = _held(asked, keys, ["row_key"], "entry")
+    key_in_value = _held(keys, asked, ["entry"], "row_key")
+    blank = rest.where(" and ".join(f"c_{r} = ''" for r in ROLES)).select("row_key")
+    empty = index.where(F.array_contains("f_subject", "") & F.array_contains("f_predicate", "") & F.array_contains("f_object", "")).agg(F.min("entry").alias("entry")).where("entry is not null")
+    return value_in_key.unionByName(key_in_value).unionByName(blank.join(empty)).distinct()
+
+
 def evaluate(table: DataFrame, triplets: DataFrame, relations: DataFrame) -> DataFrame:
     """A row per table triplet (row_key, subject, predicate, object) with status, match type and match."""
     asked = materialize(table.select("row_key", *ROLES, *(canonical(F.col(r)).alias(f"c_{r}") for r in ROLES)), "asked")
-    index = materialize(triplet_index(triplets), "index")
+    index = materialize(triplet_index(triplets).withColumn("entry", F.monotonically_increasing_id()), "index")
     flat = index
     for r in ROLES:
         flat = flat.withColumn(f"c_{r}", F.explode(f"k_{r}"))
@@ -57,8 +100,9 @@ def evaluate(table: DataFrame, triplets: DataFrame, relations: DataFrame) -> Dat
     by_relation = left.where("c_subject <> '' and c_predicate <> ''").join(flat_rel, ["c_subject", "c_predicate"]).where((F.col("c_object") == "") | F.array_contains("k_object", F.col("c_object")))
     related = materialize(_first(by_relation, "direct_relation"), "related")
     rest = left.join(related, "row_key", "left_anti")
-    # Containment has no equi-key: the few triplets that nothing else matched meet the index.
-    held = rest.join(index, _contains(F.col("c_subject"), F.col("f_subject")) & _contains(F.col("c_predicate"), F.col("f_predicate")) & _contains(F.col("c_object"), F.col("f_object")))
+    rest = materialize(rest, "rest")
+    near = containment_candidates(rest, index).join(rest, "row_key").join(index, "entry")
+    held = near.where(_contains(F.col("c_subject"), F.col("f_subject")) & _contains(F.col("c_predicate"), F.col("f_predicate")) & _contains(F.col("c_object"), F.col("f_object")))
     framed = _first(held, "frame_fallback")
     matched = direct.unionByName(related).unionByName(framed)
     joined = table.select("row_key", *ROLES).join(matched, "row_key", "left")

@@ -1,6 +1,7 @@
 """Store, search, interchange, frames, evaluation, mining and grammar on literal rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,23 @@ def test_evaluation_kinds(spark):
     assert evaluate.recall(detail.where("false")).first().recall == 0.0
 
 
+def test_containment_candidates_equal_the_full_join(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab c") for _ in range(rng.randrange(0, 6)))
+    table = spark.createDataFrame([(i, word(), word(), word()) for i in range(60)], "row_key long, subject string, predicate string, object string")
+    stored = spark.createDataFrame([(100 + i, 1, word(), word(), word()) for i in range(40)], "id long, document_id long, subject_text string, predicate_text string, object_text string")
+    none = spark.createDataFrame([], "src string, src_name string, dst string, dst_name string, predicate string, predicate_norm string, triplet_id long, document_id long")
+    got = {r.row_key: r.matched_triplet_id for r in evaluate.evaluate(table, search.search_rows(stored), none).collect()}
+    clean = lambda t: " ".join(t.split())
+    fits = lambda v, k: v == k or bool(v and k and (v in k or k in v))
+    for t in table.collect():
+        slots = [clean(x) for x in (t.subject, t.predicate, t.object)]
+        rows = [(s.id, [clean(x) for x in (s.subject_text, s.predicate_text, s.object_text)]) for s in stored.collect()] if t.row_key == 0 else rows
+        same = [i for i, k in rows if k == slots]
+        near = [i for i, k in rows if all(fits(v, x) for v, x in zip(slots, k, strict=True))]
+        assert got[t.row_key] == (min(same) if same else min(near, default=None)), slots
+
+
 def test_candidate_pairs_lose_nothing(spark):
     rows = [("a", "a", ["p"], [], ["k"], 1, [1], [1.0, 0.0]), ("b", "b", [], ["p"], [], 2, [2], [1.0, 0.1]), ("c", "c", ["q"], [], ["k"], 1, [], [0.0, 1.0]), ("d", "d", [], [], [], 1, [], [0.0, 1.0])]
     c = spark.createDataFrame(rows, "norm string, name string, out_preds array<string>, in_preds array<string>, child_terms array<string>, occ_count long, document_ids array<long>, embedding array<double>")
