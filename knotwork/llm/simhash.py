@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
     linked = distinct.join(link_components(distinct, threshold), "fp")
     roots = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     of = linked.join(roots, "root").select("fp", "component_id")
-    every = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # Written out, so that both sides of the last join are shuffles, whose hot partitions Spark can split.
+    every = materialize(distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "classes")
     return fps.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
