@@ -12,6 +12,8 @@ in the same document. Equal windows have to meet in one shard, whole shards far
 3. Where one anchor has several different fragments, the first occurrence of each sends its bytes to the
    anchor's shard, which sorts all their suffixes by :mod:`induced_sort` with common-prefix values. Windows in
    one run of common prefixes of at least ``window`` bytes are equal; all but the first of them go.
+   An anchor with more than ``hot`` different fragments would be one task's work; its windows are told apart
+   one by one instead: each is folded like a fragment of its own, in a shard by its own hash.
 4. The ranges of a document meet its text again, are merged, and cut out.
 
 Nothing about a document is judged from what is left of another: all ranges come from the input.
@@ -43,6 +45,7 @@ SORT_BYTES = 4 << 20  # of fragments whose suffixes are sorted at once
 FOLD_ROWS = 1 << 20  # fragments that are folded at once
 POSITION_BITS = 24
 CUT, SHOWN = 1, 0  # kinds of rows
+HOT_FRAGMENTS = 100_000  # different fragments of one anchor (about 15 MB) that one task may sort
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -218,6 +221,35 @@ def cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(out, pa.binary())], names=names)
 
 
+def split_windows(window: int):
+    """mapInArrow body: bytes of hot anchors' fragments to their single windows, folded."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        g, f, doc, start = (np.concatenate([h[k] for h in held]) for k in range(4))
+        size = np.full(len(g), window, np.int64)
+        kept, later = fold(g, f, doc, start, size)
+        yield from rows_of(SHOWN, g[kept] ^ f[kept], g[kept], f[kept], doc[kept], start[kept], size[kept])
+        zero = np.zeros(len(later), np.int64)
+        yield from rows_of(CUT, f[later] ^ start[later], zero, zero, doc[later], start[later], size[later])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        held, n = [], 0
+        for batch in batches:
+            for g, d, a, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                count = len(t) - window + 1
+                f = np.array([digest(t[k : k + window]) for k in range(count)], np.uint64).view(np.int64)
+                held.append((np.full(count, g), f, np.full(count, d), np.arange(a, a + count)))
+                n += count
+                if n >= FOLD_ROWS:
+                    yield from flush(held)
+                    held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
 def repeated_windows(doc: np.ndarray, start: np.ndarray, parts: list[bytes], window: int, memory: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges (doc, start, end) of windows in these fragments that also start earlier in one of them."""
     size = np.array([len(p) for p in parts], np.int64)
@@ -281,16 +313,27 @@ def sort_shard(window: int, memory: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, memory: int = 1 << 22) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, memory: int = 1 << 22, hot: int = HOT_FRAGMENTS) -> DataFrame:
     """(doc_id, start, size): byte ranges that go; they may overlap. A null id is given as the least long."""
     text = texts(docs)
     found = text.mapInArrow(find_fragments(window, gram), ROW_DDL).repartition("shard").mapInArrow(judge_fragments, ROW_DDL)
     found = materialize(found, "fragments")
-    places = found.where(F.col("kind") == SHOWN).groupBy("doc_id").agg(F.collect_list(F.struct("g", "start", "size")).alias("places"))
+    shown = found.where(F.col("kind") == SHOWN)
+    places = shown.groupBy("doc_id").agg(F.collect_list(F.struct("g", "start", "size")).alias("places"))
     named = text.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    shown = named.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(cut_bytes, "g long, doc_id long, start long, bytes binary")
-    sorted_ = shown.repartition("g").sortWithinPartitions("g").select("g", "doc_id", "start", "bytes").mapInArrow(sort_shard(window, memory), "doc_id long, start long, size long")
-    return found.where(F.col("kind") == CUT).select("doc_id", "start", F.col("size").cast("long").alias("size")).unionByName(sorted_)
+    pieces = named.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(cut_bytes, "g long, doc_id long, start long, bytes binary")
+    hot_anchors = shown.groupBy("g").count().where(F.col("count") > hot).select("g")
+    split = None
+    if not hot_anchors.isEmpty():
+        pieces = materialize(pieces, "pieces")
+        apart = pieces.join(hot_anchors, "g", "left_semi").select("g", "doc_id", "start", "bytes")
+        split = apart.mapInArrow(split_windows(window), ROW_DDL).repartition("shard").mapInArrow(judge_fragments, ROW_DDL)
+        pieces = pieces.join(hot_anchors, "g", "left_anti")
+    whole = pieces.repartition("g").sortWithinPartitions("g").select("g", "doc_id", "start", "bytes").mapInArrow(sort_shard(window, memory), "doc_id long, start long, size long")
+    ranges = [x.where(F.col("kind") == CUT).select("doc_id", "start", F.col("size").cast("long").alias("size")) for x in (found, split) if x is not None]
+    for r in ranges:
+        whole = whole.unionByName(r)
+    return whole
 
 
 def cut_ranges(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -309,9 +352,9 @@ def cut_ranges(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), n
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_FRAGMENTS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    ranges = repeated_ranges(docs, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
+    ranges = repeated_ranges(docs, window, gram, hot=hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
     named = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 

@@ -22,9 +22,9 @@ def brute(texts, ids, window):
     return {k: sorted(v) for k, v in out.items()}
 
 
-def found(docs, window, gram):
+def found(docs, window, gram, hot=s.HOT_FRAGMENTS):
     out = {}
-    for r in s.dedup(docs, window, gram).collect():
+    for r in s.dedup(docs, window, gram, hot).collect():
         assert r.n_bytes - r.n_removed == len(r.kept)
         out.setdefault(r.doc_id, []).append(bytes(r.kept))
     return {k: sorted(v) for k, v in out.items()}
@@ -44,8 +44,8 @@ def test_suffix_order(memory):
             assert x <= y and n == same
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_against_brute_force(spark, docs_of, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 100), (1, 100), (2, 1), (3, 3)])
+def test_against_brute_force(spark, docs_of, seed, hot, monkeypatch):
     monkeypatch.setattr(s, "SORT_BYTES", 500)
     rng = random.Random(seed)
     shared = ["".join(rng.choice("abcdé") for _ in range(90)) for _ in range(5)]
@@ -55,7 +55,7 @@ def test_against_brute_force(spark, docs_of, seed, monkeypatch):
     texts += [texts[-1], "a" * 300, "a" * 150, "ab" * 200, "abc" * 90 + shared[0]]
     ids = list(range(len(texts)))
     rng.shuffle(ids)
-    assert found(docs_of(texts, ids), 40, 16) == brute(texts, ids, 40)
+    assert found(docs_of(texts, ids), 40, 16, hot) == brute(texts, ids, 40)
 
 
 def test_production_window_and_long_text(spark, docs_of):
