@@ -39,6 +39,7 @@ SEED = 42
 GOLAY = 0b110001110101
 BLOCK, CHECK_BITS, RADIUS = 23, 11, 3
 PAIRS_AT_ONCE = 1 << 22
+COPIES_AT_ONCE = 1 << 21
 QUADRATIC = 1 << 15
 
 
@@ -193,24 +194,41 @@ def links_in(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.nda
 
 
 def compare(threshold: int):
-    """mapInArrow body: a partition's copies, all of an anchor together, to links (a, b)."""
+    """mapInArrow body: copies sorted by anchor to links (a, b).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            anchors.append(batch.column(0).to_numpy(zero_copy_only=False))
-            fps.append(batch.column(1).to_numpy(zero_copy_only=False))
+    Works on pieces of COPIES_AT_ONCE rows or more that end between two anchors, so memory grows with one
+    anchor's copies, not with the partition.
+    """
+
+    def links(anchors: list[np.ndarray], fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         a, b = links_in(np.concatenate(anchors), np.concatenate(fps), threshold)
         for k in range(0, len(a), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 10_000]), pa.array(b[k : k + 10_000])], names=["src", "dst"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, fps, n = [], [], 0
+        for batch in batches:
+            anchor, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if n >= COPIES_AT_ONCE:
+                change = np.flatnonzero(anchor != anchors[-1][-1])
+                if len(change):
+                    k = int(change[0])
+                    yield from links([*anchors, anchor[:k]], [*fps, fp[:k]])
+                    anchors, fps, n, anchor, fp = [], [], 0, anchor[k:], fp[k:]
+            if len(anchor):
+                anchors.append(anchor)
+                fps.append(fp)
+                n += len(anchor)
+        if anchors:
+            yield from links(anchors, fps)
+
     return run
 
 
 def link_components(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     """(fp, root) of every fingerprint that links to another; ``distinct`` has one row per fingerprint."""
     copied = distinct.select("fp").mapInArrow(copies(threshold), "anchor long, fp long")
-    links = copied.repartition("anchor").mapInArrow(compare(threshold), "src long, dst long")
+    links = copied.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare(threshold), "src long, dst long")
     return star_components(links).withColumnsRenamed({"node": "fp", "component": "root"})
 
 

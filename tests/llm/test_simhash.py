@@ -70,6 +70,26 @@ def test_links_against_brute_force(monkeypatch, quadratic):
     assert label == components(fps)
 
 
+def test_pieces_end_between_anchors(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(s, "COPIES_AT_ONCE", 50)
+    rng = random.Random(8)
+    fps = [rng.getrandbits(63) for _ in range(30)]
+    fps = np.array(sorted({*fps, *(x ^ 1 for x in fps), *(x ^ 6 for x in fps)}), np.int64)
+    anchor, owner = s.anchors_of(fps, 2)
+    order = np.argsort(anchor, kind="stable")
+    whole = pa.RecordBatch.from_arrays([pa.array(anchor[order]), pa.array(fps[owner][order])], names=["anchor", "fp"])
+    pairs = set()
+    for batch in s.compare(2)(iter([whole.slice(k, 37) for k in range(0, whole.num_rows, 37)])):
+        pairs |= set(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    label = {int(x): int(x) for x in fps}
+    for _ in range(4):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(set(label.values())) == 30
+
+
 def test_documents(spark, docs_of):
     rng = random.Random(1)
     base = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(400)) for _ in range(6)]
