@@ -14,7 +14,8 @@ larger benchmarks take several blocks, each with its own index pass, whose hits
 
 Defined results: null and empty texts have no words and no hits; an item with fewer words than the window is
 one window, one without words none; equal windows of several items count for each; every document gives one
-row (repeated rows each give one); an empty benchmark leaves all clean; further columns are ignored.
+row (repeated rows each give one; where a large benchmark takes several blocks, rows of one id are merged); an
+empty benchmark leaves all clean; further columns are ignored.
 """
 
 from __future__ import annotations

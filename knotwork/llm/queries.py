@@ -69,7 +69,32 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[])"
+
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, a, a + 9), ' ') AS k
+          FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS a FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, a, n, array_to_string(list_slice(w, a, a + n - 1), ' ') AS k
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM w, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+        hit AS (SELECT doc_id, a, n, item FROM dw JOIN win USING (n, k)),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + n)) AS p FROM (SELECT DISTINCT doc_id, a, n FROM hit)) GROUP BY 1),
+        i AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS s FROM hit GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+    """,
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, a, md5(substr(h, 2 * a + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS a FROM d WHERE length(h) >= 200)),
+        r AS (SELECT doc_id, a FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, a) > 1),
+        b AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
+        g AS (SELECT b.doc_id, p, x, count(r.a) OVER (PARTITION BY b.doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 0 AS gone FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.a = b.p),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS first FROM g),
+        o AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), ''))) AS s FROM e GROUP BY 1)
+        SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(s, sha256('')) AS kept_sha256 FROM documents LEFT JOIN o USING (doc_id)
+    """,
     "op6_chat_format": """
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
