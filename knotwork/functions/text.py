@@ -126,6 +126,12 @@ def triplet_label(triplet_id: Column, subject: Column, predicate: Column, obj: C
     return F.concat(F.lit("#"), triplet_id.cast("string"), F.lit(": "), F.concat_ws(" | ", *(shorten(F.when(F.coalesce(x, F.lit("")) == "", "∅").otherwise(x), 40) for x in (subject, predicate, obj))))
 
 
+def concept_label(concept_id: Column, name: Column, norm: Column) -> Column:
+    """A concept as a list shows it: name, norm if it differs, number."""
+    shown = F.coalesce(F.nullif(name, F.lit("")), norm, F.lit(""))
+    return F.concat(shown, F.when(F.lower(shown) == F.coalesce(norm, F.lit("")), "").otherwise(F.concat(F.lit(" ("), F.coalesce(norm, F.lit("")), F.lit(")"))), F.lit(" [id="), concept_id.cast("string"), F.lit("]"))
+
+
 def identifier(text: Column, fallback: str) -> Column:
     """A name of letters, digits and ``_`` only: no ``_`` at the ends, no digit first, 120 characters at most."""
     t = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9A-Za-z_]", "_"), F.lit("_"))

@@ -15,6 +15,22 @@ from ..session import materialize
 NODE = "depth int, path string, parent_path string, ord int, text string, node variant"
 
 
+def role_frame(slot: Column) -> Column:
+    """Any VARIANT slot as JSON of ``{text, frame}``: objects keep their frame, everything else gets an empty one."""
+    frame = F.try_variant_get(slot, "$.frame", "variant")
+    is_list = F.coalesce(F.schema_of_variant(frame).startswith("ARRAY"), F.lit(False))
+    children = F.when(is_list, F.to_json(frame)).otherwise("[]")
+    return F.concat(F.lit('{"text":'), F.to_json(F.parse_json(F.concat(F.lit('"'), _quoted(slot_text(slot)), F.lit('"')))), F.lit(',"frame":'), children, F.lit("}"))
+
+
+def _quoted(text: Column) -> Column:
+    """The inside of a JSON string."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for plain, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return out
+
+
 def flatten(trees: DataFrame, keys: list[str], frame: str = "frame", max_depth: int = 200) -> DataFrame:
     """(keys, depth, path, parent_path, ord, text, norm, lemma, edge_label, is_root) in rows, a row per node.
 

@@ -34,6 +34,19 @@ def concept_contexts(relations: DataFrame, frames: DataFrame | None = None) -> D
     return base.join(seen, "norm", "left").withColumns({"child_terms": F.coalesce("child_terms", F.array().cast(EMPTY)), "occ_count": F.coalesce("occ_count", F.lit(0).cast("long"))})
 
 
+def entity_contexts(relations: DataFrame) -> DataFrame:
+    """(norm, name, out_preds, in_preds, out_neighbors, in_neighbors, preds, neighbors) from the same relations.
+
+    Both ends of a relation are aggregated at once; empty predicates and names are left out.
+    """
+    side = lambda me, my_name, other, out: F.struct(
+        F.col(me).alias("norm"), F.col(my_name).alias("name"), F.col("predicate").alias("p"), F.col(other).alias("n"), F.lit(out).alias("out"))
+    ends = relations.select(F.explode(F.array(side("src", "src_name", "dst_name", True), side("dst", "dst_name", "src_name", False))).alias("e")).select("e.*")
+    named = lambda c, out: F.array_sort(F.collect_set(F.when(F.col("out") if out else ~F.col("out"), F.nullif(F.col(c), F.lit("")))))
+    g = ends.groupBy("norm").agg(F.min("name").alias("name"), named("p", True).alias("out_preds"), named("p", False).alias("in_preds"), named("n", True).alias("out_neighbors"), named("n", False).alias("in_neighbors"))
+    return g.withColumns({"preds": F.array_sort(F.array_union("out_preds", "in_preds")), "neighbors": F.array_sort(F.array_union("out_neighbors", "in_neighbors"))})
+
+
 def attach_metadata(contexts: DataFrame, members: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds component_id, document_ids and document_count by norm."""
     joined = contexts.join(members.select(F.col("node").alias("norm"), F.col("component").alias("component_id")), "norm", "left").join(documents.select(F.col("node").alias("norm"), "document_ids"), "norm", "left")
@@ -146,6 +159,12 @@ def entity_clusters(entities: DataFrame, least_combined: float = 0.45, least_str
     return rows.select(F.col("norm").alias("child_norm"), F.col("name").alias("child_name"), "root_norm", "root_name", "cluster_size", "cluster_score", "shared_examples").orderBy(F.desc("cluster_score"), F.desc("cluster_size"), "root_name", "child_name").limit(limit)
 
 
+def clusters_by_root(rows: DataFrame) -> DataFrame:
+    """Cluster rows (a row per child) to one row per root: largest score and size, the children in order."""
+    children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child_name"))), lambda x: x["child_name"]), ", ")
+    return rows.groupBy("root_norm", "root_name").agg(F.max("cluster_score").alias("cluster_score"), F.max("cluster_size").alias("cluster_size"), F.count("*").alias("children_count"), children.alias("children"))
+
+
 def alias_candidates(vertices: DataFrame, least_support: int = 1, least_cosine: float = 0.82, limit: int = 1000) -> DataFrame:
     """Pairs of similar vertices, the canonical spelling first.
 

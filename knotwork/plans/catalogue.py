@@ -532,6 +532,14 @@ def relation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("norm", join("out_preds").alias("out_preds"), join("in_preds").alias("in_preds"))
 
 
+@query(f"""WITH {MATRIX}, r AS (SELECT lower(subject) AS src, subject AS src_name, lower(object) AS dst, object AS dst_name, predicate AS p FROM matrix)
+    SELECT norm, string_agg(DISTINCT p, ',' ORDER BY p) AS preds, string_agg(DISTINCT n, ',' ORDER BY n) AS neighbors
+    FROM (SELECT src AS norm, p, dst_name AS n FROM r UNION ALL SELECT dst, p, src_name FROM r) GROUP BY 1""")
+def entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mining.entity_contexts(store.relation_edges(store_triplets(spark, sf_dir)))
+    return found.select("norm", F.array_join("preds", ",").alias("preds"), F.array_join("neighbors", ",").alias("neighbors"))
+
+
 @query(f"""WITH {CONTEXTS}
     SELECT norm, 'concept: ' || name || chr(10) || 'outgoing predicates: ' || array_to_string(list_sort(preds_out), ', ') || chr(10) || 'incoming predicates: ' || coalesce(nullif(array_to_string(list_sort(preds_in), ', '), ''), 'none')
       || chr(10) || 'frame children: ' || coalesce(nullif(array_to_string(list_sort(child_terms), ', '), ''), 'none') || chr(10) || 'occurrence count: ' || occ_count AS described FROM contexts""")
@@ -574,6 +582,14 @@ def legacy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.star_components(pairs, "l_norm", "r_norm")
 
 
+@query("""WITH p AS (SELECT DISTINCT p_name, string_split(p_name, ' ')[2] AS root FROM part)
+    SELECT root AS root_norm, count(*) AS children_count, string_agg(p_name, ', ' ORDER BY p_name) AS children FROM p GROUP BY 1""")
+def clusters_by_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = load(spark, sf_dir, "part").select(F.col("p_name").alias("child_name"), F.get(F.split("p_name", " "), F.lit(1)).alias("root_norm")).distinct()
+    rows = names.select("root_norm", F.col("root_norm").alias("root_name"), F.lit(0.5).alias("cluster_score"), F.lit(2).alias("cluster_size"), "child_name")
+    return mining.clusters_by_root(rows).select("root_norm", "children_count", "children")
+
+
 @query("""WITH p AS (SELECT DISTINCT p_name, string_split(p_name, ' ')[2] AS component FROM part) SELECT component, component AS root_name FROM p GROUP BY 1 HAVING count(*) > 1""")
 def cluster_root_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = load(spark, sf_dir, "part").select(F.col("p_name").alias("norm"), F.col("p_name").alias("name"), F.get(F.split("p_name", " "), F.lit(1)).alias("component")).distinct()
