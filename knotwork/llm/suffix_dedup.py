@@ -41,8 +41,8 @@ from .induced_sort import suffix_order
 WINDOW, GRAM = 100, 32
 NO_ID = -(1 << 63)
 BLOCK_BYTES = 1 << 20  # of text whose fragments are found at once
-SORT_BYTES = 4 << 20  # of fragments whose suffixes are sorted at once
-FOLD_ROWS = 1 << 20  # fragments that are folded at once
+SORT_BYTES = 2 << 20  # of fragments whose suffixes are sorted at once
+FOLD_ROWS = 1 << 19  # fragments that are folded at once
 POSITION_BITS = 24
 CUT, SHOWN = 1, 0  # kinds of rows
 HOT_FRAGMENTS = 100_000  # different fragments of one anchor (about 15 MB) that one task may sort
@@ -182,25 +182,43 @@ def find_fragments(window: int, gram: int):
 
 
 def judge_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body: a shard's rows to ranges that go, and to fragments whose anchor has several texts."""
-    held = []
+    """mapInArrow body: a shard's rows, sorted by shard, to ranges that go, and to fragments whose anchor has several texts.
+
+    Works on pieces of FOLD_ROWS rows or more that end between two anchors, so memory does not grow with the shard.
+    """
+
+    def judged(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        g, f, doc, start, size = (np.concatenate([h[k] for h in held]) for k in range(5))
+        kept, later = fold(g, f, doc, start, size)
+        zero = np.zeros(len(later), np.int64)
+        yield from rows_of(CUT, zero, zero, zero, doc[later], start[later], size[later])
+        new = first_of_groups(g[kept])
+        group = np.cumsum(new) - 1
+        kept = kept[(np.bincount(group, minlength=1)[group] > 1)] if len(kept) else kept
+        yield from rows_of(SHOWN, g[kept], g[kept], f[kept], doc[kept], start[kept], size[kept])
+
+    held: list[list[np.ndarray]] = []
+    n = 0
     for batch in batches:
         kind = batch.column(1).to_numpy(zero_copy_only=False)
         cut = batch.filter(pa.array(kind == CUT))
         if cut.num_rows:
             yield cut
-        rest = batch.filter(pa.array(kind == SHOWN))
-        held.append([rest.column(k).to_numpy(zero_copy_only=False) for k in range(2, 7)])
-    if not held:
-        return
-    g, f, doc, start, size = (np.concatenate([h[k] for h in held]) for k in range(5))
-    kept, later = fold(g, f, doc, start, size)
-    zero = np.zeros(len(later), np.int64)
-    yield from rows_of(CUT, zero, zero, zero, doc[later], start[later], size[later])
-    new = first_of_groups(g[kept])
-    group = np.cumsum(new) - 1
-    kept = kept[(np.bincount(group, minlength=1)[group] > 1)] if len(kept) else kept
-    yield from rows_of(SHOWN, g[kept], g[kept], f[kept], doc[kept], start[kept], size[kept])
+        shown = kind == SHOWN
+        rows = [batch.column(k).to_numpy(zero_copy_only=False)[shown] for k in range(2, 7)]
+        if n >= FOLD_ROWS and len(rows[0]):
+            # Rows of the anchor that was read last may go on; what follows the next change is a new piece.
+            last = held[-1][0][-1]
+            change = np.flatnonzero(rows[0] != last)
+            if len(change):
+                k = int(change[0])
+                yield from judged([*held, [r[:k] for r in rows]])
+                held, n, rows = [], 0, [r[k:] for r in rows]
+        if len(rows[0]):
+            held.append(rows)
+            n += len(rows[0])
+    if held:
+        yield from judged(held)
 
 
 def cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +334,7 @@ def sort_shard(window: int, memory: int):
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, memory: int = 1 << 22, hot: int = HOT_FRAGMENTS) -> DataFrame:
     """(doc_id, start, size): byte ranges that go; they may overlap. A null id is given as the least long."""
     text = texts(docs)
-    found = text.mapInArrow(find_fragments(window, gram), ROW_DDL).repartition("shard").mapInArrow(judge_fragments, ROW_DDL)
+    found = text.mapInArrow(find_fragments(window, gram), ROW_DDL).repartition("shard").sortWithinPartitions("shard", "g").mapInArrow(judge_fragments, ROW_DDL)
     found = materialize(found, "fragments")
     shown = found.where(F.col("kind") == SHOWN)
     places = shown.groupBy("doc_id").agg(F.collect_list(F.struct("g", "start", "size")).alias("places"))
@@ -327,7 +345,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mem
     if not hot_anchors.isEmpty():
         pieces = materialize(pieces, "pieces")
         apart = pieces.join(hot_anchors, "g", "left_semi").select("g", "doc_id", "start", "bytes")
-        split = apart.mapInArrow(split_windows(window), ROW_DDL).repartition("shard").mapInArrow(judge_fragments, ROW_DDL)
+        split = apart.mapInArrow(split_windows(window), ROW_DDL).repartition("shard").sortWithinPartitions("shard", "g").mapInArrow(judge_fragments, ROW_DDL)
         pieces = pieces.join(hot_anchors, "g", "left_anti")
     whole = pieces.repartition("g").sortWithinPartitions("g").select("g", "doc_id", "start", "bytes").mapInArrow(sort_shard(window, memory), "doc_id long, start long, size long")
     ranges = [x.where(F.col("kind") == CUT).select("doc_id", "start", F.col("size").cast("long").alias("size")) for x in (found, split) if x is not None]

@@ -47,6 +47,7 @@ def test_suffix_order(memory):
 @pytest.mark.parametrize(("seed", "hot"), [(0, 100), (1, 100), (2, 1), (3, 3)])
 def test_against_brute_force(spark, docs_of, seed, hot, monkeypatch):
     monkeypatch.setattr(s, "SORT_BYTES", 500)
+    monkeypatch.setattr(s, "FOLD_ROWS", 20)
     rng = random.Random(seed)
     shared = ["".join(rng.choice("abcdé") for _ in range(90)) for _ in range(5)]
     texts = [None, "", "short"]
