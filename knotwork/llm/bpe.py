@@ -29,7 +29,7 @@ SPACES = r" \t\n\v\f\r\x85\xa0"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
 LATIN_WORDS = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -70,19 +70,20 @@ class BpeCodec:
         for t, i in [*vocab.items(), *self.added.items()]:
             self.labels[i] = t
         self.names = [str(i) for i in range(size)]
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.ids = list(range(size))  # one object for each id
 
     def spell(self, token: str) -> list[int]:
         last = token.endswith(self.suffix)
         letters = [self.of_letter[c] for c in (token[: -len(self.suffix)] if last else token)]
         return [*letters[:-1], 256 + letters[-1]] if last and letters else letters
 
-    def word(self, word: str, letters: bytes | None = None) -> list[int]:
+    def word(self, word: str, letters: bytes | None = None) -> tuple[int, ...]:
         known = self.words.get(word)
         if known is None:
             symbols = list(word.encode() if letters is None else letters)
             symbols[-1] += 256
-            known = self.automaton.encode(symbols, self.length)
+            known = tuple([self.ids[i] for i in self.automaton.encode(symbols, self.length)])
             if len(self.words) >= MAX_WORDS:
                 self.words.clear()
             self.words[word] = known

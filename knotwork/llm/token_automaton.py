@@ -20,39 +20,49 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 NONE, UNKNOWN = -1, -2
+BIAS = 1 << 15
+
+
+def pack(node: int, before: int, count: int) -> int:
+    """An entry of a state as one number, which keeps the table small."""
+    return node << 38 | (before + 2) << 16 | (count + BIAS)
+
+
+def unpack(entry: int) -> tuple[int, int, int]:
+    return entry >> 38, (entry >> 16 & 0x3FFFFF) - 2, (entry & 0xFFFF) - BIAS
 
 
 class MergeAutomaton:
     """Tokens are numbered by the caller; ``base`` maps base symbols (small ints) to their tokens."""
 
-    def __init__(self, base: dict[int, int], merges: Iterable[list[tuple[int, int, int]]], spelling: dict[int, list[int]], max_states: int = 400_000):
+    def __init__(self, base: dict[int, int], merges: Iterable[list[tuple[int, int, int]]], spelling: dict[int, list[int]], max_states: int = 150_000):
         """``merges``: by rank, all (left, right, product) of that rank. ``spelling``: a token's base symbols."""
         self.made: dict[int, int] = {t: -1 for t in base.values()}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        self.merged: dict[int, int] = {}
         for rank, group in enumerate(merges):
             usable = [(u, v, w) for u, v, w in group if u in self.made and v in self.made]
             fresh = [(u, v, w) for u, v, w in usable if w not in self.made and self.arc(u, v, rank)]
             for u, v, _ in usable:
-                self.merged.setdefault((u, v), rank)
+                self.merged.setdefault(u << 21 | v, rank)
             for u, v, w in fresh:
                 if w not in self.made:
                     self.made[w], self.left[w], self.right[w] = rank, u, v
-        self.trie: dict[tuple[int, int], int] = {}
+        self.trie: dict[int, int] = {}
         self.token_at: list[int] = [NONE]
         self.inner: set[int] = set()
         for token in self.made:
             node = 0
             for symbol in spelling[token]:
-                child = self.trie.get((node, symbol))
+                child = self.trie.get(node << 21 | symbol)
                 if child is None:
-                    child = self.trie[node, symbol] = len(self.token_at)
+                    child = self.trie[node << 21 | symbol] = len(self.token_at)
                     self.token_at.append(NONE)
                     self.inner.add(node)
                 node = child
             self.token_at[node] = token
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         self.max_states = max_states
         self.reset()
 
@@ -60,7 +70,7 @@ class MergeAutomaton:
         """Whether token ``b`` has an arc after token ``a`` once all merges before ``time`` are applied."""
         made, merged = self.made, self.merged
         while True:
-            rank = merged.get((a, b))
+            rank = merged.get(a << 21 | b)
             if rank is not None and rank < time:
                 return False
             ta, tb = made[a], made[b]
@@ -76,26 +86,28 @@ class MergeAutomaton:
     def accepts(self, a: int, b: int) -> bool:
         if a < 0:
             return True
-        known = self.table.get((a, b))
+        key = a << 21 | b
+        known = self.table.get(key)
         if known is None:
-            if len(self.table) > 4 * self.max_states:
+            if len(self.table) > 2 * self.max_states:
                 self.table.clear()
-            known = self.table[a, b] = self.arc(a, b)
+            known = self.table[key] = self.arc(a, b)
         return known
 
     def reset(self) -> None:
         """Drop the determinized table; state 0 is the start."""
-        self.entries: list[tuple[tuple[int, int, int], ...]] = [((0, NONE, 0),)]
+        self.entries: list[tuple[int, ...]] = [(pack(0, NONE, 0),)]
         self.last: list[int] = [NONE]
-        self.number: dict[tuple[tuple[int, int, int], ...], int] = {self.entries[0]: 0}
-        self.next: list[dict[int, tuple[int, int]]] = [{}]
+        self.number: dict[tuple[int, ...], int] = {self.entries[0]: 0}
+        self.next: dict[int, int] = {}
 
-    def step(self, state: int, symbol: int, unknown_width: int = 1) -> tuple[int, int]:
-        """(state, change in the number of tokens) after one more symbol; fills the table."""
+    def step(self, state: int, symbol: int, unknown_width: int = 1) -> int:
+        """The move on one more symbol, ``next state << 16 | change in the number of tokens + BIAS``; fills the table."""
         live: list[tuple[int, int, int]] = []
         last, change = NONE, 0
-        for node, before, count in self.entries[state]:
-            child = self.trie.get((node, symbol))
+        for entry in self.entries[state]:
+            node, before, count = unpack(entry)
+            child = self.trie.get(node << 21 | symbol)
             if child is None:
                 continue
             if child in self.inner:
@@ -105,15 +117,14 @@ class MergeAutomaton:
                 last, change = token, count + 1
         if last < 0:  # a symbol that no token holds
             last, change, live = UNKNOWN, unknown_width, []
-        key = (*sorted((n, b, c - change) for n, b, c in live), (0, last, 0))
+        key = (*sorted(pack(n, b, c - change) for n, b, c in live), pack(0, last, 0))
         at = self.number.get(key)
         if at is None:
             at = self.number[key] = len(self.entries)
             self.entries.append(key)
             self.last.append(last)
-            self.next.append({})
-        self.next[state][symbol] = at, change
-        return at, change
+        move = self.next[state << 21 | symbol] = at << 16 | (change + BIAS)
+        return move
 
     def full(self) -> bool:
         return len(self.entries) >= self.max_states
@@ -123,10 +134,11 @@ class MergeAutomaton:
         if self.full():
             self.reset()
         state, lasts = 0, []
+        moves, last = self.next, self.last
         for s in symbols:
-            move = self.next[state].get(s) or self.step(state, s)
-            state = move[0]
-            lasts.append(self.last[state])
+            move = moves.get(state << 21 | s)
+            state = (self.step(state, s) if move is None else move) >> 16
+            lasts.append(last[state])
         out, at = [], len(symbols)
         while at:
             token = lasts[at - 1]

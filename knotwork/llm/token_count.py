@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import per_text, texts
-from .token_automaton import MergeAutomaton
+from .token_automaton import BIAS, MergeAutomaton
 
 MARK = "▁"
 CHUNK = 1 << 16
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class CountingTransducer:
                 last = score
             groups[-1] += [(pieces[p[:k]], pieces[p[k:]], pieces[p]) for k in range(1, len(p)) if p[:k] in pieces and p[k:] in pieces]
         spelling = {pieces[p]: [ord(c) for c in p] for p in words}
-        self.automaton = MergeAutomaton({ord(p): pieces[p] for p in words if len(p) == 1}, groups, spelling)
+        self.automaton = MergeAutomaton({ord(p): pieces[p] for p in words if len(p) == 1}, groups, spelling, max_states=200_000)
         self.mark = pieces[MARK]
         self.words: dict[str, int] = {}
         self.bare: dict[str, bool] = {}
@@ -76,11 +76,14 @@ class CountingTransducer:
             a = self.automaton
             if a.full():
                 a.reset()
-            state, known = a.next[0].get(0x2581) or a.step(0, 0x2581)
-            for c in map(ord, word):
-                move = a.next[state].get(c) or a.step(state, c, 1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4)
-                state = move[0]
-                known += move[1]
+            state = known = 0
+            moves = a.next
+            for c in (0x2581, *map(ord, word)):
+                move = moves.get(state << 21 | c)
+                if move is None:
+                    move = a.step(state, c, 1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4)
+                state = move >> 16
+                known += (move & 0xFFFF) - BIAS
             if len(self.words) >= MAX_WORDS:
                 self.words.clear()
             self.words[word] = known
@@ -96,7 +99,8 @@ class CountingTransducer:
             symbols = [0x2581, *map(ord, word)]
             state, lasts = 0, []
             for s in symbols:
-                state = (a.next[state].get(s) or a.step(state, s, 1 if s < 0x80 else 2 if s < 0x800 else 3 if s < 0x10000 else 4))[0]
+                move = a.next.get(state << 21 | s)
+                state = (a.step(state, s) if move is None else move) >> 16
                 lasts.append(a.last[state])
             at = len(symbols)
             while at > 1:
@@ -113,8 +117,8 @@ class CountingTransducer:
             self.spelled = {}
             stack = [(0, [])]
             children: dict[int, list[tuple[int, int]]] = {}
-            for (node, symbol), child in a.trie.items():
-                children.setdefault(node, []).append((symbol, child))
+            for edge, child in a.trie.items():
+                children.setdefault(edge >> 21, []).append((edge & 0x1FFFFF, child))
             while stack:
                 node, path = stack.pop()
                 if a.token_at[node] >= 0:
