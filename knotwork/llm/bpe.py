@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ SPACES = r" \t\n\v\f\r\x85\xa0"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
 LATIN_WORDS = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
-MAX_WORDS = 100_000
+MAX_WORDS = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -71,8 +72,15 @@ class BpeCodec:
             self.labels[i] = t
         self.names = [str(i) for i in range(size)]
         self.words: dict[str, tuple[int, ...]] = {}
+        self.max_words = MAX_WORDS
         self.ids = list(range(size))  # one object for each id
 
+    def release(self) -> None:
+        """Empty the tables that grow with texts."""
+        self.words.clear()
+        self.automaton.table.clear()
+        self.automaton.reset()
+
     def spell(self, token: str) -> list[int]:
         last = token.endswith(self.suffix)
         letters = [self.of_letter[c] for c in (token[: -len(self.suffix)] if last else token)]
@@ -84,7 +92,7 @@ class BpeCodec:
             symbols = list(word.encode() if letters is None else letters)
             symbols[-1] += 256
             known = tuple([self.ids[i] for i in self.automaton.encode(symbols, self.length)])
-            if len(self.words) >= MAX_WORDS:
+            if len(self.words) >= self.max_words:
                 self.words.clear()
             self.words[word] = known
         return known
@@ -143,11 +151,23 @@ def codec(tokenizer_file: str) -> BpeCodec:
     return BpeCodec(tokenizer_file)
 
 
-def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """doc_id and ids (array of int)."""
+def encode(docs: DataFrame, tokenizer_file: str, max_states: int = 300_000, max_words: int = MAX_WORDS, keep_tables: bool = True) -> DataFrame:
+    """doc_id and ids (array of int).
+
+    ``max_states`` and ``max_words`` bound the tables of a worker; with ``keep_tables`` False a task empties them
+    when it ends, which leaves their memory to whatever the worker does next.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     one = lambda text: (codec(tokenizer_file).encode(text.decode()) if text else [],)
-    return texts(docs).mapInArrow(per_text(one, schema, 128), "doc_id long, ids array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = codec(tokenizer_file)
+        tables.max_words, tables.automaton.max_states = max_words, max_states
+        yield from per_text(one, schema, 128)(batches)
+        if not keep_tables:
+            tables.release()
+
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:

@@ -35,7 +35,7 @@ def unpack(entry: int) -> tuple[int, int, int]:
 class MergeAutomaton:
     """Tokens are numbered by the caller; ``base`` maps base symbols (small ints) to their tokens."""
 
-    def __init__(self, base: dict[int, int], merges: Iterable[list[tuple[int, int, int]]], spelling: dict[int, list[int]], max_states: int = 150_000):
+    def __init__(self, base: dict[int, int], merges: Iterable[list[tuple[int, int, int]]], spelling: dict[int, list[int]], max_states: int = 300_000):
         """``merges``: by rank, all (left, right, product) of that rank. ``spelling``: a token's base symbols."""
         self.made: dict[int, int] = {t: -1 for t in base.values()}
         self.left: dict[int, int] = {}

@@ -29,7 +29,7 @@ from .token_automaton import BIAS, MergeAutomaton
 
 MARK = "▁"
 CHUNK = 1 << 16
-MAX_WORDS = 150_000
+MAX_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class CountingTransducer:
                 last = score
             groups[-1] += [(pieces[p[:k]], pieces[p[k:]], pieces[p]) for k in range(1, len(p)) if p[:k] in pieces and p[k:] in pieces]
         spelling = {pieces[p]: [ord(c) for c in p] for p in words}
-        self.automaton = MergeAutomaton({ord(p): pieces[p] for p in words if len(p) == 1}, groups, spelling, max_states=200_000)
+        self.automaton = MergeAutomaton({ord(p): pieces[p] for p in words if len(p) == 1}, groups, spelling)
         self.mark = pieces[MARK]
         self.words: dict[str, int] = {}
         self.bare: dict[str, bool] = {}
