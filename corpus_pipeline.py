@@ -14,8 +14,6 @@ from knotwork.llm.common import read
 from knotwork.session import materialize
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -44,8 +42,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens of every document left."""
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    """doc_id, ids, n_tokens of every document left. Workers are shared with the other stages, so tables stay small."""
+    encoded = bpe.encode(docs, public_tokenizers.path(TOKENIZER), max_states=50_000, max_words=50_000, keep_tables=False)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [
