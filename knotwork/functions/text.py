@@ -116,30 +116,40 @@ def shorter_variant(left_norm: Column, left_text: Column, right_norm: Column, ri
     return F.least(form(left_norm, left_text), form(right_norm, right_text))
 
 
-def shorten(text: Column, size: int = 28) -> Column:
+def shorten(text: Column, size: int = 48) -> Column:
     """A label cut to ``size`` characters with an ellipsis."""
     t = squash(F.coalesce(text, F.lit("")))
     return F.when(F.length(t) > size, F.concat(F.rtrim(F.left(t, F.lit(size - 1))), F.lit("…"))).otherwise(t)
 
 
-def triplet_label(triplet_id: Column, subject: Column, predicate: Column, obj: Column) -> Column:
-    return F.concat(F.lit("#"), triplet_id.cast("string"), F.lit(": "), F.concat_ws(" | ", *(shorten(F.when(F.coalesce(x, F.lit("")) == "", "∅").otherwise(x), 40) for x in (subject, predicate, obj))))
+# What lists show for an empty slot.
+EMPTY_SLOTS = {"subject": "[пустой субъект]", "predicate": "[пустой предикат]", "object": "[пустой объект]"}
 
 
-def concept_label(concept_id: Column, name: Column, norm: Column) -> Column:
-    """A concept as a list shows it: name, norm if it differs, number."""
-    shown = F.coalesce(F.nullif(name, F.lit("")), norm, F.lit(""))
-    return F.concat(shown, F.when(F.lower(shown) == F.coalesce(norm, F.lit("")), "").otherwise(F.concat(F.lit(" ("), F.coalesce(norm, F.lit("")), F.lit(")"))), F.lit(" [id="), concept_id.cast("string"), F.lit("]"))
+def triplet_label(triplet_id: Column, subject: Column, predicate: Column, obj: Column, sentence: Column | None = None, size: int = 96) -> Column:
+    """``id | subject -[predicate]-> object``, and the sentence if there is one."""
+    slot = lambda c, role, n: shorten(F.when(F.coalesce(c, F.lit("")) == "", EMPTY_SLOTS[role]).otherwise(c), n)
+    base = F.concat(triplet_id.cast("string"), F.lit(" | "), slot(subject, "subject", 28), F.lit(" -["), slot(predicate, "predicate", 24), F.lit("]-> "), slot(obj, "object", 28))
+    if sentence is None:
+        return base
+    shown = shorten(sentence, size)
+    return F.when(shown == "", base).otherwise(F.concat(base, F.lit(" | "), shown))
+
+
+def concept_label(name: Column, norm: Column, in_degree: Column, out_degree: Column, frames: Column) -> Column:
+    """A concept as a list of options shows it."""
+    text = lambda c: c.cast("string")
+    return F.concat(name, F.lit(" | norm="), norm, F.lit(" | in="), text(in_degree), F.lit(" out="), text(out_degree), F.lit(" frame="), text(frames))
 
 
 def identifier(text: Column, fallback: str) -> Column:
-    """A name of letters, digits and ``_`` only: no ``_`` at the ends, no digit first, 120 characters at most."""
+    """A name of letters, digits and ``_`` only: no ``_`` at the ends, the fallback before a first digit, 120 characters at most."""
     t = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9A-Za-z_]", "_"), F.lit("_"))
     t = F.when(t == "", F.lit(fallback)).otherwise(t)
-    return F.left(F.when(t.rlike("^\\d"), F.concat(F.lit("_"), t)).otherwise(t), F.lit(120))
+    return F.left(F.when(t.rlike("^\\d"), F.concat(F.lit(fallback + "_"), t)).otherwise(t), F.lit(120))
 
 
-def relation_type(text: Column, fallback: str = "RELATED_TO") -> Column:
+def relation_type(text: Column, fallback: str = "IMPORTED_RELATION") -> Column:
     return F.upper(identifier(text, fallback))
 
 

@@ -13,7 +13,7 @@ from ..session import drop_materialized, materialize
 from .components import star_components
 
 VIRTUAL_ROOT = "__graph_root__"
-VIRTUAL_ROOT_NAME = "GRAPH_ROOT"
+VIRTUAL_ROOT_NAME = "Global graph root"
 
 
 def simple_digraph(relations: DataFrame, order: str | None = None, attributes: tuple[str, ...] = ()) -> DataFrame:
@@ -236,4 +236,5 @@ def project_components(edges: DataFrame, bridges: DataFrame) -> DataFrame:
     before = components(edges).agg(F.countDistinct("component").alias("components_before"))
     both = edges.select("src", "dst").unionByName(bridges.select("src", "dst"))
     after = components(both).agg(F.countDistinct("component").alias("components_after"))
-    return before.join(after).select("components_before", "components_after", F.greatest(F.col("components_before") - F.col("components_after"), F.lit(0)).cast("long").alias("components_merged"))
+    added = bridges.agg(F.count("*").alias("bridge_edges_count"))
+    return before.join(after).join(added).select("components_before", "components_after", "bridge_edges_count", F.greatest(F.col("components_before") - F.col("components_after"), F.lit(0)).cast("long").alias("components_merged"))

@@ -99,21 +99,27 @@ def context_pair_scores(contexts: DataFrame, frames: bool = True, least_structur
     return scored.withColumns({"combined": 0.55 * F.col("structural") + 0.45 * F.col("embedding"), "bridge": 0.40 * F.col("structural") + 0.40 * F.col("embedding") + 0.20 * F.col("doc_separation")})
 
 
+def _first_ten(items: str) -> Column:
+    """The first ten items of a sorted list, as a report shows them."""
+    return F.array_join(F.slice(F.col(items).cast("array<string>"), 1, 10), ", ").alias(items)
+
+
 def synonyms(contexts: DataFrame, frames: bool = True, least_combined: float = 0.45, least_structural: float = 0.10, limit: int = 200) -> DataFrame:
     """The best pairs by combined score."""
     found = context_pair_scores(contexts, frames, least_structural).where((F.round("combined", 12) >= least_combined) & (F.round("structural", 12) >= least_structural))
-    cut = lambda c: F.array_join(F.slice(c, 1, 10), ", ")
-    rows = found.select(
-        "l_norm", "r_norm", F.col("l_name"), F.col("r_name"), "support", *(F.round(c, 6).alias(f"{c}_score") for c in ("structural", "embedding", "combined")), cut("shared_predicates").alias("shared_predicates"), cut("shared_children").alias("shared_children"))
-    return rows.orderBy(F.desc("combined_score"), F.desc("structural_score"), F.desc("support"), "l_norm", "r_norm").limit(limit)
+    rows = found.select("l_norm", "r_norm", "l_name", "r_name", "support", *(F.round(c, 6).alias(f"{c}_score") for c in ("structural", "embedding", "combined")), *(_first_ten(c) for c in ("shared_predicates", "shared_children")))
+    return rows.orderBy(F.desc("combined_score"), F.desc("structural_score"), F.desc("embedding_score"), F.desc("support"), "l_name", "r_name", "l_norm", "r_norm").limit(limit)
 
 
 def context_bridges(contexts: DataFrame, frames: bool = True, least_bridge: float = 0.35, least_structural: float = 0.10, limit: int = 200) -> DataFrame:
     """The best pairs across components by bridge score."""
     apart = F.col("l_component_id").isNotNull() & F.col("r_component_id").isNotNull() & (F.col("l_component_id") != F.col("r_component_id"))
     found = context_pair_scores(contexts, frames, least_structural).where(apart & (F.round("bridge", 12) >= least_bridge) & (F.round("structural", 12) >= least_structural))
-    rows = found.select("l_norm", "r_norm", "l_component_id", "r_component_id", "support", F.round("doc_separation", 6).alias("doc_separation"), *(F.round(c, 6).alias(f"{c}_score") for c in ("structural", "embedding", "bridge")))
-    return rows.orderBy(F.desc("bridge_score"), F.desc("structural_score"), F.desc("embedding_score"), "l_norm", "r_norm").limit(limit)
+    shared = found.withColumn("shared_documents", F.array_sort(F.array_intersect("l_document_ids", "r_document_ids")))
+    lists = ("l_document_ids", "r_document_ids", "shared_documents", "shared_predicates", "shared_children")
+    rows = shared.select(
+        "l_norm", "r_norm", "l_name", "r_name", "l_component_id", "r_component_id", "support", F.round("doc_separation", 6).alias("doc_separation"), *(F.round(c, 6).alias(f"{c}_score") for c in ("structural", "embedding", "combined", "bridge")), *(_first_ten(c) for c in lists))
+    return rows.orderBy(F.desc("bridge_score"), F.desc("combined_score"), F.desc("structural_score"), F.desc("embedding_score"), F.desc("support"), "l_name", "r_name", "l_norm", "r_norm").limit(limit)
 
 
 def entity_pair_scores(entities: DataFrame, least_combined: float = 0.45, least_structural: float = 0.10) -> DataFrame:
@@ -178,8 +184,8 @@ def alias_candidates(vertices: DataFrame, least_support: int = 1, least_cosine:
     first = scored.withColumn("c", best)
     other = F.when(F.col("c.norm") == F.col("l_norm"), F.struct(F.col("r_norm").alias("norm"), F.col("r_name").alias("text"))).otherwise(F.struct(F.col("l_norm").alias("norm"), F.col("l_name").alias("text")))
     rows = first.withColumn("a", other).select(
-        F.col("c.norm").alias("canonical_norm"), F.col("c.text").alias("canonical_name"), F.col("a.norm").alias("alias_norm"), F.col("a.text").alias("alias_text"), F.round("cosine", 6).alias("confidence"), (F.col("l_support") + F.col("r_support")).alias("support"))
-    return rows.orderBy(F.desc("confidence"), F.desc("support"), "canonical_norm", "alias_norm").limit(limit)
+        F.col("c.norm").alias("canonical_norm"), F.col("c.text").alias("canonical_name"), F.col("a.norm").alias("alias_norm"), F.col("a.text").alias("alias_text"), F.round("cosine", 6).alias("confidence"), F.greatest("l_support", "r_support", F.lit(1)).alias("support"), "l_name", "r_name", F.round("cosine", 12).alias("_c"))
+    return rows.orderBy(F.desc("_c"), F.desc("support"), "l_name", "r_name", "canonical_norm", "alias_norm").limit(limit).drop("_c", "l_name", "r_name")
 
 
 def top_neighbours(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:

@@ -124,8 +124,8 @@ def concept_relations(relations: DataFrame, contains: str = "", document_id: int
 
 def bridge_list(bridges: DataFrame, contains: str = "", limit: int = 200) -> DataFrame:
     """Context bridges with a display label, best first."""
-    found = bridges.where(any_contains(["l_norm", "r_norm"], contains)) if contains.strip() else bridges
-    labelled = found.withColumn("label", F.concat(F.lit("bridge "), F.format_number("bridge_score", 2)))
+    found = bridges.where(any_contains(["l_name", "r_name", "shared_predicates", "shared_children"], contains)) if contains.strip() else bridges
+    labelled = found.withColumn("label", F.concat(F.lit("bridge "), F.round("bridge_score", 2).cast("string")))
     return labelled.orderBy(F.desc("bridge_score"), F.desc("structural_score"), F.desc("embedding_score"), "l_norm", "r_norm").limit(limit)
 
 

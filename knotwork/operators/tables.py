@@ -84,11 +84,16 @@ def unpivot_triplets(df: DataFrame, subject: str, columns: list[str], ids: list[
     return wide.unpivot([*ids, "subject"], columns, "object", "predicate")
 
 
-def header_rows(top: Column, second: Column) -> Column:
-    """How many rows a header has: 2 unless 40 % or more of the second row's non-empty cells are numbers."""
-    full = F.filter(second, lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")
-    numeric = F.filter(full, lambda c: F.trim(c).rlike("^[+-]?\\d+(?:[.,]\\d+)?(?:\\s*[-–—]\\s*\\d+(?:[.,]\\d+)?)?$"))
-    return F.when(F.size(full) == 0, 1).when(F.size(numeric) / F.when(F.size(full) == 0, 1).otherwise(F.size(full)) < 0.4, 2).otherwise(1)
+def header_rows(second: Column) -> Column:
+    """How many rows a header has: 2 if under 40 % of the second row's named cells are data, else 1.
+
+    Data are digits with marks of ranges, signs and comparisons; a table of one row (null) has one header row,
+    and a second row without named cells counts as a header.
+    """
+    full = F.filter(second, lambda c: (F.trim(F.coalesce(c, F.lit(""))) != "") & ~F.trim(c).rlike("^Unnamed: \\d{1,2}$"))
+    data = F.filter(full, lambda c: F.trim(c).rlike("^[\\d,.\\s\\-–±≤≥<>×]+$") & ~F.trim(c).isin("-", "—", "–", "+", "±"))
+    share = F.when(F.size(full) == 0, F.lit(0.0)).otherwise(F.size(data) / F.greatest(F.size(full), F.lit(1)))
+    return F.when(second.isNull(), 1).when(share < 0.4, 2).otherwise(1)
 
 
 def flatten_header(top: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def flatten_header(top: DataFrame) -> DataFrame:
     named = lambda c: F.when((F.trim(F.coalesce(c, F.lit(""))) != "") & ~F.coalesce(c, F.lit("")).startswith("Unnamed"), F.trim(c))
     left = Window.partitionBy("table_file").orderBy("col_idx").rowsBetween(Window.unboundedPreceding, 0)
     filled = top.withColumn("top", F.last(named(F.col("top")), ignorenulls=True).over(left)).withColumn("bottom", named(F.col("bottom")))
-    return filled.select("table_file", "col_idx", F.concat_ws(" ", F.col("bottom"), F.when(~F.col("top").eqNullSafe(F.col("bottom")), F.col("top"))).alias("name"))
+    return filled.select("table_file", "col_idx", F.concat_ws(" ", "bottom", "top").alias("name"))
 
 
 def fit_width(cells: Column, width: Column) -> Column:

@@ -507,7 +507,7 @@ def fragility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.fragility(geo(spark, sf_dir))
 
 
-@query("""SELECT 5::BIGINT AS components_before, 3::BIGINT AS components_after, 2::BIGINT AS components_merged""")
+@query("""SELECT 5::BIGINT AS components_before, 3::BIGINT AS components_after, 3::BIGINT AS bridge_edges_count, 2::BIGINT AS components_merged""")
 def component_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = spark.createDataFrame([("r:0", "r:1"), ("r:1", "r:2"), ("r:0", "r:2")], "src string, dst string")
     return graph.project_components(geo(spark, sf_dir), candidates)
@@ -557,14 +557,14 @@ def context_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CONTEXTS}
     SELECT l_norm, r_norm, support, round(combined, 6) AS combined_score FROM ctx WHERE round(combined, 12) >= 0.45 AND round(structural, 12) >= 0.3
-    ORDER BY round(combined, 6) DESC, round(structural, 6) DESC, support DESC, l_norm, r_norm LIMIT 200""")
+    ORDER BY round(combined, 6) DESC, round(structural, 6) DESC, round(embedding, 6) DESC, support DESC, l_norm, r_norm LIMIT 200""")
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.synonyms(contexts(spark, sf_dir), least_structural=0.3).select("l_norm", "r_norm", "support", "combined_score")
 
 
 @query(f"""WITH {CONTEXTS}
     SELECT l_norm, r_norm, l_component_id, r_component_id, round(bridge, 6) AS bridge_score FROM ctx WHERE l_component_id <> r_component_id AND round(bridge, 12) >= 0.35 AND round(structural, 12) >= 0.10
-    ORDER BY round(bridge, 6) DESC, round(structural, 6) DESC, round(embedding, 6) DESC, l_norm, r_norm LIMIT 200""")
+    ORDER BY round(bridge, 6) DESC, round(combined, 6) DESC, round(structural, 6) DESC, round(embedding, 6) DESC, support DESC, l_norm, r_norm LIMIT 200""")
 def bridges_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.context_bridges(contexts(spark, sf_dir)).select("l_norm", "r_norm", "l_component_id", "r_component_id", "bridge_score")
 
@@ -605,9 +605,9 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CONTEXTS}, v AS (SELECT norm, occ_count AS support, embedding FROM contexts ORDER BY occ_count DESC, norm LIMIT 1000),
-    s AS (SELECT l.norm AS a, r.norm AS b, list_cosine_similarity(l.embedding, r.embedding) AS c, l.support + r.support AS support FROM v l JOIN v r ON l.norm < r.norm)
+    s AS (SELECT l.norm AS a, r.norm AS b, list_cosine_similarity(l.embedding, r.embedding) AS c, greatest(l.support, r.support, 1) AS support FROM v l JOIN v r ON l.norm < r.norm)
     SELECT CASE WHEN length(a) < length(b) OR (length(a) = length(b) AND a < b) THEN a ELSE b END AS canonical_norm, CASE WHEN length(a) < length(b) OR (length(a) = length(b) AND a < b) THEN b ELSE a END AS alias_norm, round(c, 6) AS confidence, support
-    FROM s WHERE round(c, 12) >= 0.82 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 1000""")
+    FROM s WHERE round(c, 12) >= 0.82 ORDER BY round(c, 12) DESC, support DESC, a, b LIMIT 1000""")
 def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = contexts(spark, sf_dir).select("norm", "name", F.col("occ_count").alias("support"), "embedding")
     return mining.alias_candidates(v).select("canonical_norm", "alias_norm", "confidence", "support")

@@ -211,7 +211,7 @@ def clean_properties(column: str) -> Column:
     return F.map_from_entries(F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["key"] == n), -1)))
 
 
-def dot_text(edges: DataFrame, source: str = "source", target: str = "target", label: str = "type", size: int = 28) -> DataFrame:
+def dot_text(edges: DataFrame, source: str = "source", target: str = "target", label: str = "type", size: int = 48) -> DataFrame:
     """One row ``dot``: a directed graph for drawing; a picture for people, so one string."""
     line = F.concat(F.lit('  "'), escape_dot(shorten(F.col(source), size)), F.lit('" -> "'), escape_dot(shorten(F.col(target), size)), F.lit('" [label="'), escape_dot(shorten(F.col(label), size)), F.lit('"];'))
     body = F.array_join(F.array_sort(F.collect_list("line")), "\n")

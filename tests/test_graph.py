@@ -122,7 +122,7 @@ def test_simple_digraph_last_wins(spark):
 
 def test_projection_and_descendants(spark):
     e = edges(spark, GRAPHS["two"])
-    assert tuple(graph.project_components(e, edges(spark, [("b", "c")])).first()) == (2, 1, 1)
+    assert tuple(graph.project_components(e, edges(spark, [("b", "c")])).first()) == (2, 1, 1, 1)
     assert {r.node: r.descendants for r in graph.descendant_counts(edges(spark, GRAPHS["cycle"])).collect()} == {"a": 2, "b": 2, "c": 2}
     assert graph.descendant_counts(e, spark.createDataFrame([("b",)], "node string")).first().descendants == 0
     assert e.where(F.col("src").isNull()).count() == 0

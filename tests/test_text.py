@@ -27,10 +27,10 @@ def one(spark, fn, *values):
         (text.strip_units, "Длина, очень длинная часть", "Длина, очень длинная часть"),
         (text.strip_units, "сорт", "сорт"),
         (text.strip_units, "25 ", "25"),
-        (text.shorten, "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0…"),
+        (lambda c: text.shorten(c, 28), "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0…"),
         (text.escape_dot, 'a"b\\', 'a\\"b\\\\'),
         (lambda c: text.identifier(c, "x"), "Связь", "x"),
-        (lambda c: text.identifier(c, "x"), "1 b-c", "_1_b_c"),
+        (lambda c: text.identifier(c, "x"), "1 b-c", "x_1_b_c"),
         (text.relation_type, "links to", "LINKS_TO"),
         (text.null_like, " NaN ", True),
         (text.null_like, "Unnamed: 3", True),
@@ -50,6 +50,12 @@ def test_tokens_and_ngrams(spark):
     assert one(spark, text.char_ngrams, "  ") == []
 
 
+def test_labels(spark):
+    row = spark.sql("select 7L id, '' s, 'p' p, cast(null as string) o, ' long  sentence ' t")
+    got = row.select(text.triplet_label(F.col("id"), F.col("s"), F.col("p"), F.col("o"), F.col("t")), text.concept_label(F.lit("N"), F.lit("n"), F.lit(1), F.lit(2), F.lit(3))).first()
+    assert list(got) == ["7 | [пустой субъект] -[p]-> [пустой объект] | long sentence", "N | norm=n | in=1 out=2 frame=3"]
+
+
 def test_similarity_edges(spark):
     row = spark.sql("select array(1.0D, 0.0D) a, array(0.0D, 0.0D) z, cast(array() as array<double>) e, array('x','y') s, array('y') t, cast(array() as array<string>) n")
     got = row.select(
@@ -102,8 +108,8 @@ def test_rules_drop_markers_indices_and_null_cells(spark):
 
 
 def test_headers(spark):
-    df = spark.createDataFrame([(["a", "b"], ["x", "y", "1"]), (["a"], ["1", "2,5", "x"]), (["a"], [])], "top array<string>, second array<string>")
-    assert [r[0] for r in df.select(tables.header_rows(F.col("top"), F.col("second"))).collect()] == [2, 1, 1]
+    df = spark.createDataFrame([(["x", "y", "1"],), (["1", "2,5", "x"],), ([],), (None,), (["≤ 5", "-", "Unnamed: 4"],)], "second array<string>")
+    assert [r[0] for r in df.select(tables.header_rows(F.col("second"))).collect()] == [2, 1, 2, 1, 1]
     top = spark.createDataFrame([("t", 0, "name", ""), ("t", 1, "size", "w"), ("t", 2, "Unnamed: 2", "h"), ("t", 3, "", "Unnamed: 3")], "table_file string, col_idx int, top string, bottom string")
     assert [r.name for r in tables.flatten_header(top).orderBy("col_idx").collect()] == ["name", "w size", "h size", "size"]
     fit = spark.range(1).select(tables.fit_width(F.array(F.lit("a")), F.lit(3)), tables.fit_width(F.array(F.lit("a"), F.lit("b")), F.lit(1))).first()
