@@ -69,6 +69,10 @@ class CountingTransducer:
         self.words: dict[str, int] = {}
         self.bare: dict[str, bool] = {}
 
+    def step(self, state: int, c: int) -> int:
+        """A move that the table lacks; a character that no piece holds falls back to its UTF-8 bytes."""
+        return self.automaton.step(state, c, 1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4)
+
     def word(self, word: str) -> int:
         """Tokens of a space mark and a word, from the start state."""
         known = self.words.get(word)
@@ -81,7 +85,7 @@ class CountingTransducer:
             for c in (0x2581, *map(ord, word)):
                 move = moves.get(state << 21 | c)
                 if move is None:
-                    move = a.step(state, c, 1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4)
+                    move = self.step(state, c)
                 state = move >> 16
                 known += (move & 0xFFFF) - BIAS
             if len(self.words) >= MAX_WORDS:
@@ -100,7 +104,7 @@ class CountingTransducer:
             state, lasts = 0, []
             for s in symbols:
                 move = a.next.get(state << 21 | s)
-                state = (a.step(state, s) if move is None else move) >> 16
+                state = (self.step(state, s) if move is None else move) >> 16
                 lasts.append(a.last[state])
             at = len(symbols)
             while at > 1:

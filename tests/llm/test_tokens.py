@@ -52,6 +52,16 @@ def test_small_state_table_changes_nothing(fuzz):
         assert small.encode(text) == large.encode(text)
 
 
+def test_small_state_table_changes_no_count(fuzz):
+    library, small = sentencepiece.SentencePieceProcessor(model_file=MODEL), token_count.CountingTransducer(MODEL)
+    small.automaton.max_states = 8
+    rare = [c for c in map(chr, [*range(0xA1, 0x2000), *range(0x10400, 0x10500)]) if c.isalpha() and library.piece_to_id(c) == library.unk_id()][::40]
+    # A word that is known, a new one that fills the table, the known one after two spaces, a new one with its character.
+    texts = [f"x {c}a filler{k}words  {c}a {c}b {c}{c} y" for k, c in enumerate(rare)] + [f"b {c}{c}  {c}a   {c}b" for c in rare]
+    for text in texts + fuzz[:400]:
+        assert small.count(text) == len(library.encode(text)), text
+
+
 def test_gadgets_accept_exactly_the_encodings():
     """All token strings over a tiny vocabulary against merging by hand."""
     names = ["a", "b", "aa", "ab", "aab", "ba"]
