@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -28,6 +29,31 @@ def test_language_edges(spark, docs_of, odd_texts):
     assert language_id.identify(docs_of([])).count() == 0
 
 
+def test_language_rejects_junk_and_keeps_labelled_texts(spark, docs_of):
+    docs = read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang")
+    rng = random.Random(4)
+    noise = {
+        "base64": base64.b64encode(rng.randbytes(600)).decode(),
+        "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "cyrillic": "".join(rng.choice("абвгдежзиклмнопрстуфхцчшщэюя ") for _ in range(800)),
+        "unicode": "".join(chr(rng.randrange(0x100, 0x3000)) for _ in range(800)),
+    }
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r.rejected for r in language_id.predict(docs_of(list(noise.values())), model).collect()}
+    assert [name for k, name in enumerate(noise) if not got[k]] == []
+    lost = language_id.predict(docs, model).where("rejected").join(docs, "doc_id")
+    assert [r.text for r in lost.collect() if r.text and language_id.LETTER.search(r.text)] == []
+
+
+def test_language_limits_follow_length():
+    rng = np.random.default_rng(0)
+    length = np.repeat([10, 16], 200)
+    cosine = np.where(length == 10, 0.4, 0.8) + rng.uniform(-0.1, 0.1, 400)
+    limits = language_id.length_limits(length, cosine)
+    assert limits[10] == cosine[:200].min() / 2 and limits[16] == cosine[200:].min() / 2
+    assert limits[6] == pytest.approx(limits[10] / 2) and limits[24] == limits[16]
+
+
 def test_language_ignores_other_columns(spark, docs_of):
     texts = [f"the quick brown fox number {i}" for i in range(20)]
     docs = docs_of(texts)
