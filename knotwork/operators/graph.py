@@ -6,6 +6,8 @@ task. Loops cut their lineage through tables in the shared folder and read back
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,18 +194,18 @@ def is_cyclic(edges: DataFrame) -> DataFrame:
     return cyclic_core(edges).agg((F.count("*") > 0).alias("is_cyclic"))
 
 
-def simple_cycles(edges: DataFrame, labels: DataFrame | None = None, max_length: int = 8, limit: int = 20) -> DataFrame:
+def simple_cycles(edges: DataFrame, labels: DataFrame | None = None, max_length: int | None = None, limit: int = 20) -> DataFrame:
     """The first ``limit`` elementary cycles by (length, path): (cycle_length, cycle_path).
 
     A cycle is written from its smallest node. Paths grow by joins inside the cyclic core, only through nodes
     larger than their start, so each cycle is found once. The loop ends as soon as a length has filled the
-    report; ``max_length`` bounds cycles that are looked for.
+    report or no open path is left; ``max_length``, none by default, bounds the cycles that are looked for.
     """
     core = cyclic_core(edges)
     paths = core.where("dst >= src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("path"))
     closed: list[DataFrame] = []
     found = 0
-    for length in range(1, max_length + 1):
+    for length in count(1):
         if length == 1:
             closed.append(materialize(paths.where("start = last").select("path"), "cycles"))
             paths = materialize(paths.where("start <> last"), "paths")

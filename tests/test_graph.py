@@ -92,6 +92,15 @@ def test_cycles(spark, name, cyclic):
     assert got == {"cycle": [(3, "a -> b -> c")], "self": [(1, "a")], "barbell": [(3, "a -> b -> c"), (3, "d -> e -> f")]}.get(name, [])
 
 
+def test_cycles_of_any_length(spark):
+    ring = [f"n{k:02d}" for k in range(11)]
+    pairs = [*zip(ring, [*ring[1:], ring[0]]), ("n03", "n05"), ("n10", "tail")]
+    got = [tuple(r) for r in graph.simple_cycles(edges(spark, pairs)).collect()]
+    assert got == [(10, " -> ".join(n for n in ring if n != "n04")), (11, " -> ".join(ring))]
+    assert graph.simple_cycles(edges(spark, pairs), limit=1).count() == 1
+    assert graph.simple_cycles(edges(spark, pairs), max_length=10).count() == 1
+
+
 def test_long_chain_components(spark):
     n = 200
     pairs = [(f"v{i:03d}", f"v{i + 1:03d}") for i in range(n)] + [("x", "y"), ("z", "z"), (None, "q")]
