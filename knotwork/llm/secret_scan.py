@@ -4,7 +4,8 @@ Candidates are maximal runs of key-like characters that hold a digit and a lette
 slides over each candidate; its entropy follows from incremental counts (one character in, one out). The
 candidate's character class (hex, lower-alphanumeric, base64) sets the threshold; a maximal union of windows
 at or above it is a span of kind ``entropy``. Candidates on the allow-list (e-mail and host names, UUIDs,
-version and date shapes, words joined by marks, placeholder words) are suppressed.
+version and date shapes, words joined by marks, placeholder words) are suppressed. A host name has to end in a
+top-level label, an e-mail address has to have such a host and must not be the user or password of a URL.
 
 Defined results: null or empty text has no span; texts of any length are scanned whole; every row gives one
 row, repeated rows too; an empty table gives none; further columns are ignored.
@@ -35,6 +36,13 @@ ALLOWED = re.compile(
     r"|[0-9+/_=-]+"  # digits and marks only
     r"|(?i:.*(?:example|placeholder|your[-_]?key|xxxx|lorem).*)"
 )
+#: What follows the first label of a host name; not more labels than a name has, so that a long run costs no more.
+HOST_REST = re.compile(r"(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62}){0,10}\.(?:[a-z]{2,24}|[A-Z]{2,24})(?![A-Za-z0-9_+=@-]|\.[A-Za-z0-9])")
+ADDRESS_REST = re.compile(r"@[A-Za-z0-9][A-Za-z0-9-]{0,62}" + HOST_REST.pattern)
+LABEL = re.compile(r"/{0,2}[A-Za-z0-9-]{1,63}")
+LOCAL = re.compile(r"[A-Za-z0-9+_-]{1,64}")
+#: A file or an e-mail name of words, each with a number after at most.
+WORDS = re.compile(r"[-+/_]*+(?:[A-Z]?+[a-z]*+[0-9]{0,4}+[-+/_]++)*+[A-Z]?[a-z]*+[0-9]{0,4}")
 
 
 @dataclass(frozen=True)
@@ -71,14 +79,28 @@ def entropy_windows(s: str, width: int) -> Iterator[float]:
             yield math.log2(width) - total / width
 
 
+def named(text: str, start: int, end: int) -> bool:
+    """Whether a candidate is part of a host name, an e-mail address or the name of a file, and no key beside one."""
+    s, before, after = text[start:end], text[start - 1 : start] if start else "", text[end : end + 1]
+    if s.startswith("eyJ") or (after not in (".", "@") and before != "@"):
+        return False
+    if after == "@":
+        if s.startswith("/") or (before == ":" and text[max(0, start - 7) : start].lower() != "mailto:"):
+            return False  # user or password of a URL
+        return bool(LOCAL.fullmatch(s) and ADDRESS_REST.match(text, end))
+    if after == "." and LABEL.fullmatch(s) and HOST_REST.match(text, end):
+        return True
+    return after == "." and text[end + 1 : end + 2].isalpha() and bool(WORDS.fullmatch(s))
+
+
 def entropy_spans(text: str, rule: EntropyRule = EntropyRule()) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if s.isalpha() or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or ALLOWED.fullmatch(s):
             continue
-        if (text[m.end() : m.end() + 1] in (".", "@") and text[m.end() + 1 : m.end() + 2].isalpha()) or text[max(0, m.start() - 1) : m.start()] == "@":
-            continue  # part of a host name or an e-mail address
+        if named(text, m.start(), m.end()):
+            continue
         bits = getattr(rule, f"{character_class(s)}_bits")
         start = end = -1
         for i, h in enumerate(entropy_windows(s, rule.window)):

@@ -26,6 +26,17 @@ def test_entropy_and_allow_list():
         assert s.entropy_spans(clean) == []
 
 
+def test_keys_beside_hosts_and_marks_are_found():
+    key = "aB3xY9qW7eR5tY1uI0oPzQ4kL8mN2vC6bH1jD5gF"
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    for text in (f"https://user:{key}@host", f"https://user:{key}@db.example.com/x", f"https://{key}@example.com", f"key {key}.Then", f"{key}.x9{key}", f"@{key} x"):
+        assert s.entropy_spans(text) and key not in s.redact(text, s.find_secrets(text)), text
+    assert s.redact(jwt, s.find_secrets(jwt)) == "[SECRET].[SECRET].[SECRET]"
+    for clean in (f"mailto:{key}@mail.com", f"see https://{key}.example.com/a", f"me@{key}.example.com", "/docs/Chapter12/Section3-overview.html"):
+        assert s.entropy_spans(clean) == [], clean
+    assert s.entropy_spans(f"{key}." * 20_000 + "/") and s.entropy_spans("a-" * 50_000 + f"{key}.x")
+
+
 def test_order_and_redaction():
     text = "token=0123456789abcdef0123456789 end"
     spans = s.find_secrets(text)
