@@ -9,8 +9,10 @@ with all of its copies on all 64 bits. No pair can be missed, and none is emitte
 spanning forest of the links it finds. Components of the forest are found by star steps.
 
 Equal fingerprints are folded into one row before anything is copied, so a group of exact copies of any size
-costs one fingerprint. An anchor with more than ``QUADRATIC`` fingerprints looks its neighbours up by their
-2,080 bit flips instead of comparing all, which is linear in its size.
+costs one fingerprint. Copies at anchors where no fingerprint is at home, or only one row meets, are dropped by
+a join on the anchors' counts before they are dealt out. What an anchor has left is a grid of cells, each some
+``HOMES`` of its home fingerprints against some ``COPIES`` of its copies, and every cell is dealt out on its
+own: an anchor of any size is many tasks' work, all of one bound, and every home meets every copy in one cell.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts with fewer
 than three words hash as one sequence; repeated doc_ids give a row each; a null doc_id counts in no minimum;
@@ -38,9 +40,11 @@ SEED = 42
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 BLOCK, CHECK_BITS, RADIUS = 23, 11, 3
-PAIRS_AT_ONCE = 1 << 22
-COPIES_AT_ONCE = 1 << 21
-QUADRATIC = 1 << 15
+#: Sides of a cell: what an anchor's home fingerprints and its copies are cut into.
+HOMES, COPIES = 1 << 10, 1 << 13
+PAIRS_AT_ONCE = 1 << 19
+ROWS_AT_ONCE = 1 << 17
+NONE = np.zeros(0, np.int64)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -66,70 +70,84 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(per_text(lambda t: (fingerprint(t),), schema), "doc_id long, fp long")
 
 
-def syndrome(x: np.ndarray) -> np.ndarray:
-    """Remainder of 23-bit words modulo the generator."""
-    x = x.astype(np.int64)
+def remainder(x: int) -> int:
+    """Remainder of a 23-bit word modulo the generator: its syndrome."""
     for bit in range(BLOCK - 1, CHECK_BITS - 1, -1):
-        x = np.where((x >> bit) & 1, x ^ (GOLAY << (bit - CHECK_BITS)), x)
+        if x >> bit & 1:
+            x ^= GOLAY << (bit - CHECK_BITS)
     return x
 
 
+#: Syndromes are linear: that of a word is that of its high part and that of its low part, added bit by bit.
+HALF = 12
+LOW_SYNDROMES = np.array([remainder(x) for x in range(1 << HALF)], np.int64)
+HIGH_SYNDROMES = np.array([remainder(x << HALF) for x in range(1 << (BLOCK - HALF))], np.int64)
+
+
+def syndrome(x: np.ndarray) -> np.ndarray:
+    return HIGH_SYNDROMES[x >> HALF] ^ LOW_SYNDROMES[x & ((1 << HALF) - 1)]
+
+
 @cache
-def coset_patterns(threshold: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """By excess e <= threshold: error patterns of weight RADIUS + e (at most RADIUS for e = 0) by syndrome.
+def coset_patterns(excess: int) -> tuple[np.ndarray, np.ndarray]:
+    """Error patterns of weight RADIUS + excess (at most RADIUS for none), sorted by syndrome; each syndrome's first place."""
+    weights = range(RADIUS + 1) if excess == 0 else [RADIUS + excess]
+    p = np.array([sum(1 << b for b in c) for w in weights for c in combinations(range(BLOCK), w)], np.int64)
+    s = syndrome(p)
+    order = np.argsort(s, kind="stable")
+    return p[order], np.searchsorted(s[order], np.arange((1 << CHECK_BITS) + 1))
 
-    Returns, by e, all patterns sorted by syndrome and each syndrome's first place; and all syndromes.
-    """
-    patterns, first = [], []
-    for e in range(threshold + 1):
-        weights = range(RADIUS + 1) if e == 0 else [RADIUS + e]
-        p = np.array([sum(1 << b for b in c) for w in weights for c in combinations(range(BLOCK), w)], np.int64)
-        s = syndrome(p)
-        order = np.argsort(s, kind="stable")
-        patterns.append(p[order])
-        first.append(np.searchsorted(s[order], np.arange((1 << CHECK_BITS) + 1)))
-    return patterns, first, syndrome(np.arange(1 << BLOCK))
+
+def blocks(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two 23-bit words of fingerprints that the code covers."""
+    u = fp.astype(np.uint64)
+    return (u & np.uint64(0x7FFFFF)).astype(np.int64), ((u >> np.uint64(BLOCK)) & np.uint64(0x7FFFFF)).astype(np.int64)
 
 
 def home(fp: np.ndarray) -> np.ndarray:
     """The anchor within (RADIUS, RADIUS) of each fingerprint, as a 46-bit number."""
-    patterns, _, syndromes = coset_patterns(0)
-    u = fp.astype(np.uint64)
-    x, y = (u & 0x7FFFFF).astype(np.int64), ((u >> np.uint64(BLOCK)) & np.uint64(0x7FFFFF)).astype(np.int64)
-    return (x ^ patterns[0][syndromes[x]]) << BLOCK | (y ^ patterns[0][syndromes[y]])
+    patterns, _ = coset_patterns(0)
+    x, y = blocks(fp)
+    return (x ^ patterns[syndrome(x)]) << BLOCK | (y ^ patterns[syndrome(y)])
 
 
 def anchors_of(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, index into fp) of every copy that the threshold asks for."""
-    patterns, first, syndromes = coset_patterns(threshold)
-    u = fp.astype(np.uint64)
-    x, y = (u & 0x7FFFFF).astype(np.int64), ((u >> np.uint64(BLOCK)) & np.uint64(0x7FFFFF)).astype(np.int64)
-    sx, sy = syndromes[x], syndromes[y]
+    x, y = blocks(fp)
+    sx, sy = syndrome(x), syndrome(y)
     anchors, owners = [], []
     for e1 in range(threshold + 1):
-        at, owner = ragged(first[e1][sx], first[e1][sx + 1] - first[e1][sx])
-        c1 = x[owner] ^ patterns[e1][at]
+        patterns, first = coset_patterns(e1)
+        at, owner = ragged(first[sx], first[sx + 1] - first[sx])
+        c1 = x[owner] ^ patterns[at]
         for e2 in range(threshold + 1 - e1):
-            at2, owner2 = ragged(first[e2][sy[owner]], first[e2][sy[owner] + 1] - first[e2][sy[owner]])
-            anchors.append(c1[owner2] << BLOCK | (y[owner][owner2] ^ patterns[e2][at2]))
+            patterns2, first2 = coset_patterns(e2)
+            at2, owner2 = ragged(first2[sy[owner]], first2[sy[owner] + 1] - first2[sy[owner]])
+            anchors.append(c1[owner2] << BLOCK | (y[owner][owner2] ^ patterns2[at2]))
             owners.append(owner[owner2])
     return np.concatenate(anchors), np.concatenate(owners)
 
 
 def copies(threshold: int):
-    """mapInArrow body: distinct fingerprints to (anchor, fp)."""
+    """mapInArrow body: distinct fingerprints to (anchor, fp, at_home)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a in range(0, len(fp), 4096):
-                part = fp[a : a + 4096]
+            for a in range(0, len(fp), 2048):
+                part = fp[a : a + 2048]
                 anchor, owner = anchors_of(part, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[owner])], names=["anchor", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[owner]), pa.array(home(part)[owner] == anchor)], names=["anchor", "fp", "at_home"])
 
     return run
 
 
+def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: distinct fingerprints to their home anchors."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(home(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))], names=["anchor"])
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star for each component of the edges (a, b): (vertex, smallest vertex of its component)."""
     node, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -149,86 +167,80 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[keep], node[label[keep]]
 
 
-def neighbour_links(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the threshold among sorted distinct fingerprints, by looking up every bit flip."""
-    u = fp.view(np.uint64)
-    order = np.argsort(u)
-    keys = u[order]
+def links_in(cell: np.ndarray, side: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between homes (side 1) and copies (side 0) of each cell; rows come in any order."""
+    order = np.lexsort((side, cell))
+    cell, side, fp = cell[order], side[order], fp[order]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else NONE
+    group = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(cell)]])))
+    others = np.bincount(group[side == 0], minlength=len(first))  # copies come first in each cell
+    mine = np.flatnonzero((side == 1) & (others[group] > 0)) if len(cell) else NONE
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(1, threshold + 1):
-        for bits in combinations(range(64), k):
-            other = u ^ np.uint64(sum(1 << b for b in bits))
-            at = np.searchsorted(keys, other)
-            at[at == len(keys)] = 0
-            found = keys[at] == other
-            if found.any():
-                out.append(forest(fp[found], other[found].view(np.int64)))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return forest(np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]))
-
-
-def links_in(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links that these copies show, anchor by anchor."""
-    order = np.argsort(anchor, kind="stable")
-    anchor, fp = anchor[order], fp[order]
-    is_home = home(fp) == anchor
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([first, [len(anchor)]]))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in np.flatnonzero(size > QUADRATIC):
-        a = first[k]
-        if is_home[a : a + size[k]].any():
-            out.append(neighbour_links(np.unique(fp[a : a + size[k]]), threshold))
-    group = np.repeat(np.arange(len(first)), size)
-    homes = np.flatnonzero(is_home & (size[group] > 1) & (size[group] <= QUADRATIC)) if len(anchor) else np.zeros(0, np.int64)
-    for part in np.split(homes, np.flatnonzero(np.diff(np.cumsum(size[group[homes]]) // PAIRS_AT_ONCE)) + 1) if len(homes) else []:
-        other, owner = ragged(first[group[part]], size[group[part]])
+    pairs = np.cumsum(others[group[mine]])
+    for part in np.split(mine, np.flatnonzero(np.diff(pairs // PAIRS_AT_ONCE)) + 1) if len(mine) else []:
+        other, owner = ragged(first[group[part]], others[group[part]])
         x, y = fp[part][owner], fp[other]
         near = (np.bitwise_count((x ^ y).view(np.uint64)) <= threshold) & (x != y)
         if near.any():
             out.append(forest(x[near], y[near]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return NONE, NONE
     return forest(np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]))
 
 
 def compare(threshold: int):
-    """mapInArrow body: copies sorted by anchor to links (a, b).
+    """mapInArrow body: rows (cell, side, fp) sorted by cell to links (a, b).
 
-    Works on pieces of COPIES_AT_ONCE rows or more that end between two anchors, so memory grows with one
-    anchor's copies, not with the partition.
+    Works on pieces of ROWS_AT_ONCE rows or more that end between two cells; a cell is bounded, so memory does
+    not grow with an anchor or a partition.
     """
 
-    def links(anchors: list[np.ndarray], fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b = links_in(np.concatenate(anchors), np.concatenate(fps), threshold)
+    def links(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        a, b = links_in(*(np.concatenate([h[k] for h in held]) for k in range(3)), threshold)
         for k in range(0, len(a), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 10_000]), pa.array(b[k : k + 10_000])], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, fps, n = [], [], 0
+        held, n = [], 0
         for batch in batches:
-            anchor, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            if n >= COPIES_AT_ONCE:
-                change = np.flatnonzero(anchor != anchors[-1][-1])
+            rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if n >= ROWS_AT_ONCE:
+                change = np.flatnonzero(rows[0] != held[-1][0][-1])
                 if len(change):
                     k = int(change[0])
-                    yield from links([*anchors, anchor[:k]], [*fps, fp[:k]])
-                    anchors, fps, n, anchor, fp = [], [], 0, anchor[k:], fp[k:]
-            if len(anchor):
-                anchors.append(anchor)
-                fps.append(fp)
-                n += len(anchor)
-        if anchors:
-            yield from links(anchors, fps)
+                    yield from links([*held, tuple(r[:k] for r in rows)])
+                    held, n, rows = [], 0, tuple(r[k:] for r in rows)
+            if len(rows[0]):
+                held.append(rows)
+                n += len(rows[0])
+        if held:
+            yield from links(held)
 
     return run
 
 
+def cells(distinct: DataFrame, threshold: int) -> DataFrame:
+    """(cell, side, fp): side 1 for a home fingerprint of the cell's anchor, 0 for a copy it is compared with.
+
+    A cell is named by a hash of its anchor and its place in the anchor's grid. Two cells of one name, should
+    that ever happen, are compared as one, which adds no link that is not there.
+    """
+    fps = distinct.select("fp")
+    at_home = fps.mapInArrow(homes, "anchor long").groupBy("anchor").agg(F.count("*").alias("n_homes"))
+    met = materialize(fps.mapInArrow(copies(threshold), "anchor long, fp long, at_home boolean").join(at_home, "anchor"), "met")
+    size = met.groupBy("anchor").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
+    part = lambda n, bound: F.ceil(F.col(n) / bound).cast("int")
+    pick = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "fp"), F.col(n)).cast("int")
+    grid = met.join(size, "anchor").select("anchor", "fp", "at_home", part("n_homes", HOMES).alias("rows"), part("n_copies", COPIES).alias("cols"))
+    name = lambda r, c: F.xxhash64("anchor", r, c).alias("cell")
+    copied = grid.select("anchor", "fp", pick(1, "cols").alias("c"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r")).select(name("r", "c"), F.lit(0).alias("side"), "fp")
+    owned = grid.where("at_home").select("anchor", "fp", pick(2, "rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c")).select(name("r", "c"), F.lit(1).alias("side"), "fp")
+    return copied.unionByName(owned)
+
+
 def link_components(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     """(fp, root) of every fingerprint that links to another; ``distinct`` has one row per fingerprint."""
-    copied = distinct.select("fp").mapInArrow(copies(threshold), "anchor long, fp long")
-    links = copied.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare(threshold), "src long, dst long")
+    links = cells(distinct, threshold).repartition("cell").sortWithinPartitions("cell").mapInArrow(compare(threshold), "src long, dst long")
     return star_components(links).withColumnsRenamed({"node": "fp", "component": "root"})
 
 
