@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode defines it, plus the four ASCII separators.
 SPACE = "(?U)[\\s\\x1c-\\x1f\\x85]+"
+# Fixed value: what counts as a token of a name.
 TOKEN = "[0-9A-Za-zА-Яа-яЁё-]+"
 
 # Measurement units that are stripped from the end of a label, as regular expressions.
@@ -168,6 +169,9 @@ def listing(items: Column) -> Column:
     return F.when(joined == "", "none").otherwise(joined)
 
 
+# The labels of the lines below.
+
+
 def context_text(name: Column, norm: Column, out_preds: Column, in_preds: Column, children: Column | None, occurrences: Column) -> Column:
     """Description of a concept, a labelled line each; ``children`` None leaves the frame line out."""
     lines = [

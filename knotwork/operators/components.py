@@ -31,7 +31,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): each vertex of an edge and the smallest vertex that it is connected with.
 
-    Null ends and self-loops link nothing (a vertex with only self-loops is its own component).
+    Null ends and self-loops link nothing (a vertex with only self-loops is its own component). Rounds grow with
+    the logarithm of the graph; ``max_rounds`` is an error, never an early end.
     """
     kind = dict(edges.dtypes)[src]
     ends = materialize(edges.select(F.col(src).alias("x"), F.col(dst).cast(kind).alias("y")).where("x is not null and y is not null").distinct(), "links")
@@ -45,6 +46,8 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components are not done after {max_rounds} rounds")
     loops = ends.where("x = y").select(F.col("x").alias("node")).distinct()
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
     alone = loops.join(stars, "node", "left_anti").select("node", F.col("node").alias("component"))

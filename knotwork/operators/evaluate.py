@@ -10,11 +10,12 @@ way in the triplet's texts and frame terms. The first match by (kind, index orde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical
 from ..session import materialize
+from .store import numbered
 
 ROLES = ("subject", "predicate", "object")
 
@@ -118,4 +119,4 @@ def recall(detail: DataFrame) -> DataFrame:
 
 def match_order(detail: DataFrame) -> DataFrame:
     """Detail rows numbered in order of their key."""
-    return detail.withColumn("n", F.row_number().over(Window.orderBy("row_key")))
+    return numbered(detail, ["row_key"], "n")

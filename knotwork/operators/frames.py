@@ -1,26 +1,31 @@
 """Frames: recursive trees ``{text, frame: [...]}`` kept as VARIANT at the edge and as adjacency rows inside.
 
-Spark structs cannot recurse, so a tree is flattened level by level with ``variant_explode``; a level is one
-projection over the frontier, and the loop ends at the deepest tree.
+Spark's structs and expressions cannot recurse, so a tree is walked once, in Arrow batches, into a row per node;
+what a node says is read from those rows with Spark's own functions. Trees of any depth take one pass.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_name, slot_text
-from ..session import materialize
 
-NODE = "depth int, path string, parent_path string, ord int, text string, node variant"
+NODE_NAMES = ["depth", "path", "parent_path", "ord", "node"]
+NODE_TYPES = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
+NODES_AT_ONCE = 20_000
 
 
 def role_frame(slot: Column) -> Column:
-    """Any VARIANT slot as JSON of ``{text, frame}``: objects keep their frame, everything else gets an empty one."""
-    frame = F.try_variant_get(slot, "$.frame", "variant")
-    is_list = F.coalesce(F.schema_of_variant(frame).startswith("ARRAY"), F.lit(False))
-    children = F.when(is_list, F.to_json(frame)).otherwise("[]")
-    return F.concat(F.lit('{"text":'), F.to_json(F.parse_json(F.concat(F.lit('"'), _quoted(slot_text(slot)), F.lit('"')))), F.lit(',"frame":'), children, F.lit("}"))
+    """Any VARIANT slot as JSON of a frame: an object with text and frame stays whole, anything else gets an empty frame."""
+    whole = F.schema_of_variant(slot).startswith("OBJECT") & F.try_variant_get(slot, "$.text", "variant").isNotNull() & F.try_variant_get(slot, "$.frame", "variant").isNotNull()
+    plain = F.concat(F.lit('{"frame":[],"text":'), F.to_json(F.parse_json(F.concat(F.lit('"'), _quoted(slot_text(slot)), F.lit('"')))), F.lit("}"))
+    return F.when(whole, F.to_json(slot)).otherwise(plain)
 
 
 def _quoted(text: Column) -> Column:
@@ -31,28 +36,49 @@ def _quoted(text: Column) -> Column:
     return out
 
 
-def flatten(trees: DataFrame, keys: list[str], frame: str = "frame", max_depth: int = 200) -> DataFrame:
+def walk(tree: Any) -> Iterator[tuple[int, str, str | None, int, str]]:
+    """(depth, path, parent's path, ord, JSON without children) of each node, parents before children."""
+    stack: list[tuple[Any, int, str, str | None, int]] = [(tree, 0, "0", None, 0)]
+    while stack:
+        node, depth, path, parent, at = stack.pop()
+        own, children = node, None
+        if isinstance(node, dict):
+            own, children = {k: v for k, v in node.items() if k != "frame"}, node.get("frame")
+        yield depth, path, parent, at, json.dumps(own, ensure_ascii=False)
+        if isinstance(children, list):
+            stack += [(c, depth + 1, f"{path}.{k}", path, k) for k, c in reversed(list(enumerate(children)))]
+
+
+def flatten(trees: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
     """(keys, depth, path, parent_path, ord, text, norm, lemma, edge_label, is_root) in rows, a row per node.
 
-    Paths are dotted positions from ``0``; a child without text is kept if it has children.
+    Paths are dotted positions from ``0``; a child without text is kept. Null trees have no node.
     """
-    level = trees.where(F.col(frame).isNotNull()).select(
-        *keys, F.lit(0).alias("depth"), F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(0).alias("ord"), slot_text(F.col(frame)).alias("text"), F.col(frame).alias("node"))
-    levels: list[DataFrame] = []
-    for depth in range(max_depth):
-        level = materialize(level.withColumn("node", F.to_json("node")), "frames").withColumn("node", F.parse_json("node"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-        children = level.select(*keys, F.col("path").alias("parent_path"), F.posexplode(F.try_variant_get("node", "$.frame", "array<variant>")).alias("ord", "child"))
-        level = children.select(*keys, F.lit(depth + 1).alias("depth"), F.concat("parent_path", F.lit("."), F.col("ord").cast("string")).alias("path"), "parent_path", "ord", slot_text(F.col("child")).alias("text"), F.col("child").alias("node"))
-    if not levels:
-        levels = [level]
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    return every.select(
-        *keys, "depth", "path", "parent_path", "ord", "text", entity_name(F.col("text")).alias("norm"), F.try_variant_get("node", "$.lemma", "string").alias("lemma"), F.try_variant_get("node", "$.edge_label", "string").alias("edge_label"), (F.col("depth") == 0).alias("is_root"))
+    rows = trees.where(F.col(frame).isNotNull()).select(*keys, F.to_json(frame).alias("_tree"))
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(batch: pa.RecordBatch, owner: list[int], found: list[tuple]) -> pa.RecordBatch:
+            mine = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*mine, *(pa.array(c, t) for c, t in zip(zip(*found), NODE_TYPES, strict=True))], names=[*keys, *NODE_NAMES])
+
+        for batch in batches:
+            owner, found = [], []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                for node in walk(json.loads(text)):
+                    owner.append(i)
+                    found.append(node)
+                    if len(found) >= NODES_AT_ONCE:
+                        yield out(batch, owner, found)
+                        owner, found = [], []
+            if found:
+                yield out(batch, owner, found)
+
+    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "depth int, path string, parent_path string, ord int, node string"])
+    nodes = rows.mapInArrow(run, ddl).withColumn("node", F.parse_json("node"))
+    return nodes.select(
+        *keys, "depth", "path", "parent_path", "ord", slot_text(F.col("node")).alias("text"), F.try_variant_get("node", "$.lemma", "string").alias("lemma"), F.nullif(slot_text(F.try_variant_get("node", "$.edge_label", "variant")), F.lit("")).alias("edge_label"), (F.col("depth") == 0).alias("is_root"),
+    ).withColumn("norm", entity_name(F.col("text"))).select(*keys, "depth", "path", "parent_path", "ord", "text", "norm", "lemma", "edge_label", "is_root")
 
 
 def frame_edges(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,9 +114,9 @@ def frame_terms(nodes: DataFrame) -> DataFrame:
 
 
 def node_rows(nodes: DataFrame, instances: DataFrame) -> DataFrame:
-    """Flattened nodes as rows of the store's node table, ids apart: instances give frame_instance_id."""
+    """Flattened nodes as rows of the store's node table, ids apart: instances give frame_instance_id. The lemma is the text."""
     placed = nodes.join(instances.select("triplet_id", "role", F.col("id").alias("frame_instance_id")), ["triplet_id", "role"])
-    return placed.select("frame_instance_id", "parent_path", F.col("text").alias("node_text"), F.col("norm").alias("node_norm"), F.col("lemma").alias("node_lemma"), "edge_label", "depth", "path", "ord", "is_root")
+    return placed.select("frame_instance_id", "parent_path", F.col("text").alias("node_text"), F.col("norm").alias("node_norm"), F.col("text").alias("node_lemma"), "edge_label", "depth", "path", "ord", "is_root")
 
 
 def normalize_slots(inner: DataFrame, keys: list[str], role: str) -> DataFrame:

@@ -72,7 +72,7 @@ def _core(tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return preds, near.where(subject).select("sentence_id", "pred", F.col("id").alias("word")), near.where(~subject & obj).select("sentence_id", "pred", F.col("id").alias("word"))
 
 
-def _coordinated(tokens: DataFrame, words: DataFrame, flat_names: bool, max_rounds: int = 50) -> DataFrame:
+def _coordinated(tokens: DataFrame, words: DataFrame, flat_names: bool) -> DataFrame:
     """Words and what is coordinated with them: conj and parataxis nouns, and foreign name parts if asked for."""
     nouns = tokens.where(F.col("upos").isin(*NOUNS))
     linked = F.col("deprel").isin("conj", "parataxis")
@@ -81,7 +81,7 @@ def _coordinated(tokens: DataFrame, words: DataFrame, flat_names: bool, max_roun
     step = materialize(nouns.where(linked).select("sentence_id", F.col("head").alias("word"), F.col("id").alias("next")), "step")
     every = materialize(words.distinct(), "words")
     frontier = every
-    for _ in range(max_rounds):
+    while True:  # each round adds words or is the last
         grown = frontier.join(step, ["sentence_id", "word"]).select("sentence_id", "pred", F.col("next").alias("word")).distinct()
         frontier = materialize(grown.join(every, ["sentence_id", "pred", "word"], "left_anti"), "words")
         if frontier.isEmpty():
@@ -112,7 +112,7 @@ def arguments(tokens: DataFrame, share_objects: bool = False) -> tuple[DataFrame
     heads = preds.select("sentence_id", F.col("pred").alias("pred_head"), F.col("pred_short").alias("head_short"))
     dependent = preds.join(heads, ["sentence_id", "pred_head"])
     # In order of predicates: a head before its dependent has inherited already, one after it has not.
-    for _ in range(20):
+    while True:  # each round gives a subject to a predicate without one or is the last
         lacking = dependent.join(subjects, ["sentence_id", "pred"], "left_anti")
         inherited = lacking.join(subjects.withColumnsRenamed({"pred": "pred_head"}), ["sentence_id", "pred_head"]).select("sentence_id", "pred", "pred_head", "word")
         new = materialize(inherited.select("sentence_id", "pred", "word"), "args")
@@ -167,7 +167,7 @@ def node_text() -> Column:
     return F.when((F.col("upos") == "ADJ") | ((F.col("upos") == "VERB") & feature("VerbForm", "Part")), F.lower("text")).otherwise(F.col("lemma"))
 
 
-def frame_rows(tokens: DataFrame, triplets: DataFrame, max_depth: int = 50) -> DataFrame:
+def frame_rows(tokens: DataFrame, triplets: DataFrame, max_depth: int = 1000) -> DataFrame:
     """Frames of a triplet's words: the parse tree below each, without function words and the other core words.
 
     (triplet_key, role, depth, path, text); ``triplets`` needs triplet_key, sentence_id and the three ids.
@@ -186,6 +186,8 @@ def frame_rows(tokens: DataFrame, triplets: DataFrame, max_depth: int = 50) -> D
         levels.append(level)
         below = level.join(kept, ["sentence_id", "id"]).where(~F.array_contains("blocked", F.col("child"))).withColumn("parent", F.col("path"))
         level = below.select("triplet_key", "sentence_id", "blocked", "role", F.col("child").alias("id"), F.lit(depth + 1).alias("depth"), F.concat("path", F.lit("."), (F.row_number().over(order) - 1).cast("string")).alias("path"))
+    else:
+        raise RuntimeError(f"a parse deeper than {max_depth}: heads that lead back to themselves are no tree")
     every = levels[0] if levels else level
     for x in levels[1:]:
         every = every.unionByName(x)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import drop_materialized, materialize
 from .components import star_components
+from .store import numbered
 
+# Key and name of the root above all component roots.
 VIRTUAL_ROOT = "__graph_root__"
 VIRTUAL_ROOT_NAME = "Global graph root"
 
@@ -81,13 +83,13 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
         base = (1 - alpha) / count + alpha * loose / count
         got = links.join(ranks.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("r")).alias("c"))
         fresh = materialize(ranks.join(got, "node", "left").select("node", "dangling", F.col("r").alias("old"), (F.lit(base) + F.coalesce("c", F.lit(0.0))).alias("r")), "ranks")
-        total, loose_sum = fresh.agg(F.sum("r"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0))).first()
-        error = fresh.agg(F.sum(F.abs(F.col("r") / total - F.col("old")))).first()[0] if tol else 1.0
+        # A step keeps the sum at one but for rounding, so the change can be taken before it is divided by it.
+        total, loose_sum, error = fresh.agg(F.sum("r"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0)), F.sum(F.abs(F.col("r") - F.col("old")))).first()
         if step:
             drop_materialized(ranks)
         ranks = fresh.select("node", "dangling", (F.col("r") / total).alias("r"))
         loose = loose_sum / total
-        if error < tol:
+        if tol and error < tol:
             break
     return ranks.select("node", F.col("r").alias("pagerank"))
 
@@ -102,11 +104,11 @@ def component_sizes(edges: DataFrame, members: DataFrame | None = None) -> DataF
     members = members if members is not None else components(edges)
     nodes = members.groupBy("component").agg(F.count("*").alias("nodes_count"))
     inside = edges.select("src", "dst").distinct().join(members.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count("*").alias("edges_count"))
-    # One row per component: numbering them is the one global order in this module.
-    return nodes.join(inside, "component", "left").select(F.row_number().over(Window.orderBy("component")).cast("long").alias("component_id"), "component", "nodes_count", F.coalesce("edges_count", F.lit(0).cast("long")).alias("edges_count"))
+    sized = nodes.join(inside, "component", "left").select("component", "nodes_count", F.coalesce("edges_count", F.lit(0).cast("long")).alias("edges_count"))
+    return numbered(sized, ["component"], "component_id").select("component_id", "component", "nodes_count", "edges_count")
 
 
-def reachable(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(start, node): all nodes that a start reaches by one edge or more, itself left out.
 
     Semi-naive: only pairs found in the last round are extended. The result is the closure, so it is asked for
@@ -117,7 +119,7 @@ def reachable(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int
     frontier = materialize(begin.select(F.col("src").alias("start"), F.col("dst").alias("node")), "reach")
     parts = [frontier]
     seen = frontier
-    for _ in range(max_rounds):
+    while True:  # each round finds new pairs or is the last
         grown = frontier.join(e.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).where("start <> node").distinct()
         frontier = materialize(grown.join(seen, ["start", "node"], "left_anti"), "reach")
         if frontier.isEmpty():
@@ -137,13 +139,13 @@ def descendant_counts(edges: DataFrame, starts: DataFrame | None = None) -> Data
     return every.join(found, "node", "left").select("node", F.coalesce("descendants", F.lit(0).cast("long")).alias("descendants"))
 
 
-def component_roots(edges: DataFrame, ranks: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+def component_roots(edges: DataFrame, ranks: DataFrame | None = None, labels: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """One row per component: its root and sizes.
 
     Candidates are nodes without incoming edges, or all nodes if there is none. The root has the most
     descendants, then the highest PageRank, the fewest incoming and most outgoing edges, the first label.
     """
-    members = materialize(components(edges), "members")
+    members = members if members is not None else materialize(components(edges), "members")
     d = degrees(edges)
     ranks = ranks if ranks is not None else pagerank(edges)
     info = materialize(members.join(d, "node").join(ranks, "node"), "info")
@@ -170,14 +172,14 @@ def global_root(roots: DataFrame) -> DataFrame:
     )
 
 
-def cyclic_core(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def cyclic_core(edges: DataFrame) -> DataFrame:
     """The edges that remain after peeling nodes without incoming or without outgoing edges, again and again.
 
     Empty if and only if the graph has no cycle.
     """
     core = materialize(edges.select("src", "dst").distinct(), "core")
     size = core.count()
-    for _ in range(max_rounds):
+    while True:  # each round drops edges or is the last
         fed = core.select(F.col("dst").alias("src")).distinct()
         feeding = core.select(F.col("src").alias("dst")).distinct()
         after = materialize(core.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst"), "core")

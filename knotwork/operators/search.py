@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 
+# The columns that a text search of each table looks at.
 BROWSE = {
     "documents": ("source_name", "content_hash"),
     "triplets": ("subject_text", "predicate_text", "object_text", "sentence_text", "extraction_stage"),
@@ -19,6 +20,7 @@ BROWSE = {
     "concept_aliases": ("alias_text", "alias_norm", "source", "status", "review_note"),
     "node_concept_links": ("link_type", "method"),
 }
+# Types of links between concepts that people made or approved.
 CONCEPT_LINKS = ("APPROVED_ALIAS_OF", "APPROVED_BROADER_THAN", "APPROVED_CONTEXT_LINK", "MANUAL_CONTEXT_LINK", "MANUAL_COMPONENT_LINK")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import entity_name
 from ..session import materialize
+from .frames import flatten, fold, node_rows
 
 _SCHEMAS = {
     "documents": "id long, source_name string, content_hash string, created_at timestamp",
@@ -56,12 +57,10 @@ def numbered(rows: DataFrame, order: Sequence[str], column: str = "id", start: i
     Rows are range-sorted; a partition's offset is the count of the partitions before it (a row each).
     """
     placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    first = {r["_part"]: r["a"] for r in placed.groupBy("_part").agg(F.min("_at").alias("a")).collect()}
     total, shifts = 0, []
-    for part in sorted(counts):
-        shifts.append((part, total - first[part]))
-        total += counts[part]
+    for part, rows_in, first in sorted(map(tuple, placed.groupBy("_part").agg(F.count("*"), F.min("_at")).collect())):
+        shifts.append((part, total - first))
+        total += rows_in
     shift = rows.sparkSession.createDataFrame(shifts, "_part int, _shift long")
     base = start if isinstance(start, Column) else F.lit(start)
     return placed.join(F.broadcast(shift), "_part").withColumn(column, (F.col("_at") + F.col("_shift") + 1 + base).cast("long")).drop("_part", "_at", "_shift")
@@ -118,27 +117,71 @@ def replace_by_key(stored: DataFrame, fresh: DataFrame, key: Sequence[str], owne
     return stored.join(gone, list(key), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def save_triplets(store: dict[str, DataFrame], payload: DataFrame, now: Column, stage: str = "llm") -> tuple[dict[str, DataFrame], DataFrame]:
-    """Save payload rows (source_name, content_hash, row_idx, *_text, sentence_text) and say how many.
+ROLES = ("subject", "predicate", "object")
+#: Tables that saving triplets writes.
+SAVED = ("documents", "triplets", "triplet_frames", "frame_instances", "frame_nodes")
 
-    Idempotent: saving the same payload again changes source names at most.
+
+def payload_frames(placed: DataFrame, triplets: DataFrame) -> DataFrame:
+    """(triplet_id, sentence_text, role, root_text, frame_json): the frame of each role of the payload's triplets.
+
+    Payloads without frame columns get a frame of the text alone.
+    """
+    key = list(KEYS["triplets"])
+    text_only = lambda r: F.to_json(F.struct(F.array().cast("array<string>").alias("frame"), F.coalesce(f"{r}_text", F.lit("")).alias("text")))
+    frame = lambda r: F.col(f"{r}_frame") if f"{r}_frame" in placed.columns else text_only(r)
+    held = placed.groupBy(*key).agg(F.max(F.struct(*(frame(r).alias(r) for r in ROLES))).alias("frames"))
+    rows = triplets.select("id", "sentence_text", *key).join(held, key)
+    roles = F.inline(F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"{r}_text").alias("root_text"), F.col(f"frames.{r}").alias("frame_json")) for r in ROLES)))
+    return rows.select(F.col("id").alias("triplet_id"), "sentence_text", roles)
+
+
+def save_frame_nodes(stored: DataFrame, nodes: DataFrame, instances: DataFrame, now: Column) -> DataFrame:
+    """The node table with flattened frames (triplet_id, role, ...) in place of those their instances had.
+
+    A node that stays at its path keeps its id; new ones are numbered; paths that are gone go.
+    """
+    key = ["frame_instance_id", "path"]
+    fresh = materialize(node_rows(nodes, instances).withColumn("created_at", now), "nodes")
+    owners = fresh.select("frame_instance_id").distinct()
+    known = stored.join(owners, "frame_instance_id", "left_semi").select(*key, "id", F.col("created_at").alias("since"))
+    merged = fresh.join(known, key, "left").withColumn("created_at", F.coalesce("since", "created_at")).withColumn("_created", F.col("id").isNull()).drop("since")
+    placed = materialize(assign_ids(merged, key, stored), "placed")
+    parents = placed.select("frame_instance_id", F.col("path").alias("parent_path"), F.col("id").alias("parent_node_id"))
+    linked = placed.join(parents, ["frame_instance_id", "parent_path"], "left")
+    names = SCHEMAS["frame_nodes"].names
+    return stored.join(owners, "frame_instance_id", "left_anti").select(*names).unionByName(linked.select(*names))
+
+
+def save_triplets(store: dict[str, DataFrame], payload: DataFrame, now: Column, stage: str = "llm", empty_frames: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Save payload rows (source_name, content_hash, row_idx, *_text, sentence_text, and *_frame if there are any) and say how many.
+
+    Idempotent: saving the same payload again changes source names at most. Each role's frame is kept as JSON
+    (triplet_frames), as an occurrence (frame_instances) and as a tree of nodes with parents (frame_nodes).
+    Frames without any text are left out unless ``empty_frames`` asks for one in every role.
     """
     documents = materialize(upsert_documents(store["documents"], payload.select("source_name", "content_hash"), now), "documents")
-    placed = payload.join(documents.select("content_hash", F.col("id").alias("document_id")), "content_hash")
-    fresh = placed.select("document_id", F.col("row_idx").cast("int").alias("row_idx"), F.lit(stage).alias("extraction_stage"), "subject_text", "predicate_text", "object_text", "sentence_text")
+    placed = payload.join(documents.select("content_hash", F.col("id").alias("document_id")), "content_hash").withColumns({"row_idx": F.col("row_idx").cast("int"), "extraction_stage": F.lit(stage)})
+    placed = materialize(placed, "placed")
+    fresh = placed.select(*KEYS["triplets"], "sentence_text")
     triplets = materialize(upsert_triplets(store["triplets"], fresh, now), "triplets")
     mine = triplets.join(placed.select("document_id").distinct(), "document_id", "left_semi")
-    roles = F.inline(F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"{r}_text").alias("root_text")) for r in ("subject", "predicate", "object"))))
-    flat = mine.select(F.col("id").alias("triplet_id"), "sentence_text", roles).where("root_text <> ''")
-    frames = flat.select("triplet_id", "role", F.to_json(F.struct(F.col("root_text").alias("text"), F.array().cast("array<string>").alias("frame"))).alias("frame_json"), now.alias("created_at"))
-    instances = flat.select("triplet_id", "role", "root_text", entity_name(F.col("root_text")).alias("root_norm"), "sentence_text", now.alias("created_at"))
     key = ["triplet_id", "role"]
+    flat = materialize(payload_frames(placed, triplets), "payload_frames")
+    nodes = materialize(flatten(flat.select(*key, F.try_parse_json("frame_json").alias("frame")), key), "flat_nodes")
+    if not empty_frames:
+        full = fold(nodes, key).where("has_content").select(*key)
+        flat, nodes = materialize(flat.join(full, key, "left_semi"), "payload_frames"), nodes.join(full, key, "left_semi")
+    frames = flat.select("triplet_id", "role", "frame_json", now.alias("created_at"))
+    instances = flat.select("triplet_id", "role", "root_text", entity_name(F.col("root_text")).alias("root_norm"), "sentence_text", now.alias("created_at"))
     keep = {"created_at": F.coalesce("old.created_at", "new.created_at")}
+    placed_instances = materialize(assign_ids(upsert(store["frame_instances"], instances, key, keep), key, store["frame_instances"]).select(*SCHEMAS["frame_instances"].names), "instances")
     out = dict(store) | {
         "documents": documents,
         "triplets": triplets,
         "triplet_frames": assign_ids(upsert(store["triplet_frames"], frames, key, keep), key, store["triplet_frames"]).select(*SCHEMAS["triplet_frames"].names),
-        "frame_instances": assign_ids(upsert(store["frame_instances"], instances, key, keep), key, store["frame_instances"]).select(*SCHEMAS["frame_instances"].names),
+        "frame_instances": placed_instances,
+        "frame_nodes": save_frame_nodes(store["frame_nodes"], nodes, placed_instances, now),
     }
     counts = placed.agg(F.countDistinct("document_id").alias("documents")).join(mine.agg(F.count("*").alias("triplets"))).join(frames.agg(F.count("*").alias("frames")))
     return out, counts

@@ -116,12 +116,12 @@ def fragility_report(impact: DataFrame, limit: int = 50) -> DataFrame:
     return impact.orderBy(F.desc("impact_score"), F.desc("is_articulation_point"), F.desc("component_gain"), F.desc("largest_component_loss"), F.desc("total_degree"), "node").limit(limit)
 
 
-def fragility(edges: DataFrame) -> DataFrame:
+def fragility(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row: shares of articulation points and bridges, largest effects, and the fragility score.
 
     ``0.35 articulation share + 0.25 bridge share + 0.40 top impact``; zeros for an empty graph.
     """
-    found = materialize(low_link(edges), "low_link")
+    found = found if found is not None else materialize(low_link(edges), "low_link")
     impact = removal_impact(edges, found=found)
     undirected = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count("*").alias("edge_count"))
     bridges = bridge_edges(edges, found).agg(F.count("*").alias("bridges"))

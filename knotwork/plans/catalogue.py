@@ -689,3 +689,152 @@ def grammar_spo(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.split("p_name", " ")
     tokens = p.select(F.col("p_partkey").alias("sentence_id"), F.inline(F.array(word(1, F.get(name, F.lit(0)), "ADJ", 2, "amod"), word(2, F.get(name, F.lit(1)), "NOUN", 3, "nsubj"), word(3, F.lit("weighs"), "VERB", 0, "root"), word(4, F.col("p_brand"), "PROPN", 3, "obj"))))
     return grammar.extract(tokens).select("sentence_id", "subject", "predicate", "object")
+
+
+# Saving, concept links and views
+
+
+def _part_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as one payload of triplets: the name as a frame above brand and type, a verb, and no object."""
+    p = load(spark, sf_dir, "part")
+    leaf = lambda c: F.to_json(F.struct(c.alias("text")))
+    name = F.to_json(F.struct(F.col("p_name").alias("text")))
+    tree = F.concat(F.left(name, F.length(name) - 1), F.lit(',"frame":['), leaf(F.col("p_brand")), F.lit(',{"text":"type","edge_label":"kind","frame":['), leaf(F.col("p_type")), F.lit("]}]}"))
+    return p.select(F.lit("part").alias("source_name"), F.lit("p").alias("content_hash"), F.col("p_partkey").cast("int").alias("position"), F.parse_json(F.concat(F.lit('{"subject":'), tree, F.lit(',"predicate":"has","object":null}'))).alias("triplet"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS row_idx, 'subject' AS role, '0' AS path, NULL AS parent, 0 AS depth, p_name AS node_text, NULL AS edge_label FROM part
+      UNION ALL SELECT p_partkey, 'subject', '0.0', '0', 1, p_brand, NULL FROM part UNION ALL SELECT p_partkey, 'subject', '0.1', '0', 1, 'type', 'kind' FROM part
+      UNION ALL SELECT p_partkey, 'subject', '0.1.0', '0.1', 2, p_type, NULL FROM part UNION ALL SELECT p_partkey, 'predicate', '0', NULL, 0, 'has', NULL FROM part UNION ALL SELECT p_partkey, 'object', '0', NULL, 0, '', NULL FROM part)
+    SELECT n.row_idx, n.role, n.path, n.depth, n.node_text, n.edge_label, q.node_text AS parent_text FROM n LEFT JOIN n q ON q.row_idx = n.row_idx AND q.role = n.role AND q.path = n.parent""")
+def save_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.payload_rows(_part_payload(spark, sf_dir))
+    saved, _ = store.save_triplets(store.empty_store(spark), rows, F.lit("2024-01-01 00:00:00").cast("timestamp"), empty_frames=True)
+    nodes, instances, triplets = saved["frame_nodes"], saved["frame_instances"], saved["triplets"]
+    parents = nodes.select(F.col("id").alias("parent_node_id"), F.col("node_text").alias("parent_text"))
+    placed = nodes.join(instances.select(F.col("id").alias("frame_instance_id"), "triplet_id", "role"), "frame_instance_id").join(triplets.select(F.col("id").alias("triplet_id"), "row_idx"), "triplet_id")
+    return placed.join(parents, "parent_node_id", "left").select(F.col("row_idx").cast("long").alias("row_idx"), "role", "path", "depth", "node_text", "edge_label", "parent_text")
+
+
+@query(f"""WITH {MATRIX}, t AS (SELECT *, triplet_id // 3 AS row_idx FROM matrix WHERE triplet_id % 2 = 0 OR triplet_id % 3 = 0)
+    SELECT row_idx, object AS object_text, CASE WHEN triplet_id % 3 = 0 THEN 'new' ELSE 'old' END AS sentence_text, CASE WHEN triplet_id % 2 = 0 THEN triplet_id END AS kept_id FROM t""")
+def upsert_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store_triplets(spark, sf_dir).withColumns({"row_idx": F.floor(F.col("id") / 3).cast("int"), "confidence": F.lit(None).cast("double"), "created_at": F.lit("2024-01-01 00:00:00").cast("timestamp")})
+    stored = rows.where("id % 2 = 0").withColumn("sentence_text", F.lit("old")).select(*store.SCHEMAS["triplets"].names)
+    fresh = rows.where("id % 3 = 0").withColumn("sentence_text", F.lit("new")).select(*store.KEYS["triplets"], "sentence_text")
+    known = materialize(stored, "stored")
+    merged = store.upsert_triplets(known, fresh, F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    top = known.agg(F.max("id")).first()[0]
+    return merged.select(F.col("row_idx").cast("long").alias("row_idx"), "object_text", "sentence_text", F.when(F.col("id") <= top, F.col("id")).alias("kept_id"))
+
+
+@query("""WITH s AS (SELECT DISTINCT p_name AS n, p_size % 2 = 0 AS even FROM part), k AS (SELECT n, bool_or(even) AS old, bool_or(NOT even) AS fresh FROM s GROUP BY 1)
+    SELECT n AS canonical_norm, CASE WHEN fresh THEN upper(n) ELSE n END AS canonical_name, CASE WHEN old AND length(n) % 2 = 0 THEN 'approved' ELSE 'candidate' END AS concept_type FROM k""")
+def ensure_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of even sizes are stored, some approved; those of odd sizes come, spelt in capitals."""
+    p = load(spark, sf_dir, "part").select(F.col("p_name").alias("n"), (F.col("p_size") % 2).alias("odd")).distinct()
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    first = store.ensure_concepts(spark.createDataFrame([], store.SCHEMAS["concepts"]), p.where("odd = 0").select(F.col("n").alias("canonical_norm"), F.col("n").alias("canonical_name")), now)
+    stored = materialize(first.withColumn("concept_type", F.when(F.length("canonical_norm") % 2 == 0, "approved").otherwise(F.col("concept_type"))), "concepts")
+    fresh = p.where("odd = 1").select(F.col("n").alias("canonical_norm"), F.upper("n").alias("canonical_name"))
+    return store.ensure_concepts(stored, fresh, now).select("canonical_norm", "canonical_name", "concept_type")
+
+
+def _asked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to link each nation to its region, of all kinds, some to places that do not exist."""
+    n = load(spark, sf_dir, "nation")
+    kind = F.element_at(F.array(*map(F.lit, ("alias", "broader", "context", "odd"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return n.select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r:"), F.when(F.col("n_nationkey") % 6 == 5, F.lit("none")).otherwise(F.col("n_regionkey").cast("string"))).alias("dst"), kind.alias("kind"), F.lit("in").alias("relation_text"), F.col("n_name").alias("note"))
+
+
+@query("""SELECT 'n:' || n_nationkey AS src, 'r:' || n_regionkey AS dst, ['APPROVED_ALIAS_OF', 'APPROVED_BROADER_THAN', 'APPROVED_CONTEXT_LINK', 'MANUAL_CONTEXT_LINK'][n_nationkey % 4 + 1] AS type, n_name AS note FROM nation WHERE n_nationkey % 6 <> 5""")
+def approved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.approved_links(_asked_links(spark, sf_dir), graph.edge_nodes(geo(spark, sf_dir)).withColumnRenamed("node", "norm")).select("src", "dst", "type", "note")
+
+
+@query("""SELECT 'n:' || n_nationkey AS src_name, ['APPROVED_ALIAS_OF', 'APPROVED_BROADER_THAN', 'APPROVED_CONTEXT_LINK', 'MANUAL_CONTEXT_LINK'][n_nationkey % 4 + 1] AS type, n_name AS note FROM nation WHERE n_nationkey % 6 <> 5 AND concat_ws(' ', 'n:' || n_nationkey, 'r:' || n_regionkey, n_name) ILIKE '%1%' ORDER BY type, src_name LIMIT 200""")
+def approved_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = store.approved_links(_asked_links(spark, sf_dir), graph.edge_nodes(geo(spark, sf_dir)).withColumnRenamed("node", "norm"))
+    return search.approved_list(found.withColumns({"src_name": F.col("src"), "dst_name": F.col("dst")}), contains="1").select("src_name", "type", "note")
+
+
+@query("""SELECT DISTINCT lower(string_split(p_name, ' ')[2]) AS src, lower(p_name) AS dst FROM part""")
+def synonym_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second word of part names as the root of all names that end in it; the root itself and blanks are no children."""
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", F.get(F.split("p_name", " "), F.lit(1)).alias("root"))
+    children = p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), "root").unionByName(p.select(F.lit(-1).cast("long").alias("ord"), F.upper("root").alias("name"), "root")).unionByName(p.select(F.lit(-2).cast("long").alias("ord"), F.lit(" ").alias("name"), "root"))
+    return store.synonym_component(F.col("root"), children).select("src", "dst")
+
+
+@query(f"""WITH {GEO} SELECT src, dst, 'CONTEXT_BRIDGE' AS type FROM geo WHERE src LIKE 'r:%' UNION ALL SELECT dst, src, 'SYNONYM_CANDIDATE' FROM geo WHERE src LIKE 'n:%'""")
+def rebuild_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = geo(spark, sf_dir)
+    stored = g.withColumn("type", F.when(F.col("src").startswith("r:"), "CONTEXT_BRIDGE").otherwise("SYNONYM_CANDIDATE"))
+    fresh = g.where("src like 'n:%'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return store.rebuild_derived(stored, fresh, "SYNONYM_CANDIDATE")
+
+
+@query(f"""WITH {MATRIX} SELECT triplet_id, lower(subject) AS src, predicate, lower(object) AS dst FROM matrix WHERE document_id = 3 AND subject ILIKE '%bolt%' ORDER BY triplet_id, src, dst LIMIT 200""")
+def concept_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir).select("triplet_id", "document_id", F.lower("subject").alias("src"), F.col("subject").alias("src_name"), "predicate", F.lower("object").alias("dst"), F.col("object").alias("dst_name"))
+    return search.concept_relations(m, "BOLT", 3).select("triplet_id", "src", "predicate", "dst")
+
+
+@query(f"""WITH {MATRIX} SELECT triplet_id, document_id, subject, predicate, object, '' AS sentence FROM matrix WHERE triplet_id = 31""")
+def triplet_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.triplet_by_id(store_triplets(spark, sf_dir), 31)
+
+
+@query("""SELECT 'bridge ' || round(s_acctbal, 2) AS label, s_name AS l_name FROM (SELECT s_name, s_suppkey, round(0.25 + s_suppkey % 40 / 80.0, 2) AS s_acctbal FROM supplier) WHERE s_name ILIKE '%1%' ORDER BY s_acctbal DESC, s_name LIMIT 200""")
+def bridge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = load(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("l_norm"), F.col("s_name").alias("l_name"), F.lit("r").alias("r_norm"), F.lit("r").alias("r_name"), F.lit("").alias("shared_predicates"), F.lit("").alias("shared_children"),
+        F.round(0.25 + F.col("s_suppkey") % 40 / 80.0, 2).alias("bridge_score"), F.lit(0.5).alias("structural_score"), F.lit(0.5).alias("embedding_score"))
+    return search.bridge_list(s, "1").select("label", "l_name")
+
+
+@query("""SELECT conv_id, turn AS row_idx, role AS src, CASE WHEN turn % 2 = 0 THEN 'says' ELSE '∅' END AS label, CASE WHEN turn % 3 = 0 THEN '∅' ELSE 'x' END AS dst FROM conversations""")
+def payload_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("row_idx"), F.col("role").alias("subject_text"), F.when(F.col("turn") % 2 == 0, "says").alias("predicate_text"), F.when(F.col("turn") % 3 == 0, "").otherwise("x").alias("object_text"))
+    _, edges = search.payload_graph(rows)
+    return edges.select("row_idx.conv_id", F.col("row_idx.turn").alias("row_idx"), "src", "label", "dst")
+
+
+@query("""WITH e AS (SELECT 't' || event_id AS h, event_type, props->>'$.k' AS k FROM events)
+    SELECT h AS src, h || ':subject' AS dst, 'subject' AS label, 'solid' AS style FROM e UNION ALL SELECT h, h || ':predicate', 'predicate', 'solid' FROM e UNION ALL SELECT h, h || ':object', 'object', 'solid' FROM e
+    UNION ALL SELECT h || ':subject', h || ':subject:0', 'frame', 'dashed' FROM e UNION ALL SELECT h || ':subject:0', h || ':subject:0.0', 'child', 'solid' FROM e
+    UNION ALL SELECT h || ':subject:0', h || ':subject:0.1', 'child', 'solid' FROM e UNION ALL SELECT h || ':subject:0.1', h || ':subject:0.1.0', 'child', 'solid' FROM e""")
+def hub_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events").select(F.col("event_id").alias("triplet_id"), F.col("event_type").alias("subject_text"), F.lit("p").alias("predicate_text"), F.lit("o").alias("object_text"))
+    nodes = frames.flatten(_props_frames(spark, sf_dir), ["triplet_id", "role"])
+    return search.hub_view(rows, nodes.select("triplet_id", "role", "parent_path", "path", "text")).select("src", "dst", "label", "style")
+
+
+@query(f"""WITH {SUPPLY} SELECT src AS node, count(*) AS documents, min(CAST(substr(dst, 3) AS BIGINT)) AS first FROM supply GROUP BY 1
+    UNION ALL SELECT dst, 1, CAST(substr(dst, 3) AS BIGINT) FROM (SELECT DISTINCT dst FROM supply)""")
+def node_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = supply(spark, sf_dir).withColumn("document_id", F.substring("dst", 3, 20).cast("long"))
+    found = graph.node_documents(rel)
+    return found.select("node", F.size("document_ids").cast("long").alias("documents"), F.get("document_ids", F.lit(0)).alias("first"))
+
+
+@query("""SELECT p_partkey AS triplet_id, list_sort(list_distinct([p_brand, p_type])) AS terms, p_partkey % 2 = 0 AS has_object FROM part""")
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search rows carry the frame terms of each role."""
+    p = load(spark, sf_dir, "part")
+    triplets = p.select(F.col("p_partkey").alias("id"), F.lit(1).cast("long").alias("document_id"), F.col("p_name").alias("subject_text"), F.lit("p").alias("predicate_text"), F.lit("o").alias("object_text"))
+    terms = p.select(F.col("p_partkey").alias("triplet_id"), F.lit("subject").alias("role"), F.explode(F.array("p_brand", "p_type", F.lit(""))).alias("term")).unionByName(p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("triplet_id"), F.lit("object").alias("role"), F.lit("x").alias("term")))
+    rows = search.search_rows(triplets, terms)
+    return rows.select("triplet_id", F.try_element_at("frame_terms", F.lit("subject")).alias("terms"), F.array_contains(F.map_keys("frame_terms"), "object").alias("has_object"))
+
+
+@query("""SELECT p_partkey AS row_key, CASE p_partkey % 4 WHEN 0 THEN 'direct_triplet' WHEN 3 THEN '' ELSE 'frame_fallback' END AS match_type, CASE WHEN p_partkey % 4 < 3 THEN p_partkey END AS matched_triplet_id FROM part""")
+def containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By key mod 4: equal; the stored subject holds the asked one; a frame term does; nothing does."""
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("item-"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("x")).alias("own"))
+    kind = F.col("k") % 4
+    table = p.select(F.col("k").alias("row_key"), "own", F.lit("is").alias("predicate"), F.lit("part").alias("object")).withColumnRenamed("own", "subject")
+    stored = p.where(kind < 3).select(F.col("k").alias("id"), F.lit(1).cast("long").alias("document_id"), F.when(kind == 0, F.col("own")).when(kind == 1, F.concat(F.lit("the "), "own", F.lit(" of steel"))).otherwise(F.lit("?")).alias("subject_text"), F.lit("is").alias("predicate_text"), F.lit("part").alias("object_text"))
+    terms = p.where(kind == 2).select(F.col("k").alias("triplet_id"), F.lit("subject").alias("role"), F.concat(F.lit("so-called "), "own").alias("term"))
+    none = spark.createDataFrame([], "src string, src_name string, dst string, dst_name string, predicate string, predicate_norm string, triplet_id long, document_id long")
+    return evaluate.evaluate(table, search.search_rows(stored, terms), none).select("row_key", "match_type", "matched_triplet_id")

@@ -18,7 +18,7 @@ Encoder = Callable[[list[str]], list[list[float]]]
 
 def load_payloads(spark: SparkSession, path: str, stored: dict[str, DataFrame], now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
     """Triplet payload files into the store, by the idempotent upserts; also counts of what came."""
-    return store.save_triplets(stored, payload_rows(read_triplet_json(spark, path)), now, "file")
+    return store.save_triplets(stored, payload_rows(read_triplet_json(spark, path)), now, "file", empty_frames=True)
 
 
 def analyze_graph(
@@ -49,7 +49,7 @@ def analyze_graph(
     members = materialize(graph.components(edges), "members")
     numbers = graph.component_sizes(edges, members)
     impact = structure.removal_impact(edges, ranks, found)
-    roots = materialize(graph.component_roots(edges, ranks, labels), "roots")
+    roots = materialize(graph.component_roots(edges, ranks, labels, members), "roots")
     degrees = graph.degrees(edges).join(ranks, "node").join(labels, "node").select("node", "label", "in_degree", "out_degree", "total_degree", F.round("pagerank", 6).alias("pagerank"))
     cyclic = graph.is_cyclic(edges)
     by_node = members.join(numbers.select("component", "component_id"), "component").select("node", F.col("component_id").alias("component"))
@@ -62,7 +62,7 @@ def analyze_graph(
     told = entity_context_text(F.col("name"), F.col("norm"), F.col("out_preds"), F.col("in_preds"), F.col("out_neighbors"), F.col("in_neighbors"))
     entities, _ = encode_texts(entities, told, backend, encoder)
     out = {
-        "metrics": graph.degree_metrics(edges).join(cyclic).join(structure.fragility(edges)).join(numbers.agg(F.count("*").alias("components_count"))),
+        "metrics": graph.degree_metrics(edges).join(cyclic).join(structure.fragility(edges, found)).join(numbers.agg(F.count("*").alias("components_count"))),
         "degrees": degrees.orderBy(F.desc("total_degree"), F.desc("pagerank"), "label"),
         "fragility": structure.fragility_report(impact),
         "cycles": graph.simple_cycles(edges, labels),

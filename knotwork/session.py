@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; an own one where it is unset and all runs in one process.
+
+    On a cluster a folder of this machine would split tables over machines, so there it has to be set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         folder = "/tmp/checkpoints/knotwork"
         os.makedirs(folder, exist_ok=True)
     return folder

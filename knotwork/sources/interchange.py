@@ -6,10 +6,11 @@ properties as a map of strings to JSON-ready strings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_name, escape_dot, identifier, relation_type, shorten
+from ..operators.store import numbered
 from ..session import materialize
 
 PROPERTIES = "map<string,string>"
@@ -137,24 +138,25 @@ def _json(properties: str) -> Column:
 
 
 def graphml_nodes(nodes: DataFrame) -> DataFrame:
-    """Numbered nodes as GraphML elements: (ord, id, xml_id, xml). Numbering is global: a graph for people."""
-    numbered = nodes.withColumn("ord", F.row_number().over(Window.orderBy("id")) - 1).withColumn("xml_id", F.concat(F.lit("n"), F.col("ord").cast("string")))
+    """Numbered nodes as GraphML elements: (ord, id, xml_id, xml)."""
+    placed = numbered(nodes, ["id"], "ord", -1).withColumn("xml_id", F.concat(F.lit("n"), F.col("ord").cast("string")))
     label = F.coalesce(*(F.nullif(F.try_element_at("properties", F.lit(k)), F.lit("")) for k in ("name", "text", "norm")), F.col("xml_id"))
     data = lambda key, v: F.concat(F.lit(f'<data key="{key}">'), _xml(v), F.lit("</data>"))
     body = F.concat(data("neo4j_element_id", F.col("id")), data("label", label), data("labels", F.array_join("labels", ", ")), data("properties_json", _json("properties")))
-    return numbered.select("ord", "id", "xml_id", label.alias("label"), F.concat(F.lit('<node id="'), F.col("xml_id"), F.lit('">'), body, F.lit("</node>")).alias("xml"))
+    return placed.select("ord", "id", "xml_id", label.alias("label"), F.concat(F.lit('<node id="'), F.col("xml_id"), F.lit('">'), body, F.lit("</node>")).alias("xml"))
 
 
-def graphml_edges(edges: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Edges as GraphML elements; an edge without both ends keeps its number but is not written."""
-    ends = numbered.select(F.col("id").alias("source"), F.col("xml_id").alias("s"))
-    placed = edges.withColumn("ord", F.row_number().over(Window.orderBy("id")) - 1).join(ends, "source").join(ends.withColumnsRenamed({"source": "target", "s": "t"}), "target")
+def graphml_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges as GraphML elements, with ``nodes`` numbered by :func:`graphml_nodes`; an edge without both ends keeps its number but is not written."""
+    ends = nodes.select(F.col("id").alias("source"), F.col("xml_id").alias("s"))
+    placed = numbered(edges, ["id"], "ord", -1).join(ends, "source").join(ends.withColumnsRenamed({"source": "target", "s": "t"}), "target")
     data = lambda key, v: F.concat(F.lit(f'<data key="{key}">'), _xml(v), F.lit("</data>"))
     body = F.concat(data("edge_neo4j_element_id", F.col("id")), data("type", F.col("type")), data("edge_properties_json", _json("properties")))
     head = F.concat(F.lit('<edge id="e'), F.col("ord").cast("string"), F.lit('" source="'), F.col("s"), F.lit('" target="'), F.col("t"), F.lit('">'))
     return placed.select("ord", F.concat(head, body, F.lit("</edge>")).alias("xml"))
 
 
+# The attributes that the file format declares.
 GRAPHML_KEYS = (
     ("neo4j_element_id", "node", "neo4j_element_id"),
     ("label", "node", "label"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slot_text
+from ..operators.frames import role_frame
 
 DELIMITERS = (";", ",", "\t")
 SAMPLE = 4096
@@ -111,10 +112,15 @@ def malformed_payloads(payload: DataFrame) -> DataFrame:
     return payload.select("source_name", reason.alias("reason")).where("reason is not null")
 
 
+ROLES = ("subject", "predicate", "object")
+
+
 def payload_rows(items: DataFrame) -> DataFrame:
-    """Triplet rows of exploded payloads: slots as text."""
-    slot = lambda name: slot_text(F.try_variant_get("triplet", f"$.{name}", "variant"))
-    return items.select("source_name", "content_hash", F.col("position").alias("row_idx"), *(slot(c).alias(f"{c}_text") for c in ("subject", "predicate", "object")), F.try_variant_get("triplet", "$.sentence", "string").alias("sentence_text"))
+    """Triplet rows of exploded payloads: slots as text, and as frames in JSON."""
+    slot = lambda name: F.try_variant_get("triplet", f"$.{name}", "variant")
+    return items.select(
+        "source_name", "content_hash", F.col("position").alias("row_idx"), *(slot_text(slot(c)).alias(f"{c}_text") for c in ROLES),
+        F.nullif(slot_text(slot("sentence")), F.lit("")).alias("sentence_text"), *(role_frame(slot(c)).alias(f"{c}_frame") for c in ROLES))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:

@@ -44,6 +44,33 @@ def test_save_is_idempotent_and_delete_cascades(spark, now):
     assert {r.table_name: r.row_count for r in store.table_counts(gone).collect() if r.row_count} == {}
 
 
+def test_saving_keeps_frames(spark, now):
+    tree = {"text": "сталь", "frame": [{"text": "новая", "edge_label": "amod", "frame": ["очень", {"text": "", "frame": [{"text": "x"}]}]}, 5]}
+    items = [{"subject": tree, "predicate": "есть", "object": {"text": "", "frame": [{"text": "inner"}]}}, {"subject": {"text": " a ", "lemma": "z"}, "predicate": None, "object": ""}]
+    first, counts = store.save_triplets(store.empty_store(spark), payload(spark, "f.json", items), now, empty_frames=True)
+    assert tuple(counts.first()) == (1, 2, 6)
+    frames_of = {(r.triplet_id, r.role): json.loads(r.frame_json) for r in first["triplet_frames"].collect()}
+    assert frames_of[1, "subject"] == tree and frames_of[1, "predicate"] == {"text": "есть", "frame": []} and frames_of[2, "object"] == {"text": "", "frame": []}
+    role_of = {r.id: (r.triplet_id, r.role) for r in first["frame_instances"].collect()}
+    nodes = {(*role_of[r.frame_instance_id], r.path): r for r in first["frame_nodes"].collect()}
+    mine = {p: (r.node_text, r.node_lemma, r.edge_label, r.depth, r.ord, r.is_root) for (t, role, p), r in nodes.items() if (t, role) == (1, "subject")}
+    assert mine == {
+        "0": ("сталь", "сталь", None, 0, 0, True), "0.0": ("новая", "новая", "amod", 1, 0, False), "0.0.0": ("очень", "очень", None, 2, 0, False), "0.0.1": ("", "", None, 2, 1, False),
+        "0.0.1.0": ("x", "x", None, 3, 0, False), "0.1": ("5", "5", None, 1, 1, False)}
+    assert all(nodes[t, r, p.rpartition(".")[0]].id == n.parent_node_id if "." in p else n.parent_node_id is None for (t, r, p), n in nodes.items())
+    # Saved again: nothing moves. A changed tree of the same triplet: its paths are replaced, others stay.
+    again, _ = store.save_triplets({k: v for k, v in first.items()}, payload(spark, "f.json", items), now, empty_frames=True)
+    for t in store.SAVED:
+        assert sorted(map(tuple, again[t].collect()), key=repr) == sorted(map(tuple, first[t].collect()), key=repr)
+    some, counts = store.save_triplets(store.empty_store(spark), payload(spark, "f.json", items), now)
+    assert counts.first().frames == 4 and some["frame_instances"].where("role = 'object'").count() == 1
+    smaller = frames.flatten(spark.createDataFrame([(1, "subject", '{"text": "y", "frame": ["z"]}')], "triplet_id long, role string, t string").select("triplet_id", "role", F.parse_json("t").alias("frame")), ["triplet_id", "role"])
+    left = store.save_frame_nodes(again["frame_nodes"], smaller, again["frame_instances"], now)
+    at = next(k for k, v in role_of.items() if v == (1, "subject"))
+    assert {(r.path, r.node_text, r.id) for r in left.where(F.col("frame_instance_id") == at).collect()} == {("0", "y", nodes[1, "subject", "0"].id), ("0.0", "z", nodes[1, "subject", "0.0"].id)}
+    assert left.count() == again["frame_nodes"].count() - 4
+
+
 def test_malformed_payloads(spark):
     df = spark.createDataFrame([("a", "[1]"), ("b", "{}"), ("c", '{"triplets": 3}'), ("d", "{"), ("e", '{"triplets": []}')], "source_name string, text string")
     got = readers.malformed_payloads(df.select("source_name", F.try_parse_json("text").alias("payload")))
@@ -236,3 +263,25 @@ def test_streaming_ingest(spark, tmp_path):
     ingest.start_ingest(spark, str(source), str(folder), str(tmp_path / "cp")).awaitTermination()
     stored = ingest.load_store(spark, str(folder), 1)
     assert [r.source_name for r in stored["documents"].collect()] == ["b.json"] and stored["triplets"].count() == 2
+    assert (stored["frame_instances"].count(), stored["frame_nodes"].count()) == (6, 7)
+
+
+def test_streaming_keeps_other_tables(spark, tmp_path, now):
+    """Tables that ingestion does not change come from the version that wrote them."""
+    folder = str(tmp_path / "store")
+    start = store.empty_store(spark)
+    start["concepts"] = store.ensure_concepts(start["concepts"], spark.createDataFrame([("a", "A")], "canonical_norm string, canonical_name string"), now)
+    ingest.save_store(start, folder, 0)
+    batch = spark.createDataFrame([("f.json", json.dumps({"triplets": ITEMS}))], "source_name string, text string")
+    ingest.ingest_batch(batch, 1, folder)
+    got = ingest.load_store(spark, folder, 1)
+    assert {t: got[t].count() for t in got} == {"documents": 1, "triplets": 2, "triplet_frames": 6, "frame_instances": 6, "frame_nodes": 7, "concepts": 1, "concept_aliases": 0, "node_concept_links": 0}
+
+
+def test_deep_frames_take_one_pass(spark):
+    tree = {"text": "n0"}
+    for k in range(1, 300):
+        tree = {"text": f"n{k}", "frame": [tree]}
+    df = spark.createDataFrame([(1, json.dumps(tree)), (2, None)], "triplet_id long, t string").select("triplet_id", F.parse_json("t").alias("frame"))
+    got = frames.flatten(df, ["triplet_id"])
+    assert got.count() == 300 and got.agg(F.max("depth")).first()[0] == 299
