@@ -11,7 +11,7 @@ from .common import read
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), near=decontaminate.NEAR))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,8 @@ QUERIES = {
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[])"
 
+NEAR = decontaminate.NEAR
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -81,9 +83,17 @@ ORACLES: dict[str, str] = {
           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM w, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
         hit AS (SELECT doc_id, a, n, item FROM dw JOIN win USING (n, k)),
         h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + n)) AS p FROM (SELECT DISTINCT doc_id, a, n FROM hit)) GROUP BY 1),
-        i AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS s FROM hit GROUP BY 1)
-        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-        FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+        i AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS s FROM hit GROUP BY 1),
+        tok AS (SELECT doc_id, p, w[p] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w)),
+        df AS (SELECT t, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1),
+        k AS (SELECT DISTINCT k, n, string_split(k, ' ') AS v FROM win),
+        r AS (SELECT k, t, least(n, {NEAR[0]}) AS need, row_number() OVER (PARTITION BY k ORDER BY df, o) AS rk FROM (SELECT k, n, o, v[o] AS t FROM (SELECT k, n, v, unnest(range(1, n + 1)) AS o FROM k)) JOIN df USING (t)),
+        lead AS (SELECT r.k, need, doc_id, p FROM r JOIN tok USING (t) WHERE rk = 1),
+        near AS (SELECT f.k, f.doc_id, f.p FROM lead f LEFT JOIN r ON r.k = f.k AND rk BETWEEN 2 AND f.need LEFT JOIN tok ON tok.doc_id = f.doc_id AND tok.t = r.t AND tok.p BETWEEN f.p - {NEAR[1]} AND f.p + {NEAR[1]}
+          GROUP BY 1, 2, 3, f.need HAVING count(DISTINCT rk) FILTER (tok.p IS NOT NULL) = f.need - 1),
+        c AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM near JOIN win USING (k) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN c USING (doc_id)
     """,
     "op8_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
