@@ -6,8 +6,9 @@ digits, obfuscated words, word length and repetition. The lexicon is learned: wo
 that labelled toxic rows use far more than others.
 
 Fitting sees at most ``max_rows`` labelled rows, drawn by hash, in three disjoint parts: one for the lexicon,
-one for the trees, one for the calibration, so none is judged on what it was made from. The lexicon is bounded
-by ``lexicon_size``.
+one for the trees, one for the calibration, so none is judged on what it was made from. A lexicon key occurs in
+three toxic rows or more, whatever the size of the sample; the lexicon is bounded by ``lexicon_size``. The score
+is the isotonic calibration of the trees' margin (their own probability where the calibration rows have one label).
 
 Defined results: null and empty texts have zero features and are scored like any text; a row labelled twice
 counts as toxic if any label says so; null labels teach nothing; without labels of both kinds the score is the
@@ -131,9 +132,7 @@ class ToxicityModel:
         if not self.trees:
             return np.full(len(x), self.prior)
         raw = self.raw(x)
-        p = 1 / (1 + np.exp(-raw))
-        # A little of the uncalibrated value keeps scores of one calibrated step in order.
-        return np.clip(0.98 * np.interp(raw, self.knots, self.values) + 0.02 * p, 0, 1) if len(self.knots) else p
+        return np.interp(raw, self.knots, self.values) if len(self.knots) else 1 / (1 + np.exp(-raw))
 
 
 class Featurizer:
@@ -215,7 +214,7 @@ def featurize(docs: DataFrame, lexicon: dict[str, float], extra: tuple[str, ...]
 
 
 def learn_lexicon(rows: DataFrame, size: int, least: int = 3) -> dict[str, float]:
-    """Keys with their log-odds, from (text, toxic): keys of toxic rows first, then their use elsewhere."""
+    """Keys with their log-odds, from (text, toxic): keys of at least ``least`` toxic rows, then their use elsewhere."""
 
     def counted(keep: set[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +235,6 @@ def learn_lexicon(rows: DataFrame, size: int, least: int = 3) -> dict[str, float
 
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
-    least = max(least, bad // 400) if bad > 30 else 2
     toxic = {r.k: r.n for r in totals(rows.where("toxic = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "k").limit(4 * size).collect()}
     keep = set(toxic)
     other = {r.k: r.n for r in totals(rows.where("toxic = 0"), keep).collect()} if keep else {}

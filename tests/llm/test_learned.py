@@ -1,5 +1,7 @@
 import base64
+import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -29,6 +31,81 @@ def test_language_edges(spark, docs_of, odd_texts):
     assert language_id.identify(docs_of([])).count() == 0
 
 
+def test_numerals_are_no_letters(spark, docs_of):
+    """Letters are what Python calls so, and those that its Unicode tables do not know yet."""
+    marks = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if bool(language_id.LETTER.search(c)) != c.isalpha()]
+    assert {unicodedata.category(c) for c in marks} <= {"Cn"}
+    got = {r.doc_id: r for r in language_id.identify(docs_of(["²", "½ ①", "Ⅷ", "x²"] + ["some words here"] * 8, [0, 1, 2, 3, *range(11, 19)])).collect()}
+    assert [got[i].lang_pred for i in range(4)] == ["und", "und", "und", "en"] and got[0].score == 0.0
+
+
+def brute_language(rows, texts, dims, clusters):
+    """Nearest centroid by plain loops: dictionaries of hashed n-grams, TF-IDF, farthest-first seeds, spherical k-means."""
+    def grams(t):
+        c = [ord(x) for x in " " + t.lower() + " "]
+        c = [x if x >= 128 or chr(x).islower() else 32 for x in c]
+        c = [x for k, x in enumerate(c) if not (k and x == 32 and c[k - 1] == 32)]
+        m, full, shift = [int(x) for x in language_id.MULTIPLIERS], (1 << 32) - 1, 32 - (dims.bit_length() - 1)
+        out = {}
+        one = [x * m[0] & full for x in c]
+        two = [(a ^ (b + 0x165667B1 & full)) * m[1] & full for a, b in zip(one, c[1:], strict=False)]
+        for h in [*one, *two, *((a ^ (b + 0x27D4EB2F & full)) * m[2] & full for a, b in zip(two, c[2:], strict=False))]:
+            out[h >> shift] = out.get(h >> shift, 0) + 1
+        return out
+
+    known = [(grams(t), lang) for t, lang in rows]
+    df = {}
+    for g, _ in known:
+        for k in g:
+            df[k] = df.get(k, 0) + 1
+    def unit(g):
+        v = {k: math.log1p(n) * (math.log((1 + len(known)) / (1 + df.get(k, 0))) + 1) for k, n in g.items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {k: x / size for k, x in v.items()}
+    dot = lambda a, b: sum(x * b.get(k, 0.0) for k, x in a.items())
+    def mean(vs):
+        out = {}
+        for v in vs:
+            for k, x in v.items():
+                out[k] = out.get(k, 0.0) + x / len(vs)
+        size = math.sqrt(sum(x * x for x in out.values())) or 1
+        return {k: x / size for k, x in out.items()}
+    centers = []
+    for lang in sorted({lang for _, lang in known}):
+        x = [unit(g) for g, n in known if n == lang]
+        middle = mean(x)
+        seeds = [max(range(len(x)), key=lambda i: dot(x[i], middle))]
+        while len(seeds) < min(clusters, len(x)):
+            far = [max(dot(v, x[j]) for j in seeds) for v in x]
+            if min(far) > 1 - 1e-6:
+                break
+            seeds.append(far.index(min(far)))
+        c = [x[j] for j in seeds]
+        for _ in range(12):
+            near = [max(range(len(c)), key=lambda j: dot(v, c[j])) for v in x]
+            c = [mean([v for v, n in zip(x, near, strict=True) if n == j]) if j in near else c[j] for j in range(len(c))]
+        centers += [(lang, v) for v in c]
+    out = []
+    for t in texts:
+        v = unit(grams(t))
+        out.append(max((dot(v, c), lang) for lang, c in centers))
+    return out
+
+
+def test_language_against_brute_force(spark, docs_of):
+    rng = random.Random(13)
+    stems = {"en": ["the", "house", "with", "which"], "de": ["und", "häuser", "nicht", "straße"], "fr": ["les", "maisons", "être", "où"]}
+    langs = [rng.choice(list(stems)) for _ in range(60)]
+    texts = [" ".join(rng.choice(stems[lang]) + rng.choice(["", "s", "en"]) for _ in range(rng.randrange(5, 25))) for lang in langs]
+    docs = docs_of(texts).withColumn("lang", F.element_at(F.array(*map(F.lit, langs)), (F.col("doc_id") + 1).cast("int")))
+    learnable = {r.doc_id for r in docs.where(~language_id.held_out(F.col("doc_id"))).collect()}
+    want = brute_language([(texts[i], langs[i]) for i in sorted(learnable)], texts, 8192, 3)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert {i for i, r in got.items() if not r.held_out} == learnable
+    for i, (score, lang) in enumerate(want):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4)
+
+
 def test_language_rejects_junk_and_keeps_labelled_texts(spark, docs_of):
     docs = read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang")
     rng = random.Random(4)
@@ -82,6 +159,53 @@ def test_boosting_and_calibration():
     assert (np.diff(values) >= 0).all() and values[0] == 0 and values[-1] == 1 and (np.diff(knots) >= 0).all()
 
 
+def test_scores_of_the_whole_query_against_plain_python(spark, docs_of):
+    """A model's score, tree by tree and step by step of the calibration, for every row of the query."""
+    texts, rows = planted(random.Random(4), 600)
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    docs = docs_of(texts)
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    make = toxicity.Featurizer(model.lexicon)
+
+    def margin(x):
+        total = model.start
+        for tree in model.trees:
+            node = 0
+            while node < len(tree.feature):
+                node = 2 * node + 1 + int(x[tree.feature[node]] > tree.threshold[node])
+            total += tree.value[node - len(tree.feature)]
+        return total
+
+    def calibrated(raw):
+        knots, values = model.knots.tolist(), model.values.tolist()
+        if raw <= knots[0]:
+            return values[0]
+        for a, b, u, v in zip(knots, knots[1:], values, values[1:], strict=False):
+            if raw < b:
+                return u if b == a else u + (v - u) * (raw - a) / (b - a)
+        return values[-1]
+
+    got = {r.doc_id: r for r in toxicity.judge(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        want = calibrated(margin(make(t)))
+        assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def brute_isotonic(y):
+    """The least-squares ascending fit, by the max-min formula over all averages."""
+    n = len(y)
+    return [max(min(sum(y[a:b]) / (b - a) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)]
+
+
+def test_isotonic_against_the_formula():
+    rng = random.Random(9)
+    for _ in range(20):
+        y = [float(rng.random() < 0.1 + k / 50) for k in range(30)]
+        raw = sorted(rng.sample(range(1000), 30))
+        knots, values = toxicity.isotonic(np.array(raw, float), np.array(y))
+        assert np.interp(raw, knots, values).tolist() == pytest.approx(brute_isotonic(y))
+
+
 def planted(rng, n):
     clean = ["wood", "river", "stone", "cloud", "light", "paper", "table", "house", "green", "water"]
     bad = ["vilestor", "vilestan", "wretchu", "wretcho"]
