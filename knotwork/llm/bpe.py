@@ -30,7 +30,7 @@ SPACES = r" \t\n\v\f\r\x85\xa0"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
 LATIN_WORDS = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
-MAX_WORDS = 150_000
+MAX_WORDS, LONG_WORD = 150_000, 64  # words kept, and the longest one that is
 
 
 def byte_letters() -> list[str]:
@@ -92,9 +92,10 @@ class BpeCodec:
             symbols = list(word.encode() if letters is None else letters)
             symbols[-1] += 256
             known = tuple([self.ids[i] for i in self.automaton.encode(symbols, self.length)])
-            if len(self.words) >= self.max_words:
-                self.words.clear()
-            self.words[word] = known
+            if len(word) <= LONG_WORD:
+                if len(self.words) >= self.max_words:
+                    self.words.clear()
+                self.words[word] = known
         return known
 
     def section(self, text: str, out: list[int]) -> None:

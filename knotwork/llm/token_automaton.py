@@ -11,8 +11,8 @@ Determinization. Over base symbols the automaton is unambiguous: of all ways to
 exactly one is accepted. The subset construction follows the live ways at once. A state is the set of (place
 in the token trie, token before it, tokens so far); its root entry names the last token of the encoding of the
 prefix read, and a transition is annotated with the change in the number of tokens. States and transitions are
-made when first needed, as lazy regex automata do, and the table is dropped when it reaches ``max_states``, so
-memory is bounded whatever the texts hold.
+made when first needed, as lazy regex automata do, and the table is dropped when it reaches ``max_states``, in the
+middle of a word too, so memory is bounded whatever the texts hold.
 """
 
 from __future__ import annotations
@@ -126,18 +126,32 @@ class MergeAutomaton:
         move = self.next[state << 21 | symbol] = at << 16 | (change + BIAS)
         return move
 
+    def restart(self, state: int) -> int:
+        """Drop the table in the middle of a word; the state one is in is carried over, under its new number."""
+        entry, last = self.entries[state], self.last[state]
+        self.reset()
+        if entry in self.number:
+            return self.number[entry]
+        self.number[entry] = len(self.entries)
+        self.entries.append(entry)
+        self.last.append(last)
+        return self.number[entry]
+
     def full(self) -> bool:
         return len(self.entries) >= self.max_states
 
     def encode(self, symbols: list[int], length: dict[int, int]) -> list[int]:
         """Tokens of one word by table-driven transitions; ``length``: symbols of a token."""
-        if self.full():
-            self.reset()
         state, lasts = 0, []
         moves, last = self.next, self.last
         for s in symbols:
             move = moves.get(state << 21 | s)
-            state = (self.step(state, s) if move is None else move) >> 16
+            if move is None:
+                if self.full():
+                    state = self.restart(state)
+                    moves, last = self.next, self.last
+                move = self.step(state, s)
+            state = move >> 16
             lasts.append(last[state])
         out, at = [], len(symbols)
         while at:

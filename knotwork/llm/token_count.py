@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from .token_automaton import BIAS, MergeAutomaton
 
 MARK = "▁"
 CHUNK = 1 << 16
-MAX_WORDS = 200_000
+MAX_WORDS, LONG_WORD = 200_000, 64  # words kept, and the longest one that is
 
 
 @dataclass(frozen=True)
@@ -78,19 +79,21 @@ class CountingTransducer:
         known = self.words.get(word)
         if known is None:
             a = self.automaton
-            if a.full():
-                a.reset()
             state = known = 0
             moves = a.next
-            for c in (0x2581, *map(ord, word)):
+            for c in chain((0x2581,), map(ord, word)):
                 move = moves.get(state << 21 | c)
                 if move is None:
+                    if a.full():
+                        state = a.restart(state)
+                        moves = a.next
                     move = self.step(state, c)
                 state = move >> 16
                 known += (move & 0xFFFF) - BIAS
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            self.words[word] = known
+            if len(word) <= LONG_WORD:
+                if len(self.words) >= MAX_WORDS:
+                    self.words.clear()
+                self.words[word] = known
         return known
 
     def starts_bare(self, word: str) -> bool:
@@ -98,21 +101,24 @@ class CountingTransducer:
         known = self.bare.get(word)
         if known is None:
             a = self.automaton
-            if a.full():
-                a.reset()
             symbols = [0x2581, *map(ord, word)]
             state, lasts = 0, []
             for s in symbols:
                 move = a.next.get(state << 21 | s)
-                state = (self.step(state, s) if move is None else move) >> 16
+                if move is None:
+                    if a.full():
+                        state = a.restart(state)
+                    move = self.step(state, s)
+                state = move >> 16
                 lasts.append(a.last[state])
             at = len(symbols)
             while at > 1:
                 at -= len(self.piece(lasts[at - 1]))
             known = at == 1
-            if len(self.bare) >= MAX_WORDS:
-                self.bare.clear()
-            self.bare[word] = known
+            if len(word) <= LONG_WORD:
+                if len(self.bare) >= MAX_WORDS:
+                    self.bare.clear()
+                self.bare[word] = known
         return known
 
     def piece(self, token: int) -> list[int]:

@@ -103,3 +103,16 @@ def test_operators(spark, docs_of, odd_texts):
     assert bpe.codec(WORDS).text_of(bpe.codec(WORDS).encode("Same words")) == "same words"
     assert bpe.round_trip(docs_of([]), WORDS).count() == token_count.count_tokens(docs_of([]), MODEL).count() == 0
     assert bpe.round_trip(docs_of(["a", "a"], [None, 1]), WORDS).count() == 2
+
+
+def test_a_word_of_any_length_keeps_the_tables_small():
+    """One spaceless text neither becomes a key of a table nor passes the limit of states."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß中") for _ in range(60_000))
+    counter, codec = token_count.CountingTransducer(MODEL), bpe.BpeCodec(WORDS)
+    counter.automaton.max_states = codec.automaton.max_states = 2000
+    assert counter.count(text) == len(sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text))
+    assert codec.encode(text) == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+    for a in (counter.automaton, codec.automaton):
+        assert len(a.entries) <= 2001
+    assert max(map(len, [*counter.words, *counter.bare, *codec.words]), default=0) <= token_count.LONG_WORD
