@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import star_components
 from ..session import materialize
@@ -44,6 +45,7 @@ BLOCK, CHECK_BITS, RADIUS = 23, 11, 3
 HOMES, COPIES = 1 << 10, 1 << 13
 PAIRS_AT_ONCE = 1 << 19
 ROWS_AT_ONCE = 1 << 17
+NO_ID = -(1 << 63)  # stands for a null doc_id where rows are joined
 NONE = np.zeros(0, np.int64)
 
 
@@ -65,9 +67,15 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-    return texts(docs).mapInArrow(per_text(lambda t: (fingerprint(t),), schema), "doc_id long, fp long")
+    """(doc_id, fp, mark): fp is the fingerprint as a signed 64-bit number, mark a hash that tells texts of one id apart."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("mark", pa.int64())])
+    one = lambda t: (fingerprint(t), text_mark(t))
+    return texts(docs).mapInArrow(per_text(one, schema), "doc_id long, fp long, mark long")
+
+
+def text_mark(text: bytes | None) -> int:
+    """A signed 64-bit hash of a whole text; 0 for none."""
+    return 0 if text is None else int.from_bytes(xxhash.xxh3_64_digest(text), "big", signed=True)
 
 
 def remainder(x: int) -> int:
@@ -245,15 +253,36 @@ def link_components(distinct: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach)."""
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach), root (a fingerprint of it), mark."""
     fps = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     linked = distinct.join(link_components(distinct, threshold), "fp")
     roots = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = linked.join(roots, "root").select("fp", "component_id")
+    of = linked.join(roots, "root").select("fp", "root", "component_id")
     # Written out, so that both sides of the last join are shuffles, whose hot partitions Spark can split.
-    every = materialize(distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "classes")
-    return fps.join(every, "fp").select("doc_id", "fp", "component_id")
+    every = materialize(distinct.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id")), "classes")
+    return fps.join(every, "fp").select("doc_id", "fp", "component_id", "root", "mark")
+
+
+def survivors(docs: DataFrame, columns: tuple[str, ...], threshold: int = 2) -> DataFrame:
+    """``columns`` of one row of each group of near-duplicates: the one with the smallest doc_id, null ids last.
+
+    Of several texts under that id the one with the smallest hash stays, of equal rows any one.
+    """
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("s")
+    stays = near_duplicates(docs, threshold).groupBy("root").agg(low).select(F.coalesce("s.doc_id", F.lit(NO_ID)).alias("_id"), F.col("s.mark").alias("_mark"))
+    schema = docs.select(*columns).schema
+    at = columns.index("text")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(at).cast(pa.binary())
+            for a in range(0, batch.num_rows, 512):
+                marks = [text_mark(t) for t in text.slice(a, 512).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, 512) for c in batch.columns), pa.array(marks, pa.int64())], names=[*columns, "_mark"])
+
+    rows = docs.select(*columns).mapInArrow(marked, T.StructType(list(schema.fields)).add("_mark", "long")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return rows.join(stays, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
