@@ -37,7 +37,7 @@ from .common import ragged, texts
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 19  # of text; larger posting lists would be humongous objects of an executor
 CANDIDATES_AT_ONCE = 1 << 20
 GAP = 64  # positions between two documents: more than a window and the slop
 NEAR = (5, 10)  # of a window's terms the five rarest, within ten words of the rarest
