@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import bpe, decontaminate, language_id, secret_scan, simhash
 from knotwork.llm.common import read
-from knotwork.session import materialize
+from knotwork.session import drop_materialized, written
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "word_bpe_49k.json"
@@ -74,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages in turn, each written and read again; what a stage and its predecessor wrote is deleted after it."""
+    docs = first = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        if before is not first:
+            drop_materialized(before)
     return STAGES[-1][1](spark, docs, sf_dir)

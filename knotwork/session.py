@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,21 +39,43 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths written inside each open :func:`written` call.
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(make: Callable[[], DataFrame], label: str = "table") -> DataFrame:
+    """``make()`` materialized; the tables that it materialized on the way are deleted, as nothing reads them any more."""
+    _scopes.append([])
+    try:
+        return _write(make(), label)
+    finally:
+        for path in _scopes.pop():
+            _delete(SparkSession.active(), path)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
 
     Unlike a local checkpoint the files survive the loss of an executor.
     """
+    return _write(df, label, _scopes[-1] if _scopes else None)
+
+
+def _write(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)

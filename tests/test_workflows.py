@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from knotwork import session
 from knotwork.operators import frames, mining, search, store
 from knotwork.plans import workflows
 
@@ -49,3 +50,31 @@ def test_load_and_mine(spark, tmp_path):
     mined, found = workflows.mine_aliases(stored, now, least_cosine=0.7)
     assert [(r.canonical_norm, r.alias_norm) for r in found.collect()] == [("стальная трубa", "стальная труба")]
     assert mined["concept_aliases"].first().status == "candidate" and mined["concepts"].count() == 1
+
+
+def test_written_leaves_only_its_result(spark):
+    import os
+
+    held = []
+
+    def make():
+        held.append(session.materialize(spark.range(5), "inner"))
+        return held[0].where("id > 2")
+
+    out = session.written(make, "outer")
+    folder = lambda df: df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert out.count() == 2 and os.path.exists(folder(out)) and not os.path.exists(folder(held[0]))
+    session.drop_materialized(out)
+    assert not os.path.exists(folder(out))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            session.shared_dir(Cluster)
