@@ -1,7 +1,10 @@
-"""Text functions as Column expressions; nothing here leaves the JVM."""
+"""Text functions as Column expressions; only :func:`canonical_json` leaves the JVM."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,6 +166,19 @@ def content_hash(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def canonical_json(text: Column, indent: int | None = None) -> Column:
+    """JSON text in one spelling: keys sorted, ``, `` and ``: `` between, no escapes but the needed; or indented, keys as they come.
+
+    Spark writes JSON without spaces and cannot sort what is nested, and hashes depend on every byte.
+    """
+
+    @F.pandas_udf("string")
+    def spell(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False, sort_keys=indent is None, indent=indent))
+
+    return spell(text)
+
+
 def listing(items: Column) -> Column:
     """Sorted distinct items, comma-joined, or ``none``."""
     joined = F.array_join(F.array_sort(F.array_distinct(items)), ", ")

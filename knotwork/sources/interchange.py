@@ -6,10 +6,12 @@ properties as a map of strings to JSON-ready strings.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_name, escape_dot, identifier, relation_type, shorten
+from ..functions.text import canonical_json, entity_name, escape_dot, identifier, relation_type, shorten
 from ..operators.store import numbered
 from ..session import materialize
 
@@ -127,6 +129,55 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def json_document(parts: dict[str, DataFrame | dict]) -> DataFrame:
+    """One indented JSON document as ordered lines (part, ord, line): a list of a table's rows, or an object, by name.
+
+    A row per element, so no task holds a list; rows come in order of ``id``. Write it sorted by (part, ord).
+    """
+    spark = next(p for p in parts.values() if isinstance(p, DataFrame)).sparkSession
+    fixed, rows, last = [(0, 0, "{")], [], len(parts) - 1
+    for k, (name, part) in enumerate(parts.items()):
+        comma = "," if k < last else ""
+        if not isinstance(part, DataFrame):
+            text = json.dumps(part, ensure_ascii=False, indent=2).replace("\n", "\n  ")
+            fixed.append((3 * k + 1, 0, f"  {json.dumps(name)}: {text}{comma}"))
+            continue
+        n = part.count()
+        fixed += [(3 * k + 1, 0, f"  {json.dumps(name)}: ["), (3 * k + 3, 0, f"  ]{comma}")] if n else [(3 * k + 1, 0, f"  {json.dumps(name)}: []{comma}")]
+        if n:
+            value = F.concat(F.lit("    "), F.replace(canonical_json(F.to_json(F.struct(*part.columns), {"ignoreNullFields": "false"}), 2), F.lit("\n"), F.lit("\n    ")), F.when(F.col("ord") < n - 1, ",").otherwise(""))
+            rows.append(numbered(part, ["id"], "ord", -1).select(F.lit(3 * k + 2).alias("part"), "ord", value.alias("line")))
+    fixed.append((3 * last + 4, 0, "}"))
+    out = spark.createDataFrame(fixed, "part int, ord long, line string")
+    for r in rows:
+        out = out.unionByName(r)
+    return out
+
+
+def graph_document(nodes: DataFrame, edges: DataFrame, meta: DataFrame) -> DataFrame:
+    """An exported graph (see :func:`export_subgraph`) as one indented JSON document, in ordered lines."""
+    return json_document({"nodes": nodes.select("id", "labels", "properties"), "edges": edges.select("id", "type", "source", "target", "properties"), "meta": meta.first().asDict()})
+
+
+def typed_properties(properties: Column) -> Column:
+    """A VARIANT object as a map of VARIANTs: nulls go, names become identifiers, values keep their types.
+
+    Lists of plain values lose their nulls; whatever is nested deeper becomes JSON text.
+    """
+    nested = lambda v: F.schema_of_variant(v).startswith("OBJECT") | F.schema_of_variant(v).startswith("ARRAY")
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    empty = lambda v: v.isNull() | F.is_variant_null(v)
+    text = lambda v: F.to_json(v).cast("variant")
+    plain = lambda v: F.to_variant_object(F.filter(items(v), lambda x: ~empty(x)))
+    is_list = lambda v: F.schema_of_variant(v).startswith("ARRAY")
+    value = lambda v: F.when(is_list(v) & ~F.coalesce(F.exists(items(v), lambda x: ~empty(x) & nested(x)), F.lit(False)), plain(v)).when(nested(v), text(v)).otherwise(v)
+    pairs = F.transform(F.map_entries(F.try_variant_get(properties, "$", "map<string,variant>")), lambda e: F.struct(identifier(e["key"], "property").alias("key"), e["value"].alias("value")))
+    held = F.filter(pairs, lambda e: ~empty(e["value"]))
+    names = F.array_distinct(F.transform(held, lambda e: e["key"]))
+    last = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(held, lambda e: e["key"] == n), -1)["value"].alias("value")))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], value(e["value"]).alias("value"))))
+
+
 def _xml(text: Column) -> Column:
     return F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import slot_text
+from ..functions.text import canonical_json, slot_text
 from ..operators.frames import role_frame
 
 DELIMITERS = (";", ",", "\t")
@@ -22,20 +24,21 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, inferSchema=False)
 
 
+def decoded(raw: bytes | None) -> str | None:
+    for encoding in ENCODINGS if raw is not None else ():
+        try:
+            return raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return None
+
+
 def decode_bytes(content: Column) -> Column:
     """Bytes as text: utf-8 if they are valid, else cp1251, else latin-1."""
 
     @F.pandas_udf("string")
     def decode(batch: pd.Series) -> pd.Series:
-        def one(raw: bytes | None) -> str | None:
-            for encoding in ENCODINGS if raw is not None else ():
-                try:
-                    return raw.decode(encoding)
-                except UnicodeDecodeError:
-                    continue
-            return None
-
-        return batch.map(one)
+        return batch.map(decoded)
 
     return decode(content)
 
@@ -99,7 +102,7 @@ def read_triplet_json(spark: SparkSession, path: str) -> DataFrame:
 def explode_payload(payload: DataFrame) -> DataFrame:
     """(source_name, payload VARIANT) to a row per triplet, positions from 1."""
     kept = payload.where(F.schema_of_variant(F.col("payload")).startswith("OBJECT") & F.schema_of_variant(F.variant_get("payload", "$.triplets", "variant")).startswith("ARRAY"))
-    hashed = kept.withColumn("content_hash", F.sha2(F.to_json("payload"), 256))
+    hashed = kept.withColumn("content_hash", F.sha2(canonical_json(F.to_json("payload")), 256))
     items = hashed.select("source_name", "content_hash", F.posexplode(F.variant_get("payload", "$.triplets", "array<variant>")).alias("pos", "triplet"))
     return items.where(F.schema_of_variant("triplet").startswith("OBJECT")).select("source_name", "content_hash", (F.col("pos") + 1).alias("position"), "triplet")
 
@@ -126,3 +129,47 @@ def payload_rows(items: DataFrame) -> DataFrame:
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A relational table; the driver jar has to be on the cluster's class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def sanitize(df: DataFrame) -> DataFrame:
+    """Bytes anywhere in the rows as text, by :func:`decode_bytes`, and map keys as strings, so that all can be written as JSON."""
+
+    def typed(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.BinaryType):
+            return T.StringType()
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(typed(kind.elementType), kind.containsNull)
+        if isinstance(kind, T.MapType):
+            return T.MapType(T.StringType(), typed(kind.valueType), kind.valueContainsNull)
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, typed(f.dataType), f.nullable) for f in kind.fields])
+        return kind
+
+    out: list[Column] = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.BinaryType):
+            out.append(decode_bytes(F.col(f"`{f.name}`")).alias(f.name))
+        elif typed(f.dataType) != f.dataType:
+            out.append(_sanitized(typed(f.dataType))(F.col(f"`{f.name}`")).alias(f.name))
+        else:
+            out.append(F.col(f"`{f.name}`"))
+    return df.select(*out)
+
+
+def _sanitized(kind: T.DataType):
+    """A function of nested values; Python sees them, since built-ins cannot decode bytes by trial."""
+
+    def clean(value: Any, kind: T.DataType) -> Any:
+        if isinstance(value, (bytes, bytearray)):
+            return decoded(bytes(value))
+        if value is None:
+            return None
+        if isinstance(kind, T.ArrayType):
+            return [clean(v, kind.elementType) for v in value]
+        if isinstance(kind, T.MapType):
+            return {str(k): clean(v, kind.valueType) for k, v in value.items()}
+        if isinstance(kind, T.StructType):
+            return tuple(clean(v, f.dataType) for v, f in zip(value, kind.fields, strict=True))
+        return value
+
+    return F.udf(lambda value: clean(value, kind), kind, useArrow=True)

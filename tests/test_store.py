@@ -1,5 +1,6 @@
 """Store, search, interchange, frames, evaluation, mining and grammar on literal rows."""
 
+import hashlib
 import json
 import random
 
@@ -285,3 +286,32 @@ def test_deep_frames_take_one_pass(spark):
     df = spark.createDataFrame([(1, json.dumps(tree)), (2, None)], "triplet_id long, t string").select("triplet_id", F.parse_json("t").alias("frame"))
     got = frames.flatten(df, ["triplet_id"])
     assert got.count() == 300 and got.agg(F.max("depth")).first()[0] == 299
+
+
+def test_content_hash_equals_sorted_json(spark):
+    data = {"triplets": [{"subject": "Сталь", "object": {"text": "b", "frame": [{"z": 1, "a": [1.5, None, True]}]}, "predicate": "é\"\n"}], "a": {}}
+    df = spark.createDataFrame([("f", json.dumps(data, indent=1))], "source_name string, text string").select("source_name", F.parse_json("text").alias("payload"))
+    assert readers.explode_payload(df).first().content_hash == hashlib.sha256(json.dumps(data, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+
+def test_sanitize(spark):
+    df = spark.createDataFrame([(1, b"a", ["я".encode("cp1251"), None], {2: b"x"}), (2, None, None, None)], "id int, raw binary, many array<binary>, by map<int,binary>")
+    got = readers.sanitize(df).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "a", ["я", None], {"2": "x"}), (2, None, None, None)]
+    assert readers.sanitize(df.select("id")).dtypes == [("id", "int")]
+
+
+def test_json_document(spark):
+    nodes = spark.createDataFrame([("b", ["L"], {"k": "v\n"}), ("a", [], {})], "id string, labels array<string>, properties map<string,string>")
+    edges = spark.createDataFrame([], "id string, source string, target string, type string, properties map<string,string>")
+    kept, inside, meta = interchange.export_subgraph(nodes, edges)
+    lines = [r.line for r in interchange.graph_document(kept, inside, meta).orderBy("part", "ord").collect()]
+    want = {"nodes": [{"id": "a", "labels": [], "properties": {}}, {"id": "b", "labels": ["L"], "properties": {"k": "v\n"}}], "edges": [], "meta": meta.first().asDict()}
+    assert "\n".join(lines) == json.dumps(want, ensure_ascii=False, indent=2)
+
+
+def test_typed_properties(spark):
+    doc = {"a b": 1, "t": True, "n": None, "l": [1, None, 2], "m": [[1], 2], "o": {"x": 1}, "s": "q", "e": []}
+    df = spark.createDataFrame([(json.dumps(doc),), ("{}",)], "t string").select(F.parse_json("t").alias("v"))
+    rows = df.select(F.transform_values(interchange.typed_properties(F.col("v")), lambda k, v: F.to_json(v)).alias("m")).collect()
+    assert {k: json.loads(v) for k, v in rows[0].m.items()} == {"a_b": 1, "t": True, "l": [1, 2], "m": "[[1],2]", "o": '{"x":1}', "s": "q", "e": []} and rows[1].m == {}
