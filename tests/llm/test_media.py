@@ -84,3 +84,31 @@ def test_vectors_and_empty(spark):
     out = {r.id: r for r in m.fingerprint_vectors(v).collect()}
     assert out[0].n_frames > 0 and out[1].n_frames == out[2].n_frames == 0
     assert m.fingerprint_vectors(v.where("false")).count() == 0
+
+
+def test_recall_against_a_search_over_all_offsets():
+    """Noisy, quieter, cut recordings: links found, of those that any offset with half of the shorter one shows."""
+    rng = np.random.default_rng(7)
+
+    def least_error(a, b):
+        out = 1.0
+        for o in range(-len(a) + 1, len(b)):
+            x, y = max(o, 0), max(-o, 0)
+            n = min(len(b) - x, len(a) - y)
+            if 2 * n >= min(len(a), len(b)):
+                out = min(out, np.bitwise_count(b[x : x + n] ^ a[y : y + n]).sum() / (32 * n))
+        return out
+
+    linked = found = near = near_found = 0
+    for seed in range(40):
+        x = melody(seed, 64)
+        a = m.fingerprint(x)
+        for noise in (0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.15):
+            y = x[int(rng.integers(0, 2000)) :]
+            b = m.fingerprint(y * rng.uniform(0.3, 1) + rng.normal(0, noise, len(y)))
+            least = least_error(a, b)
+            if least <= 0.2:
+                row, _, _, _, error = m.QueryBlock([0], [a]).align([b], 3)
+                hit = bool(len(row) and error[0] <= 0.2)
+                linked, found, near, near_found = linked + 1, found + hit, near + (least <= 0.1), near_found + (hit and least <= 0.1)
+    assert linked > 250 and found / linked >= 0.9 and near_found / near >= 0.98
