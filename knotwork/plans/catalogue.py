@@ -838,3 +838,27 @@ def containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = p.where(kind == 2).select(F.col("k").alias("triplet_id"), F.lit("subject").alias("role"), F.concat(F.lit("so-called "), "own").alias("term"))
     none = spark.createDataFrame([], "src string, src_name string, dst string, dst_name string, predicate string, predicate_norm string, triplet_id long, document_id long")
     return evaluate.evaluate(table, search.search_rows(stored, terms), none).select("row_key", "match_type", "matched_triplet_id")
+
+
+# Rankers and export with the operators' own defaults
+
+
+@query(f"""WITH {CONTEXTS}
+    SELECT l_norm, r_norm, support, round(combined, 6) AS combined_score FROM ctx WHERE round(combined, 12) >= 0.45 AND round(structural, 12) >= 0.10
+    ORDER BY round(combined, 6) DESC, round(structural, 6) DESC, round(embedding, 6) DESC, support DESC, l_norm, r_norm LIMIT 200""")
+def synonyms_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.synonyms(contexts(spark, sf_dir)).select("l_norm", "r_norm", "support", "combined_score")
+
+
+@query(f"""WITH RECURSIVE {ENTITIES}, e AS (SELECT l_norm AS a, r_norm AS b FROM escored WHERE round(combined, 12) >= 0.45 AND round(structural, 12) >= 0.10 UNION SELECT r_norm, l_norm FROM escored WHERE round(combined, 12) >= 0.45 AND round(structural, 12) >= 0.10),
+    w AS (SELECT a AS node, a AS other FROM e UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY 1""")
+def legacy_clusters_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.star_components(mining.entity_pair_scores(entities(spark, sf_dir)), "l_norm", "r_norm")
+
+
+@query(f"""WITH {LINKS}, n AS (SELECT src AS id FROM links UNION SELECT dst FROM links), k AS (SELECT id FROM n ORDER BY id LIMIT 50000)
+    SELECT 'n' || (row_number() OVER (ORDER BY id) - 1) AS xml_id, id, id AS label FROM k""")
+def graph_export_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _link_graph(spark, sf_dir)
+    kept, _, _ = interchange.export_subgraph(nodes, edges)
+    return interchange.graphml_nodes(kept).select("xml_id", "id", "label")
