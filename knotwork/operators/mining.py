@@ -58,17 +58,35 @@ def _sides(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (contexts.select(*(F.col(c).alias(f"{s}_{c}") for c in contexts.columns)) for s in ("l", "r"))
 
 
+#: Rows of one item that a side of a cell holds.
+CELL_ROWS = 1024
+
+
+def pairs_within(flat: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Pairs (l_norm, r_norm) of the rows (norm, item) that share an item, once each.
+
+    The rows of an item are dealt into a grid of cells, so a frequent item is many tasks' work instead of one's.
+    """
+    size = flat.groupBy("item").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("k"), F.count("*").alias("n")).where("n > 1")
+    placed = flat.join(size, "item").select("item", "norm", "k", F.pmod(F.xxhash64("norm"), F.col("k")).cast("int").alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    left = placed.select("item", F.col("norm").alias("l_norm"), F.col("b").alias("i"), every.alias("j"))
+    right = placed.select("item", F.col("norm").alias("r_norm"), F.col("b").alias("j"), every.alias("i"))
+    return left.join(right, ["item", "i", "j"]).where("l_norm < r_norm").select("l_norm", "r_norm").distinct()
+
+
 def candidate_pairs(contexts: DataFrame, least_structural: float = 0.10, frames: bool = True) -> DataFrame:
     """Pairs (l_norm, r_norm) that can pass a structural threshold.
 
-    With frames, a pair without a common predicate or child scores at most 0.10, so over a threshold above 0.10
-    an equi-join on common items finds all. At exactly 0.10 pairs of equal occurrence counts can pass too, and
-    below, or without frames, any pair: then all i < j pairs are candidates.
+    With frames, a pair without a common predicate or child scores at most 0.10, and that only if both occur equally
+    often. So from a threshold of 0.10 on an equi-join finds all: on common items, and at exactly 0.10 on equal
+    counts too. Below, or without frames, any pair can pass: then all i < j pairs are candidates.
     """
-    if frames and least_structural > 0.10:
-        items = F.array_distinct(F.concat(F.transform(F.array_union("out_preds", "in_preds"), lambda p: F.concat(F.lit("p:"), p)), F.transform("child_terms", lambda c: F.concat(F.lit("c:"), c))))
-        flat = contexts.select("norm", F.explode(items).alias("item"))
-        return flat.select(F.col("norm").alias("l_norm"), "item").join(flat.select(F.col("norm").alias("r_norm"), "item"), "item").where("l_norm < r_norm").select("l_norm", "r_norm").distinct()
+    if frames and least_structural >= 0.10:
+        items = [F.transform(F.array_union("out_preds", "in_preds"), lambda p: F.concat(F.lit("p:"), p)), F.transform("child_terms", lambda c: F.concat(F.lit("c:"), c))]
+        if least_structural == 0.10:
+            items.append(F.array(F.concat(F.lit("o:"), F.greatest(F.coalesce("occ_count", F.lit(0)), F.lit(1)).cast("string"))))
+        return pairs_within(contexts.select("norm", F.explode(F.array_distinct(F.concat(*items))).alias("item")))
     left, right = (contexts.select(F.col("norm").alias(f"{s}_norm")) for s in ("l", "r"))
     return left.join(right, F.col("l_norm") < F.col("r_norm"))
 
@@ -76,7 +94,7 @@ def candidate_pairs(contexts: DataFrame, least_structural: float = 0.10, frames:
 def context_pair_scores(contexts: DataFrame, frames: bool = True, least_structural: float = 0.0) -> DataFrame:
     """Scores of all candidate pairs; ``contexts`` needs an ``embedding``."""
     left, right = _sides(contexts)
-    if frames and least_structural > 0.10:
+    if frames and least_structural >= 0.10:
         pairs = candidate_pairs(contexts, least_structural, frames).join(left, "l_norm").join(right, "r_norm")
     else:
         pairs = left.join(right, F.col("l_norm") < F.col("r_norm"))
@@ -129,7 +147,7 @@ def entity_pair_scores(entities: DataFrame, least_combined: float = 0.45, least_
     """
     known = entities.withColumn("tokens", F.array_distinct(tokens(F.col("name"))))
     flat = known.select("norm", F.explode("tokens").alias("token"))
-    pairs = flat.select(F.col("norm").alias("l_norm"), "token").join(flat.select(F.col("norm").alias("r_norm"), "token"), "token").where("l_norm < r_norm").select("l_norm", "r_norm").distinct()
+    pairs = pairs_within(flat.withColumnRenamed("token", "item"))
     left, right = _sides(known)
     s = 0.45 * jaccard(F.col("l_preds"), F.col("r_preds")) + 0.35 * jaccard(F.col("l_neighbors"), F.col("r_neighbors")) + 0.20 * jaccard(F.col("l_tokens"), F.col("r_tokens"))
     scored = pairs.join(left, "l_norm").join(right, "r_norm").select("l_norm", "r_norm", s.alias("structural"), cosine(F.col("l_embedding"), F.col("r_embedding")).alias("embedding"))

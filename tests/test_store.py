@@ -315,3 +315,22 @@ def test_typed_properties(spark):
     df = spark.createDataFrame([(json.dumps(doc),), ("{}",)], "t string").select(F.parse_json("t").alias("v"))
     rows = df.select(F.transform_values(interchange.typed_properties(F.col("v")), lambda k, v: F.to_json(v)).alias("m")).collect()
     assert {k: json.loads(v) for k, v in rows[0].m.items()} == {"a_b": 1, "t": True, "l": [1, 2], "m": "[[1],2]", "o": '{"x":1}', "s": "q", "e": []} and rows[1].m == {}
+
+
+@pytest.mark.parametrize("cell_rows", [1, 3, 1024])
+def test_pairs_within_any_grid(spark, cell_rows):
+    rng = random.Random(cell_rows)
+    rows = sorted({(f"n{rng.randrange(30)}", f"i{rng.randrange(4)}") for _ in range(90)})
+    want = {(a, b) for a, i in rows for b, j in rows if i == j and a < b}
+    got = mining.pairs_within(spark.createDataFrame(rows, "norm string, item string"), cell_rows).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_default_thresholds_lose_no_pair(spark):
+    """Candidates at 0.10 against all pairs: those without a common item pass by equal counts alone."""
+    rng = random.Random(3)
+    some = lambda: sorted(rng.sample(["p", "q", "r", "s", "t", "u"], rng.randrange(3)))
+    rows = [(f"c{k}", f"c{k}", some(), some(), some(), rng.choice([0, 1, 1, 2, 5]), [k % 4], [1.0, float(k % 3)]) for k in range(40)]
+    contexts = spark.createDataFrame(rows, "norm string, name string, out_preds array<string>, in_preds array<string>, child_terms array<string>, occ_count long, document_ids array<int>, embedding array<double>")
+    passed = lambda df: {(r.l_norm, r.r_norm, round(r.structural, 9), round(r.combined, 9)) for r in df.where("round(structural, 12) >= 0.10").collect()}
+    assert passed(mining.context_pair_scores(contexts, True, 0.10)) == passed(mining.context_pair_scores(contexts, True, 0.0))
