@@ -1,8 +1,8 @@
 """Articulation points, bridges, and what breaks when a node is removed.
 
 One low-link search per connected component finds all three in linear time: the sizes of the pieces that a
-node's removal leaves follow from the search tree. A component is one task's work (memory grows with its
-edges); components are spread over the cluster.
+node's removal leaves follow from the search tree. Components of up to TASK_EDGES edges are a task's work each;
+larger ones are searched by joins (:mod:`blocks`), with the same result.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, written
+from .blocks import low_link_by_joins
 from .components import star_components
 from .graph import degrees
 
+TASK_EDGES = 300_000  # of a component that one task searches (under 350 MB of its Python worker)
+
 FOUND = "kind string, node string, other string, pieces long, largest_piece long, size long"
 
 
@@ -61,11 +64,15 @@ def search_component(pairs: list[tuple[str, str]]) -> tuple[dict[str, tuple[int,
     return pieces, bridges
 
 
-def low_link(edges: DataFrame) -> DataFrame:
-    """Rows of kind ``node`` (pieces, largest_piece after removal, size of the component) and ``bridge``."""
+def low_link(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Rows of kind ``node`` (pieces, largest_piece after removal, size of the component) and ``bridge``.
+
+    Components of more than ``task_edges`` edges never meet in one task.
+    """
     pairs = edges.select(F.least("src", "dst").cast("string").alias("a"), F.greatest("src", "dst").cast("string").alias("b")).distinct()
     members = star_components(pairs, "a", "b")
-    placed = pairs.join(members.withColumnRenamed("node", "a"), "a").select("component", "a", "b")
+    placed = materialize(pairs.join(members.withColumnRenamed("node", "a"), "a").select("component", "a", "b"), "placed")
+    large = placed.groupBy("component").count().where(F.col("count") > task_edges).select("component")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         pieces, bridges = search_component(list(zip(group["a"], group["b"], strict=True)))
@@ -73,7 +80,11 @@ def low_link(edges: DataFrame) -> DataFrame:
         rows += [("bridge", a, b, 0, 0, len(pieces)) for a, b in bridges]
         return pd.DataFrame(rows, columns=["kind", "node", "other", "pieces", "largest_piece", "size"])
 
-    return placed.groupBy("component").applyInPandas(search, FOUND)
+    if large.isEmpty():
+        return placed.groupBy("component").applyInPandas(search, FOUND)
+    large = materialize(large, "large")
+    small = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(search, FOUND)
+    return small.unionByName(written(lambda: low_link_by_joins(placed.join(large, "component", "left_semi")), "low_link"))
 
 
 def articulation_points(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:

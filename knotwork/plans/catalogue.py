@@ -500,6 +500,12 @@ def removal_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.removal_impact(geo(spark, sf_dir)).select("node", "component_gain", "largest_component_loss", "total_degree", "impact_score")
 
 
+@query(f"WITH RECURSIVE {_IMPACT} SELECT * FROM impact")
+def removal_impact_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = geo(spark, sf_dir)
+    return structure.removal_impact(edges, found=structure.low_link(edges, task_edges=0)).select("node", "component_gain", "largest_component_loss", "total_degree", "impact_score")
+
+
 @query(f"""WITH RECURSIVE {_IMPACT}, m AS (SELECT count(*) FILTER (d > 1) AS points, count(*) AS n FROM deg), t AS (SELECT max(impact_score) AS top, max(component_gain) AS gain, max(largest_component_loss) AS loss FROM impact)
     SELECT round(0.35 * (points / n::DOUBLE) + 0.25 * 1.0 + 0.40 * top, 6) AS fragility_score, points AS articulation_points_count, round(points / n::DOUBLE, 6) AS articulation_points_share, (SELECT count(*) FROM geo) AS bridge_edges_count,
       1.0::DOUBLE AS bridge_edges_share, gain AS max_component_gain, loss AS max_largest_component_loss FROM m, t""")

@@ -68,6 +68,27 @@ def test_structure_random(spark):
         assert {r.node for r in structure.articulation_points(e).collect()} == {k for k, v in impact.items() if v[0] > 0}
 
 
+def low_link(e, task_edges):
+    return sorted(map(repr, map(tuple, structure.low_link(e, task_edges).collect())))
+
+
+def test_large_components_by_joins(spark):
+    """Components over the bound are searched by joins; the result is that of one task each, and of brute force."""
+    rng = random.Random(5)
+    pairs = [("alone", "alone")] + [(f"chain{i:02}", f"chain{i + 1:02}") for i in range(12)]
+    for c, (n, m) in enumerate(((16, 18), (9, 24))):
+        pairs += [(f"{c}-{rng.randrange(n):02}", f"{c}-{rng.randrange(n):02}") for _ in range(m)]
+    e = edges(spark, pairs)
+    whole = low_link(e, len(pairs))
+    assert low_link(e, 0) == whole
+    assert low_link(e, 12) == whole
+    impact, bridges = brute(pairs)
+    found = [r.asDict() for r in structure.low_link(e, len(pairs)).collect()]
+    assert {(r["node"], r["other"]) for r in found if r["kind"] == "bridge"} == bridges
+    assert {r["node"] for r in found if r["pieces"] > 1} == {k for k, v in impact.items() if v[0] > 0}
+    assert low_link(edges(spark, []), 0) == []
+
+
 def test_fragility_of_barbell_and_of_nothing(spark):
     row = structure.fragility(edges(spark, GRAPHS["barbell"])).first()
     assert (row.articulation_points_count, row.bridge_edges_count, row.max_component_gain) == (2, 1, 1)
