@@ -17,11 +17,31 @@ from ..operators.frames import role_frame
 DELIMITERS = (";", ",", "\t")
 SAMPLE = 4096
 ENCODINGS = ("utf-8-sig", "cp1251", "latin-1")
+NOT_IN_CP1251 = b"\x98"
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """A well-formed CSV file with a header, all columns as strings."""
-    return spark.read.csv(path, header=True, sep=sep, inferSchema=False)
+def csv_encoding(spark: SparkSession, path: str) -> str:
+    """utf-8 if every line is valid, else cp1251, else (if a byte occurs that cp1251 lacks) latin-1. Reads all lines once."""
+    line = F.col("value")
+    valid, lacking = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8(line)), F.bool_or(F.contains(line.cast("binary"), F.lit(NOT_IN_CP1251)))).first()
+    return "utf-8" if valid is None or valid else "latin-1" if lacking else "cp1251"
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str | None = None) -> DataFrame:
+    """A well-formed CSV file with a header, all columns as strings, in the encoding given or found by :func:`csv_encoding`.
+
+    Files read together have one encoding. An empty file has no columns.
+    """
+    encoding = encoding or csv_encoding(spark, path)
+    if encoding == "utf-8":
+        return spark.read.csv(path, header=True, sep=sep, inferSchema=False)
+    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, encoding="ISO-8859-1")
+    if encoding == "latin-1":
+        return raw
+    # Spark's reader does not know cp1251: latin-1 keeps every byte as a character, which is then replaced.
+    upper = bytes(b for b in range(128, 256) if b != NOT_IN_CP1251[0])
+    shown = [F.translate(F.col(f"`{c}`"), upper.decode("latin-1"), upper.decode("cp1251")).alias(c.encode("latin-1").decode("cp1251")) for c in raw.columns]
+    return raw.select(*shown)
 
 
 def decoded(raw: bytes | None) -> str | None:

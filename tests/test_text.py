@@ -130,6 +130,21 @@ def test_files_round_trip(spark, tmp_path):
     assert got == [(2, "p;q", "1", "a"), (2, "p;q", "2", "b"), (2, "вес", "1", ""), (2, "рост", "2", "")]
 
 
+@pytest.mark.parametrize("encoding, header, cell", [("utf-8-sig", "имя", "насос ё"), ("cp1251", "имя", "насос ё"), ("latin-1", "a", "é\x98"), ("utf-8", "a", "plain")])
+def test_csv_encodings(spark, tmp_path, encoding, header, cell):
+    (tmp_path / "t.csv").write_bytes(f"{header};b.c\n{cell};10\n;20\n".encode(encoding))
+    got = readers.read_csv(spark, str(tmp_path / "t.csv"))
+    assert got.columns == [header, "b.c"]
+    assert [tuple(r) for r in got.collect()] == [(cell, "10"), (None, "20")]
+    if not encoding.startswith("utf-8"):
+        assert readers.read_csv(spark, str(tmp_path / "t.csv"), encoding=encoding).columns == got.columns
+
+
+def test_csv_empty(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes(b"")
+    assert readers.csv_encoding(spark, str(tmp_path)) == "utf-8"
+
+
 def test_units_and_frames(spark):
     t = spark.createDataFrame([("Высота, мм", "5 мм", "м, 3")], "subject string, predicate string, object string")
     assert tables.strip_triplet_units(t).first() == ("Высота", "5 мм", "м")
