@@ -77,6 +77,23 @@ def test_hashed_embedding_is_normalised_and_repeatable(spark):
         similarity.encode_texts(rows, F.col("name"), "encoder")
 
 
+def test_encoder_batches_prefix_and_pooling(spark):
+    def tokens(texts):
+        assert len(texts) <= 3
+        return [[[3.0, 0.0], [3.0, 8.0]] if t.startswith("q: a") else [[0.0, 2.0]] for t in texts]
+
+    def whole(texts):
+        return [[0.0, float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(i, "a" if i % 2 else None) for i in range(20)], "id int, name string")
+    out, info = similarity.encode_texts(rows, F.col("name"), encoder=tokens, prefix="q: ", batch_size=3)
+    assert info == {"backend": "encoder", "warning": None}
+    assert {(r.id % 2, tuple(round(x, 9) for x in r.embedding)) for r in out.collect()} == {(1, (0.6, 0.8)), (0, (0.0, 1.0))}
+    out, _ = similarity.encode_texts(rows, F.col("name"), "encoder", whole)
+    assert {tuple(r.embedding) for r in out.collect()} == {(0.0, 1.0)}
+    assert similarity.encode_texts(rows, F.col("name"), "fallback", whole)[1]["backend"] == "hashed_ngrams"
+
+
 def triplets(df):
     return [(r.row_idx, r.subject, r.predicate, r.object) for r in df.orderBy("table_file", "row_idx", "col_idx").collect()]
 
