@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, media, secret_scan, simhash, suffix_dedup, token_count, toxicity
+from ..session import written
+from . import bpe, chat_format, decontaminate, language_id, lexical_search, media, merkle, mixing, secret_scan, simhash, suffix_dedup, token_count, toxicity
 from .common import read
 
 
@@ -56,6 +57,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(lambda: mixing.digest(mixing.mix(read(spark, sf_dir, "documents"))), "mixed")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(lambda: lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")), "ranked")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return written(lambda: merkle.digest(merkle.verify(docs, merkle.tampered(docs))), "verified")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -67,12 +81,44 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_mixing": op11_mixing,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_merkle": op13_merkle,
 }
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[])"
 
 NEAR = decontaminate.NEAR
 
+
+def _merkle_sql(depth: int = 5, upper: int = 3) -> str:
+    """SQL of op13 for up to 16**depth documents of a source and 16**upper sources: a step per level."""
+    field = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        "tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(0, 256)) AS i))",
+        "crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), tab)",
+        f"lv AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN crc % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS bent FROM documents LEFT JOIN crc USING (doc_id))",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, dense_rank() OVER (ORDER BY source IS NOT NULL, source) - 1 AS s FROM lv)",
+        "n0 AS (SELECT s, p, leaf AS h FROM d)",
+    ]
+    for k in range(depth):
+        ctes += [f"r{k} AS (SELECT s, p // 16 AS p, list(h ORDER BY p) AS run, max(c) AS c FROM (SELECT *, count(*) OVER (PARTITION BY s) AS c FROM n{k}) GROUP BY 1, 2)"]
+        ctes += [f"n{k + 1} AS (SELECT s, p, CASE WHEN c = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM r{k})"]
+    ctes += [f"u0 AS (SELECT 0 AS s, s AS p, h FROM n{depth})"]
+    for k in range(upper):
+        ctes += [f"q{k} AS (SELECT s, p // 16 AS p, list(h ORDER BY p) AS run, max(c) AS c FROM (SELECT *, count(*) OVER () AS c FROM u{k}) GROUP BY 1, 2)"]
+        ctes += [f"u{k + 1} AS (SELECT s, p, CASE WHEN c = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM q{k})"]
+    ctes += ["f0 AS (SELECT doc_id, leaf, s, p, p AS at, bent AS fold, '' AS seen FROM d)"]
+    steps = [(f"r{k}", "t.s = f.s", "f.at") for k in range(depth)] + [(f"q{k}", "true", "f.at") for k in range(upper)]
+    for k, (table, on, at) in enumerate(steps):
+        start = "f.s" if k == depth else at  # from its source's subroot on, a row's place is the source's
+        left, right = f"array_to_string(run[1:{start} % 16], '')", f"array_to_string(run[{start} % 16 + 2:], '')"
+        ctes += [f"f{k + 1} AS (SELECT doc_id, leaf, f.s, f.p, {start} // 16 AS at, CASE WHEN c = 1 THEN fold ELSE sha256({left} || fold || {right}) END AS fold, CASE WHEN c = 1 THEN seen ELSE seen || {left} || {right} END AS seen FROM f{k} f JOIN {table} t ON {on} AND t.p = {start} // 16)"]
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, n.h AS subroot, u.h AS root, sha256(seen) AS proof_sha256, fold AS folded_root, fold = u.h AS verified FROM f{len(steps)} f JOIN n{depth} n USING (s) CROSS JOIN u{upper} u"
+
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -105,6 +151,20 @@ ORACLES: dict[str, str] = {
         o AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), ''))) AS s FROM e GROUP BY 1)
         SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(s, sha256('')) AS kept_sha256 FROM documents LEFT JOIN o USING (doc_id)
     """,
+    "op12_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        t AS (SELECT r, doc_id, unnest(w) AS t FROM d),
+        tf AS (SELECT r, doc_id, t, count(*) AS tf FROM t GROUP BY ALL),
+        n AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+        g AS (SELECT count(*) AS cn, sum(n)::BIGINT AS cl FROM n),
+        df AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * max(cn) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, g GROUP BY 1),
+        b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark),
+        a AS (SELECT q, item_id, t, count(*) AS c FROM (SELECT q, item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+        s AS (SELECT q, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * cn) // cl))))::BIGINT AS score FROM a JOIN df USING (t) JOIN tf USING (t) JOIN n USING (r), g GROUP BY 1, 2, 3, 4),
+        k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+    """,
+    "op13_merkle": _merkle_sql(),
     "op6_chat_format": """
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
