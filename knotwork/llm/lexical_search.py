@@ -43,6 +43,7 @@ from .decontaminate import NO_ID, Numbers, words
 SHARD_BYTES = 8 << 20  # of text, with some bytes for each document
 BLOCK_BYTES = 4 << 20  # of query text at a time
 TOP = 20
+MOST_PARTITIONS = 1 << 15
 INDEX_DDL = "shard long, term binary, df long, n_terms long, postings binary"
 
 
@@ -227,8 +228,8 @@ def query_index(index: DataFrame, queries: DataFrame, top: int = TOP, block_byte
     spark = index.sparkSession
     asked = queries.select(F.col("item_id"), F.col("text").cast("string").alias("text")).withColumn("query", F.monotonically_increasing_id())
     asked = materialize(asked, "asked")
-    totals = index.where("term IS NULL").agg(F.sum("df"), F.sum("n_terms")).first()
-    n_docs, n_terms = totals[0] or 0, totals[1] or 0
+    n_shards, n_docs, n_terms = index.where("term IS NULL").agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+    shards = max(1, min(n_shards, MOST_PARTITIONS))
     blocks = max(1, -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     found = None
     for b in range(blocks):
@@ -240,7 +241,8 @@ def query_index(index: DataFrame, queries: DataFrame, top: int = TOP, block_byte
         shared = spark.sparkContext.broadcast((held, weight))
         body = search_shard(shared, n_docs, n_terms, top)
         lists = hits.unionByName(index.where("term IS NULL")).select("shard", "term", "df", "postings")
-        part = lists.groupBy("shard").applyInArrow(body, "query long, doc_id long, score long")
+        # A stated number of partitions: few bytes make much work here, so they are not to be put together.
+        part = lists.repartition(shards, "shard").groupBy("shard").applyInArrow(body, "query long, doc_id long, score long")
         part = part if blocks == 1 else materialize(part, "found")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))

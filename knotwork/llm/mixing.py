@@ -230,7 +230,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, repeats: int =
         "source_index", "block", "row", "doc_id", "text_hash", (start - b * block).cast("int").alias("place"), (start - first).alias("word"), (F.least(first + n, (b + 1) * block) - start).alias("_n")
     )
     kept = F.least(F.col("_n"), F.col("words") - F.col("place"))
-    fragments = slots.join(pieces, ["source_index", "block"]).where(F.col("place") < F.col("words"))
+    # Spark takes the slots for as few as the shards that they come from, and would broadcast them.
+    fragments = slots.hint("merge").join(pieces, ["source_index", "block"]).where(F.col("place") < F.col("words"))
     return Mix(rows, table.withColumn("source", F.when(F.col("_group") != "2", F.substring("_group", 2, 1 << 30))).drop("_group"), fragments.withColumn("n_words", kept).drop("_n", "words"))
 
 
