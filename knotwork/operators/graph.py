@@ -6,14 +6,13 @@ task. Loops cut their lineage through tables in the shared folder and read back
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_materialized, materialize
 from .components import star_components
 from .store import numbered
+from .strong import best_reach, cyclic_nodes, trimmed
 
 # Key and name of the root above all component roots.
 VIRTUAL_ROOT = "__graph_root__"
@@ -144,6 +143,7 @@ def component_roots(edges: DataFrame, ranks: DataFrame | None = None, labels: Da
 
     Candidates are nodes without incoming edges, or all nodes if there is none. The root has the most
     descendants, then the highest PageRank, the fewest incoming and most outgoing edges, the first label.
+    Descendants are counted only where they can decide (see :func:`strong.best_reach`), not for all candidates.
     """
     members = members if members is not None else materialize(components(edges), "members")
     d = degrees(edges)
@@ -153,7 +153,7 @@ def component_roots(edges: DataFrame, ranks: DataFrame | None = None, labels: Da
     zero = F.col("in_degree") == 0
     sums = info.groupBy("component").agg(F.count_if(zero).alias("zero_in"))
     candidates = materialize(info.join(sums, "component").where(zero | (F.col("zero_in") == 0)), "candidates")
-    counted = candidates.join(descendant_counts(edges, candidates), "node")
+    counted = candidates.join(best_reach(edges, members, candidates), "node")
     named = counted.join(labels, "node", "left") if labels is not None else counted.withColumn("label", F.col("node").cast("string"))
     order = [F.desc("descendants"), F.desc(F.round("pagerank", 12)), F.asc("in_degree"), F.desc("out_degree"), F.asc(F.coalesce("label", F.col("node").cast("string"))), F.asc("node")]
     best = named.withColumn("rn", F.row_number().over(per.orderBy(*order))).where("rn = 1")
@@ -173,56 +173,75 @@ def global_root(roots: DataFrame) -> DataFrame:
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
-    """The edges that remain after peeling nodes without incoming or without outgoing edges, again and again.
-
-    Empty if and only if the graph has no cycle.
-    """
-    core = materialize(edges.select("src", "dst").distinct(), "core")
-    size = core.count()
-    while True:  # each round drops edges or is the last
-        fed = core.select(F.col("dst").alias("src")).distinct()
-        feeding = core.select(F.col("src").alias("dst")).distinct()
-        after = materialize(core.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst"), "core")
-        left = after.count()
-        drop_materialized(core)
-        core = after
-        if left in (size, 0):
-            break
-        size = left
-    return core
+    """The edges that are left when nodes without incoming or without outgoing edges are peeled: none without a cycle."""
+    return trimmed(edges)
 
 
 def is_cyclic(edges: DataFrame) -> DataFrame:
     return cyclic_core(edges).agg((F.count("*") > 0).alias("is_cyclic"))
 
 
+class _Distances:
+    """(start, last, left): how far nodes are from the starts, through nodes larger than the start; grown by need."""
+
+    def __init__(self, inner: DataFrame):
+        self.inner, self.reach = inner, 1
+        self.front = self.known = materialize(inner.where("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("last"), F.lit(1).alias("left")), "distances")
+
+    def grow(self, reach: int) -> None:
+        while self.reach < reach and not self.front.isEmpty():
+            back = self.inner.select(F.col("src").alias("before"), F.col("dst").alias("last"))
+            step = self.front.join(back, "last").where("before > start").select("start", F.col("before").alias("last")).distinct()
+            self.reach += 1
+            self.front = materialize(step.join(self.known, ["start", "last"], "left_anti").withColumn("left", F.lit(self.reach)), "distances")
+            self.known = materialize(self.known.unionByName(self.front), "distances") if self.reach % 8 == 0 else self.known.unionByName(self.front)
+
+
 def simple_cycles(edges: DataFrame, labels: DataFrame | None = None, max_length: int | None = None, limit: int = 20) -> DataFrame:
     """The first ``limit`` elementary cycles by (length, path): (cycle_length, cycle_path).
 
-    A cycle is written from its smallest node. Paths grow by joins inside the cyclic core, only through nodes
-    larger than their start, so each cycle is found once. The loop ends as soon as a length has filled the
-    report or no open path is left; ``max_length``, none by default, bounds the cycles that are looked for.
+    A cycle is written from its smallest node, so each is found once: paths lead through larger nodes of the start's
+    strongly connected component. A path is extended only when no shorter cycle can come: what it has and what it
+    still needs at least to get back is within the length looked at; others wait, those that lead nowhere go. The
+    next length is the least that waits. The loop ends when a length has filled the report or nothing waits;
+    ``max_length``, none by default, bounds the cycles that are looked for.
     """
-    core = cyclic_core(edges)
-    paths = core.where("dst >= src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("path"))
-    closed: list[DataFrame] = []
-    found = 0
-    for length in count(1):
-        if length == 1:
-            closed.append(materialize(paths.where("start = last").select("path"), "cycles"))
-            paths = materialize(paths.where("start <> last"), "paths")
-        else:
-            back = core.select(F.col("src").alias("last"), F.col("dst").alias("start"))
-            closed.append(materialize(paths.join(back, ["last", "start"], "left_semi").select("path"), "cycles"))
-        found += closed[-1].count()
-        if found >= limit or length == max_length:
+    strong = materialize(cyclic_nodes(edges), "strong")
+    ends = edges.select("src", "dst").distinct().join(strong.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(strong.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    core = materialize(ends.where("a = b").select("src", "dst"), "core")
+    closed = [materialize(core.where("src = dst").select(F.array("src").alias("path")), "cycles")]
+    inner = materialize(core.where("src <> dst"), "core")
+    found = closed[0].count()
+    distances = _Distances(inner)
+    open_ = inner.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    waiting = materialize(open_, "paths")
+
+    def needing(paths: DataFrame) -> DataFrame:
+        """Adds ``left`` and ``need``, the nodes of the shortest cycle that a path can still become, or a bound for it."""
+        far = F.lit(None) if distances.front.isEmpty() else F.lit(distances.reach + 1)
+        need = F.size("path") + F.coalesce("left", far) - 1
+        return paths.drop("need", "left").join(distances.known, ["start", "last"], "left").withColumn("need", need).where("need is not null")
+
+    while found < limit:
+        waiting = materialize(needing(waiting), "paths")
+        length = waiting.agg(F.min("need")).first()[0]
+        if length is None or max_length is not None and length > max_length:
             break
-        if length > 1:
-            step = core.select(F.col("src").alias("last"), F.col("dst").alias("next"))
-            longer = paths.join(step, "last").where((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
-            paths = materialize(longer.select("start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path")), "paths")
-            if paths.isEmpty():
-                break
+        if length > distances.reach and not distances.front.isEmpty():  # only a bound yet
+            distances.grow(max(length, distances.reach + distances.reach // 2))
+            continue
+        active, later = waiting.where(F.col("need") <= length), [waiting.where(F.col("need") > length)]
+        while not active.isEmpty():
+            closed.append(materialize(active.where("left = 1").select("path"), "cycles"))
+            found += closed[-1].count()
+            step = inner.select(F.col("src").alias("last"), F.col("dst").alias("next"))
+            longer = active.join(step, "last").where((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
+            grown = materialize(needing(longer.select("start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"))), "paths")
+            later.append(grown.where(F.col("need") > length))
+            active = grown.where(F.col("need") <= length)
+        waiting = later[0]
+        for part in later[1:]:
+            waiting = waiting.unionByName(part)
     every = closed[0]
     for c in closed[1:]:
         every = every.unionByName(c)

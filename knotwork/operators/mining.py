@@ -1,7 +1,8 @@
 """Similarity mining over concept contexts: synonyms, context bridges, legacy clusters, aliases.
 
 Scores are column expressions over pairs. Pairs come from lossless candidate generation where the thresholds
-allow it (see :func:`candidate_pairs`), else from the i < j join that the scores are defined on.
+allow it (see :func:`candidate_pairs`), else from the i < j join that the scores are defined on. Reports of the best
+pairs of many rows are first looked for among pairs of high scores, which only similar vectors reach.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from ..functions.similarity import cosine, jaccard
 from ..functions.text import normalize, shorter_variant, tokens
 from ..session import materialize
 from .components import star_components
+from .cosine_join import cosine_pairs
 
 EMPTY = "array<string>"
 
@@ -75,27 +77,40 @@ def pairs_within(flat: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     return left.join(right, ["item", "i", "j"]).where("l_norm < r_norm").select("l_norm", "r_norm").distinct()
 
 
-def candidate_pairs(contexts: DataFrame, least_structural: float = 0.10, frames: bool = True) -> DataFrame:
-    """Pairs (l_norm, r_norm) that can pass a structural threshold.
+#: The most that a pair without a common predicate or child scores structurally: equal counts alone. With and without frames.
+UNSHARED = {True: 0.10, False: 0.15}
 
-    With frames, a pair without a common predicate or child scores at most 0.10, and that only if both occur equally
-    often. So from a threshold of 0.10 on an equi-join finds all: on common items, and at exactly 0.10 on equal
-    counts too. Below, or without frames, any pair can pass: then all i < j pairs are candidates.
+
+def candidate_pairs(contexts: DataFrame, least_structural: float = 0.10, frames: bool = True, least_cosine: float = 0.0) -> DataFrame:
+    """Pairs (l_norm, r_norm) that can pass the thresholds; ``contexts`` needs an ``embedding`` if there is a least cosine.
+
+    ``least_cosine`` binds pairs without a common predicate or child: what those need, as they score at most
+    ``UNSHARED`` structurally, and that only if both occur equally often. So an equi-join on common items finds what
+    scores more, and a cosine join the rest. Without a least cosine the rest is every pair; with frames and a
+    structural threshold of exactly 0.10, every pair of equal counts.
     """
-    if frames and least_structural >= 0.10:
-        items = [F.transform(F.array_union("out_preds", "in_preds"), lambda p: F.concat(F.lit("p:"), p)), F.transform("child_terms", lambda c: F.concat(F.lit("c:"), c))]
-        if least_structural == 0.10:
-            items.append(F.array(F.concat(F.lit("o:"), F.greatest(F.coalesce("occ_count", F.lit(0)), F.lit(1)).cast("string"))))
-        return pairs_within(contexts.select("norm", F.explode(F.array_distinct(F.concat(*items))).alias("item")))
+    items = [F.transform(F.array_union("out_preds", "in_preds"), lambda p: F.concat(F.lit("p:"), p))]
+    if frames:
+        items.append(F.transform("child_terms", lambda c: F.concat(F.lit("c:"), c)))
+    counts = F.array(F.concat(F.lit("o:"), F.greatest(F.coalesce("occ_count", F.lit(0)), F.lit(1)).cast("string")))
+    within = lambda parts: pairs_within(contexts.select("norm", F.explode(F.array_distinct(F.concat(*parts))).alias("item")))
+    if least_structural > UNSHARED[frames]:
+        return within(items)
+    if least_cosine > 0:
+        return within(items).unionByName(cosine_pairs(contexts, least_cosine)).distinct()
+    if frames and least_structural == UNSHARED[frames]:
+        return within([*items, counts])
     left, right = (contexts.select(F.col("norm").alias(f"{s}_norm")) for s in ("l", "r"))
     return left.join(right, F.col("l_norm") < F.col("r_norm"))
 
 
-def context_pair_scores(contexts: DataFrame, frames: bool = True, least_structural: float = 0.0) -> DataFrame:
-    """Scores of all candidate pairs; ``contexts`` needs an ``embedding``."""
+def context_pair_scores(contexts: DataFrame, frames: bool = True, least_structural: float = 0.0, least_cosine: float = 0.0, candidates: DataFrame | None = None) -> DataFrame:
+    """Scores of all candidate pairs (see :func:`candidate_pairs`), or of those given; ``contexts`` needs an ``embedding``."""
     left, right = _sides(contexts)
-    if frames and least_structural >= 0.10:
-        pairs = candidate_pairs(contexts, least_structural, frames).join(left, "l_norm").join(right, "r_norm")
+    if candidates is None and (least_structural > UNSHARED[frames] or least_cosine > 0 or frames and least_structural == UNSHARED[frames]):
+        candidates = candidate_pairs(contexts, least_structural, frames, least_cosine)
+    if candidates is not None:
+        pairs = candidates.join(left, "l_norm").join(right, "r_norm")
     else:
         pairs = left.join(right, F.col("l_norm") < F.col("r_norm"))
     preds = lambda s: F.array_union(f"{s}_out_preds", f"{s}_in_preds")
@@ -122,9 +137,31 @@ def _first_ten(items: str) -> Column:
     return F.array_join(F.slice(F.col(items).cast("array<string>"), 1, 10), ", ").alias(items)
 
 
+#: Scores from which a report is tried to be filled first, where there are more rows than this.
+LEVELS, MANY_ROWS = (0.9, 0.8), 20_000
+
+
+def best_pairs(contexts: DataFrame, frames: bool, score: str, weights: tuple[float, float, float], least: float, least_structural: float, limit: int, condition: Column) -> DataFrame:
+    """Scored pairs that hold all of the ``limit`` highest by ``score`` (at six digits) with at least ``least``.
+
+    ``score`` weighs structural score, cosine and the rest by ``weights``. With many rows, pairs of a high score are
+    tried first: those need a cosine of (score - other weights) / weight. A level that fills the report holds its best.
+    """
+    structural, vector, rest = weights
+    passed = lambda pairs, at: pairs.where(condition & (F.round(score, 12) >= at) & (F.round("structural", 12) >= least_structural))
+    for level in LEVELS if contexts.count() > MANY_ROWS else ():
+        bound = (level - structural - rest) / vector
+        if level > least and bound > 0:
+            found = materialize(passed(context_pair_scores(contexts, frames, candidates=cosine_pairs(contexts, bound)), level), "pairs")
+            if found.where(F.round(score, 6) > level).count() >= limit:
+                return found
+    bound = (least - structural * UNSHARED[frames] - rest) / vector
+    return passed(context_pair_scores(contexts, frames, least_structural, max(bound - 1e-9, 0.0)), least)
+
+
 def synonyms(contexts: DataFrame, frames: bool = True, least_combined: float = 0.45, least_structural: float = 0.10, limit: int = 200) -> DataFrame:
     """The best pairs by combined score."""
-    found = context_pair_scores(contexts, frames, least_structural).where((F.round("combined", 12) >= least_combined) & (F.round("structural", 12) >= least_structural))
+    found = best_pairs(contexts, frames, "combined", (0.55, 0.45, 0.0), least_combined, least_structural, limit, F.lit(True))
     rows = found.select("l_norm", "r_norm", "l_name", "r_name", "support", *(F.round(c, 6).alias(f"{c}_score") for c in ("structural", "embedding", "combined")), *(_first_ten(c) for c in ("shared_predicates", "shared_children")))
     return rows.orderBy(F.desc("combined_score"), F.desc("structural_score"), F.desc("embedding_score"), F.desc("support"), "l_name", "r_name", "l_norm", "r_norm").limit(limit)
 
@@ -132,7 +169,7 @@ def synonyms(contexts: DataFrame, frames: bool = True, least_combined: float = 0
 def context_bridges(contexts: DataFrame, frames: bool = True, least_bridge: float = 0.35, least_structural: float = 0.10, limit: int = 200) -> DataFrame:
     """The best pairs across components by bridge score."""
     apart = F.col("l_component_id").isNotNull() & F.col("r_component_id").isNotNull() & (F.col("l_component_id") != F.col("r_component_id"))
-    found = context_pair_scores(contexts, frames, least_structural).where(apart & (F.round("bridge", 12) >= least_bridge) & (F.round("structural", 12) >= least_structural))
+    found = best_pairs(contexts, frames, "bridge", (0.40, 0.40, 0.20), least_bridge, least_structural, limit, apart)
     shared = found.withColumn("shared_documents", F.array_sort(F.array_intersect("l_document_ids", "r_document_ids")))
     lists = ("l_document_ids", "r_document_ids", "shared_documents", "shared_predicates", "shared_children")
     rows = shared.select(
@@ -189,21 +226,28 @@ def clusters_by_root(rows: DataFrame) -> DataFrame:
     return rows.groupBy("root_norm", "root_name").agg(F.max("cluster_score").alias("cluster_score"), F.max("cluster_size").alias("cluster_size"), F.count("*").alias("children_count"), children.alias("children"))
 
 
+def _first(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first ``limit`` stored rows in order; all of them without the one task that a limit ends in."""
+    ordered = rows.orderBy(*order)
+    return ordered if rows.count() <= limit else ordered.limit(limit)
+
+
 def alias_candidates(vertices: DataFrame, least_support: int = 1, least_cosine: float = 0.82, limit: int = 1000) -> DataFrame:
     """Pairs of similar vertices, the canonical spelling first.
 
     ``vertices``: norm, name, support, embedding. The most supported ``limit`` vertices are compared, which the
-    limit is for; pairs of equal norms are none.
+    limit is for; pairs of equal norms are none. Pairs come from a cosine join; a threshold of 0 or less compares all.
     """
-    kept = vertices.where(F.col("support") >= least_support).orderBy(F.desc("support"), "norm").limit(limit)
+    kept = _first(materialize(vertices.where(F.col("support") >= least_support), "vertices"), [F.desc("support"), "norm"], limit)
     left, right = _sides(kept)
-    scored = left.join(right, F.col("l_norm") < F.col("r_norm")).withColumn("cosine", cosine(F.col("l_embedding"), F.col("r_embedding"))).where(F.round("cosine", 12) >= least_cosine)
+    pairs = cosine_pairs(kept, least_cosine).join(left, "l_norm").join(right, "r_norm") if least_cosine > 0 else left.join(right, F.col("l_norm") < F.col("r_norm"))
+    scored = pairs.withColumn("cosine", cosine(F.col("l_embedding"), F.col("r_embedding"))).where(F.round("cosine", 12) >= least_cosine)
     best = shorter_variant(F.col("l_norm"), F.col("l_name"), F.col("r_norm"), F.col("r_name"))
     first = scored.withColumn("c", best)
     other = F.when(F.col("c.norm") == F.col("l_norm"), F.struct(F.col("r_norm").alias("norm"), F.col("r_name").alias("text"))).otherwise(F.struct(F.col("l_norm").alias("norm"), F.col("l_name").alias("text")))
     rows = first.withColumn("a", other).select(
         F.col("c.norm").alias("canonical_norm"), F.col("c.text").alias("canonical_name"), F.col("a.norm").alias("alias_norm"), F.col("a.text").alias("alias_text"), F.round("cosine", 6).alias("confidence"), F.greatest("l_support", "r_support", F.lit(1)).alias("support"), "l_name", "r_name", F.round("cosine", 12).alias("_c"))
-    return rows.orderBy(F.desc("_c"), F.desc("support"), "l_name", "r_name", "canonical_norm", "alias_norm").limit(limit).drop("_c", "l_name", "r_name")
+    return _first(materialize(rows, "aliases"), [F.desc("_c"), F.desc("support"), "l_name", "r_name", "canonical_norm", "alias_norm"], limit).drop("_c", "l_name", "r_name")
 
 
 def top_neighbours(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:

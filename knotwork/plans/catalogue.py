@@ -11,7 +11,7 @@ from ..functions import similarity, text
 from ..operators import evaluate, frames, grammar, graph, mining, search, store, structure, tables
 from ..session import materialize
 from ..sources import interchange, readers
-from .projections import CONTEXTS, ENTITIES, GEO, LINKS, MATRIX, SUPPLY, TRANSITIONS, contexts, entities, flow, geo, links, load, matrix, store_triplets, supply, transitions
+from .projections import CONTEXTS, ENTITIES, GEO, LINKS, MATRIX, SAID_WORDS, SUPPLY, TITLES, TRANSITIONS, contexts, entities, flow, geo, links, load, matrix, said_words, slots_sql, store_triplets, supply, titles, transitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -868,3 +868,37 @@ def graph_export_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _link_graph(spark, sf_dir)
     kept, _, _ = interchange.export_subgraph(nodes, edges)
     return interchange.graphml_nodes(kept).select("xml_id", "id", "label")
+
+
+@query(f"""WITH RECURSIVE {LINKS}, b AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), w AS (SELECT a AS node, a AS other FROM b UNION SELECT w.node, b.b FROM w JOIN b ON b.a = w.other),
+    m AS (SELECT node, min(other) AS component FROM w GROUP BY 1), s AS (SELECT src AS node, count(*) AS n FROM links WHERE src <> dst GROUP BY 1)
+    SELECT component, max(n) AS root_descendants, count(*) AS zero_in_degree_nodes, max(size) AS nodes_count FROM s JOIN m USING (node) JOIN (SELECT component, count(*) AS size FROM m GROUP BY 1) USING (component) GROUP BY 1""")
+def component_roots_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = links(spark, sf_dir)
+    ranks = graph.edge_nodes(e).select("node", F.lit(0.0).alias("pagerank"))
+    return graph.component_roots(e, ranks).select("component", "root_descendants", "zero_in_degree_nodes", "nodes_count")
+
+
+# Mining on names that grow with the tables
+
+
+@query(f"""WITH {SAID_WORDS}, {slots_sql("words")},
+    s AS (SELECT l_norm AS a, r_norm AS b, cosine AS c FROM cosines WHERE round(cosine, 12) >= 0.82)
+    SELECT CASE WHEN length(a) < length(b) OR (length(a) = length(b) AND a < b) THEN a ELSE b END AS canonical_norm, CASE WHEN length(a) < length(b) OR (length(a) = length(b) AND a < b) THEN b ELSE a END AS alias_norm, round(c, 6) AS confidence, greatest(x.support, y.support) AS support
+    FROM s JOIN words x ON x.norm = a JOIN words y ON y.norm = b""")
+def alias_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.alias_candidates(said_words(spark, sf_dir), limit=1 << 30).select("canonical_norm", "alias_norm", "confidence", "support")
+
+
+@query(f"""WITH {TITLES}
+    SELECT l_norm, r_norm, support, round(combined, 6) AS combined_score FROM titled WHERE round(combined, 12) >= 0.45 AND round(structural, 12) >= 0.10
+    ORDER BY round(combined, 6) DESC, round(structural, 6) DESC, round(embedding, 6) DESC, support DESC, l_norm, r_norm LIMIT 200""")
+def synonyms_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.synonyms(titles(spark, sf_dir)).select("l_norm", "r_norm", "support", "combined_score")
+
+
+@query(f"""WITH {TITLES}
+    SELECT l_norm, r_norm, round(bridge, 6) AS bridge_score FROM titled WHERE apart AND round(bridge, 12) >= 0.35 AND round(structural, 12) >= 0.10
+    ORDER BY round(bridge, 6) DESC, round(combined, 6) DESC, round(structural, 6) DESC, round(embedding, 6) DESC, support DESC, l_norm, r_norm LIMIT 200""")
+def bridges_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.context_bridges(titles(spark, sf_dir)).select("l_norm", "r_norm", "bridge_score")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import unpivot_triplets
+from ..session import materialize
 
 PART_COLUMNS = ("p_brand", "p_type", "p_size")
 
@@ -141,3 +142,60 @@ epairs AS (
     + 0.20 * (len(list_intersect(l.tokens, r.tokens))::DOUBLE / (len(l.tokens) + len(r.tokens) - len(list_intersect(l.tokens, r.tokens)))) AS structural
   FROM entities l JOIN entities r ON l.norm < r.norm AND list_has_any(l.tokens, r.tokens)),
 escored AS (SELECT *, 0.60 * structural + 0.40 * embedding AS combined FROM epairs)"""
+
+
+SLOTS = 768
+
+
+def pair_slots(name: str) -> Column:
+    padded = F.concat(F.lit(" "), F.col(name), F.lit(" "))
+    code = lambda i: F.ascii(F.substring(padded, i, F.lit(1)))
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: (code(i) * 31 + code(i + 1)) % SLOTS)
+
+
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """Adds ``embedding``: counts of the norm's letter pairs, hashed to 768 slots, a sparse vector that SQL can compute too.
+
+    Slots and counts are stored on the way: inside a lambda their expressions would be computed for every slot.
+    """
+    counted = materialize(rows.withColumn("_slots", pair_slots("norm")), "slots")
+    once = F.array_distinct("_slots")
+    counted = materialize(counted.withColumn("_counts", F.map_from_arrays(once, F.transform(once, lambda k: F.size(F.filter("_slots", lambda s: s == k)).cast("double")))), "slots")
+    return counted.withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.coalesce(F.element_at("_counts", k), F.lit(0.0)))).drop("_slots", "_counts")
+
+
+def slots_sql(names: str) -> str:
+    """CTEs over a table (norm): its slots with counts, and cosines of pairs that share a slot."""
+    return f"""grams AS (SELECT norm, (unicode(substr(p, i, 1)) * 31 + unicode(substr(p, i + 1, 1))) % {SLOTS} AS slot, count(*) AS c
+    FROM (SELECT norm, ' ' || norm || ' ' AS p, unnest(range(1, length(norm) + 2)) AS i FROM {names}) GROUP BY 1, 2),
+  lengths AS (SELECT norm, sqrt(sum(c * c)) AS len FROM grams GROUP BY 1),
+  cosines AS (SELECT a.norm AS l_norm, b.norm AS r_norm, sum(a.c * b.c) / (any_value(x.len) * any_value(y.len)) AS cosine
+    FROM grams a JOIN grams b ON a.slot = b.slot AND a.norm < b.norm JOIN lengths x ON x.norm = a.norm JOIN lengths y ON y.norm = b.norm GROUP BY 1, 2)"""
+
+
+def said_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(norm, name, support, embedding): the words of all conversations."""
+    words = load(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("norm"))
+    return with_vectors(words.groupBy("norm").agg(F.count("*").alias("support")).select("norm", F.col("norm").alias("name"), "support"))
+
+
+SAID_WORDS = """words AS (SELECT norm, count(*) AS support FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS norm FROM conversations) GROUP BY 1)"""
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One context per page title: anchors as predicates, words of the title as children."""
+    one = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("norm"), F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("out"))
+    g = one.where("norm <> ''").groupBy("norm").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("out")))).alias("out_preds"), F.count("*").alias("occ_count"), F.array_sort(F.collect_set("page_id")).alias("document_ids"))
+    return with_vectors(g.select(
+        "norm", F.col("norm").alias("name"), "out_preds", F.array().cast("array<string>").alias("in_preds"), F.array_sort(F.array_distinct(F.split("norm", " "))).alias("child_terms"), "occ_count", "document_ids",
+        (F.length("norm") % 3).cast("long").alias("component_id")))
+
+
+TITLES = f"""pg AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS norm, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS o FROM pages),
+  titles AS (SELECT norm, list_distinct(flatten(list(o))) AS p, list_distinct(string_split(norm, ' ')) AS c, count(*) AS occ, length(norm) % 3 AS comp, list_distinct(list(page_id)) AS d FROM pg WHERE norm <> '' GROUP BY 1),
+  {slots_sql("titles")},
+  tp AS (SELECT l.norm AS l_norm, r.norm AS r_norm, l.comp <> r.comp AS apart, len(list_intersect(l.p, r.p)) AS ip, len(l.p) + len(r.p) AS sp, len(list_intersect(l.c, r.c)) AS ic, len(l.c) + len(r.c) AS sc,
+    least(l.occ, r.occ)::DOUBLE / greatest(l.occ, r.occ) AS occ, len(list_intersect(l.d, r.d)) AS shared, len(l.d) + len(r.d) AS sd FROM titles l JOIN titles r ON l.norm < r.norm),
+  ts AS (SELECT tp.l_norm, tp.r_norm, apart, (ip + ic)::BIGINT AS support, coalesce(cosine, 0) AS embedding, 1.0 - shared::DOUBLE / (sd - shared) AS doc_separation,
+    0.45 * (CASE WHEN sp = 0 THEN 0 ELSE ip::DOUBLE / (sp - ip) END) + 0.45 * (CASE WHEN sc = 0 THEN 0 ELSE ic::DOUBLE / (sc - ic) END) + 0.10 * occ AS structural FROM tp LEFT JOIN cosines USING (l_norm, r_norm)),
+  titled AS (SELECT *, 0.55 * structural + 0.45 * embedding AS combined, 0.40 * structural + 0.40 * embedding + 0.20 * doc_separation AS bridge FROM ts)"""
