@@ -122,6 +122,20 @@ def test_language_rejects_junk_and_keeps_labelled_texts(spark, docs_of):
     assert [r.text for r in lost.collect() if r.text and language_id.LETTER.search(r.text)] == []
 
 
+FINNISH = "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli jota puhuvat pääosin suomalaiset ja sitä puhutaan myös ruotsissa norjassa sekä virossa ja venäjällä monet vanhat sanat ovat säilyneet nykyaikaan asti hyvin samanlaisina vaikka maailma ympärillä on muuttunut paljon viime vuosisatojen aikana"
+
+
+def test_one_rejection_rule_at_every_size(spark, docs_of):
+    """Tables of a thousand and ten thousand rows reject the same, and no document of their own languages."""
+    rng = random.Random(5)
+    strange = [FINNISH, base64.b64encode(bytes(rng.randrange(256) for _ in range(450))).decode(), "".join(chr(rng.randrange(0x430, 0x450)) for _ in range(200))]
+    for size in ("0.01", "0.1"):
+        docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet")
+        model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+        assert all(r.rejected for r in language_id.predict(docs_of(strange), model).collect())
+        assert language_id.predict(docs, model, ("text",)).where(F.col("rejected") & F.col("text").rlike("[a-zA-Z]")).count() == 0
+
+
 def test_language_limits_follow_length():
     rng = np.random.default_rng(0)
     length = np.repeat([10, 16], 200)
