@@ -379,6 +379,17 @@ def graph_export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interchange.export_subgraph(nodes, edges, "", 300, 10_000_000)[2].select("node_count", "edge_count", "skipped_edges_outside_node_limit")
 
 
+@query(f"""WITH {LINKS}, n AS (SELECT src AS id FROM links UNION SELECT dst FROM links), k AS (SELECT id FROM n WHERE contains(lower(id), 'th') ORDER BY id LIMIT 50000),
+    e AS (SELECT src || '->' || dst AS id, src AS source, dst AS target FROM links WHERE contains(lower(src), 'th') OR contains(lower(dst), 'th') ORDER BY 1 LIMIT 100)
+    SELECT e.*, source IN (SELECT id FROM k) AND target IN (SELECT id FROM k) AS inside FROM e""")
+def graph_export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge limit that bites: of the edges that hold the text, the first, and which of them the export has."""
+    nodes, edges = _link_graph(spark, sf_dir)
+    kept, inside, _ = interchange.export_subgraph(nodes, edges, "TH", edge_limit=100)
+    held = edges.where(F.contains(F.lower("source"), F.lit("th")) | F.contains(F.lower("target"), F.lit("th"))).orderBy("id").limit(100)
+    return held.join(inside.select("id", F.lit(True).alias("inside")), "id", "left").select("id", "source", "target", F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
 @query(f"""WITH {LINKS}, n AS (SELECT src AS id FROM links UNION SELECT dst FROM links)
     SELECT (SELECT count(*) FROM n) AS created_nodes, 0::BIGINT AS updated_nodes, (SELECT count(*) FROM links) AS created_edges, 0::BIGINT AS skipped_edges""")
 def graph_import(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Paths written inside each open :func:`written` call.
-_scopes: list[list[str]] = []
+#: Paths written inside the open :func:`written` call of this thread (or task, or copied context).
+_scope: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -50,11 +51,13 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def written(make: Callable[[], DataFrame], label: str = "table") -> DataFrame:
     """``make()`` materialized; the tables that it materialized on the way are deleted, as nothing reads them any more."""
-    _scopes.append([])
+    made: list[str] = []
+    token = _scope.set(made)
     try:
-        return _write(make(), label)
+        return _write(make(), label, outer=token.old_value)
     finally:
-        for path in _scopes.pop():
+        _scope.reset(token)
+        for path in made:
             _delete(SparkSession.active(), path)
 
 
@@ -63,14 +66,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
     Unlike a local checkpoint the files survive the loss of an executor.
     """
-    return _write(df, label, _scopes[-1] if _scopes else None)
+    return _write(df, label, outer=_scope.get())
 
 
-def _write(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
+def _write(df: DataFrame, label: str, outer: object) -> DataFrame:
+    """``outer``: the list of the open call that deletes the table when it ends, if there is one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if made is not None:
-        made.append(path)
+    if isinstance(outer, list):
+        outer.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -110,12 +110,18 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def export_subgraph(nodes: DataFrame, edges: DataFrame, contains: str = "", node_limit: int = 50_000, edge_limit: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes whose labels or properties hold a text, the edges among them, and a row of counts.
 
-    The limits are the feature: an export for people. Nodes and edges are taken in order of id.
+    An edge passes the filter by its type, its properties or those of a node at its ends; only such edges count for the
+    limit and as skipped. The limits are the feature: an export for people. Nodes and edges are taken in order of id.
     """
     needle = contains.strip().lower()
     if needle:
         hit = lambda x: F.contains(F.lower(x), F.lit(needle))
-        nodes = nodes.where(F.exists("labels", hit) | F.exists(F.map_values("properties"), lambda v: F.coalesce(hit(v), F.lit(False))))
+        valued = F.coalesce(F.exists(F.map_values("properties"), lambda v: F.coalesce(hit(v), F.lit(False))), F.lit(False))
+        named = nodes.where(valued).select("id").distinct()
+        flags = [named.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}")) for c in ("source", "target")]
+        found = edges.withColumn("_own", F.coalesce(hit(F.col("type")), F.lit(False)) | valued).join(flags[0], "source", "left").join(flags[1], "target", "left")
+        edges = found.where(F.col("_own") | F.col("_source").isNotNull() | F.col("_target").isNotNull()).drop("_own", "_source", "_target")
+        nodes = nodes.where(F.exists("labels", hit) | valued)
     kept = nodes.orderBy("id").limit(node_limit)
     seen = edges.orderBy("id").limit(edge_limit)
     ids = kept.select(F.col("id").alias("source")).distinct()

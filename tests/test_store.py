@@ -3,10 +3,12 @@
 import hashlib
 import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from knotwork import session
 from knotwork.operators import evaluate, frames, grammar, mining, search, store, tables
 from knotwork.sources import interchange, readers
 from knotwork.streaming import ingest
@@ -310,6 +312,49 @@ def test_json_document(spark):
     assert "\n".join(lines) == json.dumps(want, ensure_ascii=False, indent=2)
 
 
+def test_export_filters_edges_before_the_limit(spark):
+    node = "id string, labels array<string>, properties map<string,string>"
+    nodes = spark.createDataFrame([("r1", ["X"], {"c": "red"}), ("r2", ["X"], {"c": "red"}), ("b1", ["X"], {"c": "Blue"}), ("b2", ["X"], {"c": "blue"}), ("l", ["Bluebird"], {"c": None})], node)
+    rows = [(1, "r1", "r2", "T", {}), (2, "r2", "r1", "T", {}), (3, "b1", "b2", "T", {}), (4, "r1", "b1", "T", {}), (5, "r1", "r2", "BLUE", {}), (6, "r1", "r2", "T", {"k": "so blue"}), (7, "l", "r1", "T", None), (8, "gone", "r1", None, {})]
+    edges = spark.createDataFrame(rows, "id long, source string, target string, type string, properties map<string,string>")
+
+    def export(**limits):
+        kept, inside, meta = interchange.export_subgraph(nodes, edges, "blue", **limits)
+        return sorted(r.id for r in kept.collect()), sorted(r.id for r in inside.collect()), meta.first().skipped_edges_outside_node_limit
+
+    assert export(edge_limit=2) == (["b1", "b2", "l"], [3], 1)
+    assert export() == (["b1", "b2", "l"], [3], 3)  # 4, 5 and 6 pass the filter; labels of end nodes do not count
+
+
+def test_written_in_threads(spark):
+    """What another thread stores while a call is open is not that call's to delete."""
+    opened, stored = threading.Event(), threading.Event()
+    kept = {}
+
+    def other():
+        opened.wait(60)
+        kept["own"] = session.materialize(spark.range(5), "other")
+        kept["nested"] = session.written(lambda: session.materialize(spark.range(3), "inner"), "other")
+        stored.set()
+
+    def make():
+        inner = session.materialize(spark.range(7), "inner")
+        again = session.written(lambda: session.materialize(inner, "deeper"), "again")
+        opened.set()
+        assert stored.wait(60)
+        kept["inner"], kept["again"] = inner, again
+        return again
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    out = session.written(make, "out")
+    thread.join()
+    assert (out.count(), kept["own"].count(), kept["nested"].count()) == (7, 5, 3)
+    for gone in ("inner", "again"):
+        with pytest.raises(Exception, match="(?i)not.?exist"):
+            kept[gone].count()
+
+
 def test_typed_properties(spark):
     doc = {"a b": 1, "t": True, "n": None, "l": [1, None, 2], "m": [[1], 2], "o": {"x": 1}, "s": "q", "e": []}
     df = spark.createDataFrame([(json.dumps(doc),), ("{}",)], "t string").select(F.parse_json("t").alias("v"))
