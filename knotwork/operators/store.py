@@ -88,27 +88,27 @@ def upsert(stored: DataFrame, fresh: DataFrame, key: Sequence[str], merge: dict[
     return joined.select(*(F.col(c) if c in key else value(c) for c in columns), (F.col("old").isNull()).alias("_created"))
 
 
-def assign_ids(merged: DataFrame, key: Sequence[str], stored: DataFrame) -> DataFrame:
-    """Ids for rows that an upsert created, after the largest stored id, in order of the key."""
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+def assign_ids(merged: DataFrame, key: Sequence[str], stored: DataFrame, top: int | None = None) -> DataFrame:
+    """Ids for rows that an upsert created, after the largest stored id (``top``, if it is known), in order of the key."""
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
     created = merged.where("_created").drop("id", "_created")
     kept = merged.where("not _created").drop("_created")
     return kept.unionByName(numbered(created, list(key), "id", top))
 
 
-def upsert_documents(stored: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
+def upsert_documents(stored: DataFrame, fresh: DataFrame, now: Column, top: int | None = None) -> DataFrame:
     """By content hash: a known document takes the new source name and keeps its id and time."""
     one = fresh.groupBy("content_hash").agg(F.max("source_name").alias("source_name")).withColumn("created_at", now)
     merged = upsert(stored, one, ["content_hash"], {"created_at": F.coalesce("old.created_at", "new.created_at")})
-    return assign_ids(merged, ["content_hash"], stored).select(*SCHEMAS["documents"].names)
+    return assign_ids(merged, ["content_hash"], stored, top).select(*SCHEMAS["documents"].names)
 
 
-def upsert_triplets(stored: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
+def upsert_triplets(stored: DataFrame, fresh: DataFrame, now: Column, top: int | None = None) -> DataFrame:
     """By the six-column key: a known triplet takes the new sentence only; a missing sentence is null."""
     key = KEYS["triplets"]
     one = fresh.groupBy(*key).agg(F.max(F.nullif(F.col("sentence_text"), F.lit(""))).alias("sentence_text")).withColumn("created_at", now)
     merged = upsert(stored, one, key, {"created_at": F.coalesce("old.created_at", "new.created_at"), "confidence": F.col("old.confidence")})
-    return assign_ids(merged, key, stored).select(*SCHEMAS["triplets"].names)
+    return assign_ids(merged, key, stored, top).select(*SCHEMAS["triplets"].names)
 
 
 def replace_by_key(stored: DataFrame, fresh: DataFrame, key: Sequence[str], owners: DataFrame | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def payload_frames(placed: DataFrame, triplets: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("triplet_id"), "sentence_text", roles)
 
 
-def save_frame_nodes(stored: DataFrame, nodes: DataFrame, instances: DataFrame, now: Column) -> DataFrame:
+def save_frame_nodes(stored: DataFrame, nodes: DataFrame, instances: DataFrame, now: Column, top: int | None = None) -> DataFrame:
     """The node table with flattened frames (triplet_id, role, ...) in place of those their instances had.
 
     A node that stays at its path keeps its id; new ones are numbered; paths that are gone go.
@@ -146,25 +146,27 @@ def save_frame_nodes(stored: DataFrame, nodes: DataFrame, instances: DataFrame,
     owners = fresh.select("frame_instance_id").distinct()
     known = stored.join(owners, "frame_instance_id", "left_semi").select(*key, "id", F.col("created_at").alias("since"))
     merged = fresh.join(known, key, "left").withColumn("created_at", F.coalesce("since", "created_at")).withColumn("_created", F.col("id").isNull()).drop("since")
-    placed = materialize(assign_ids(merged, key, stored), "placed")
+    placed = materialize(assign_ids(merged, key, stored, top), "placed")
     parents = placed.select("frame_instance_id", F.col("path").alias("parent_path"), F.col("id").alias("parent_node_id"))
     linked = placed.join(parents, ["frame_instance_id", "parent_path"], "left")
     names = SCHEMAS["frame_nodes"].names
     return stored.join(owners, "frame_instance_id", "left_anti").select(*names).unionByName(linked.select(*names))
 
 
-def save_triplets(store: dict[str, DataFrame], payload: DataFrame, now: Column, stage: str = "llm", empty_frames: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+def save_triplets(store: dict[str, DataFrame], payload: DataFrame, now: Column, stage: str = "llm", empty_frames: bool = False, tops: dict[str, int] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Save payload rows (source_name, content_hash, row_idx, *_text, sentence_text, and *_frame if there are any) and say how many.
 
     Idempotent: saving the same payload again changes source names at most. Each role's frame is kept as JSON
     (triplet_frames), as an occurrence (frame_instances) and as a tree of nodes with parents (frame_nodes).
-    Frames without any text are left out unless ``empty_frames`` asks for one in every role.
+    Frames without any text are left out unless ``empty_frames`` asks for one in every role. ``tops`` are the largest
+    ids by table where the store holds a part of the rows only (see :mod:`bucketed`).
     """
-    documents = materialize(upsert_documents(store["documents"], payload.select("source_name", "content_hash"), now), "documents")
+    tops = tops or {}
+    documents = materialize(upsert_documents(store["documents"], payload.select("source_name", "content_hash"), now, tops.get("documents")), "documents")
     placed = payload.join(documents.select("content_hash", F.col("id").alias("document_id")), "content_hash").withColumns({"row_idx": F.col("row_idx").cast("int"), "extraction_stage": F.lit(stage)})
     placed = materialize(placed, "placed")
     fresh = placed.select(*KEYS["triplets"], "sentence_text")
-    triplets = materialize(upsert_triplets(store["triplets"], fresh, now), "triplets")
+    triplets = materialize(upsert_triplets(store["triplets"], fresh, now, tops.get("triplets")), "triplets")
     mine = triplets.join(placed.select("document_id").distinct(), "document_id", "left_semi")
     key = ["triplet_id", "role"]
     flat = materialize(payload_frames(placed, triplets), "payload_frames")
@@ -175,13 +177,13 @@ def save_triplets(store: dict[str, DataFrame], payload: DataFrame, now: Column,
     frames = flat.select("triplet_id", "role", "frame_json", now.alias("created_at"))
     instances = flat.select("triplet_id", "role", "root_text", entity_name(F.col("root_text")).alias("root_norm"), "sentence_text", now.alias("created_at"))
     keep = {"created_at": F.coalesce("old.created_at", "new.created_at")}
-    placed_instances = materialize(assign_ids(upsert(store["frame_instances"], instances, key, keep), key, store["frame_instances"]).select(*SCHEMAS["frame_instances"].names), "instances")
+    placed_instances = materialize(assign_ids(upsert(store["frame_instances"], instances, key, keep), key, store["frame_instances"], tops.get("frame_instances")).select(*SCHEMAS["frame_instances"].names), "instances")
     out = dict(store) | {
         "documents": documents,
         "triplets": triplets,
-        "triplet_frames": assign_ids(upsert(store["triplet_frames"], frames, key, keep), key, store["triplet_frames"]).select(*SCHEMAS["triplet_frames"].names),
+        "triplet_frames": assign_ids(upsert(store["triplet_frames"], frames, key, keep), key, store["triplet_frames"], tops.get("triplet_frames")).select(*SCHEMAS["triplet_frames"].names),
         "frame_instances": placed_instances,
-        "frame_nodes": save_frame_nodes(store["frame_nodes"], nodes, placed_instances, now),
+        "frame_nodes": save_frame_nodes(store["frame_nodes"], nodes, placed_instances, now, tops.get("frame_nodes")),
     }
     counts = placed.agg(F.countDistinct("document_id").alias("documents")).join(mine.agg(F.count("*").alias("triplets"))).join(frames.agg(F.count("*").alias("frames")))
     return out, counts

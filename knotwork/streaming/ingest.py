@@ -3,6 +3,9 @@
 The store is a folder of Parquet tables with a version per batch; a batch reads the last version and writes
 the tables that it changes into the next, so a repeated or failed batch leaves the readers' version as it was
 and concepts, aliases and links stay where they were written.
+
+With ``bucketed`` the saved tables are kept in buckets under a manifest: a batch reads and writes what it touches, so
+its cost does not grow with the batches before it, and a batch that comes again changes nothing.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.bucketed import save_payload
 from ..operators.store import SAVED, SCHEMAS, empty_store, save_triplets
 from ..sources.readers import explode_payload, payload_rows
 
@@ -50,8 +54,18 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
     save_store(saved, folder, batch_id, SAVED)
 
 
-def start_ingest(spark: SparkSession, source: str, folder: str, checkpoint: str) -> StreamingQuery:
+def ingest_bucketed(batch: DataFrame, batch_id: int, folder: str) -> dict[str, int]:
+    """One micro-batch into a bucketed store; says how many buckets of each table were written."""
+    payload = batch.select("source_name", F.try_parse_json("text").alias("payload"))
+    return save_payload(batch.sparkSession, folder, payload_rows(explode_payload(payload)), F.current_timestamp(), batch_id, empty_frames=True)
+
+
+def start_ingest(spark: SparkSession, source: str, folder: str, checkpoint: str, bucketed: bool = False) -> StreamingQuery:
     """Watch a folder of payload files; the checkpoint folder remembers which were taken."""
     files = spark.readStream.format("text").option("wholetext", "true").load(source)
     named = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_name"), F.col("value").alias("text"))
-    return named.writeStream.foreachBatch(lambda df, i: ingest_batch(df, i, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def save(df: DataFrame, batch_id: int) -> None:
+        (ingest_bucketed if bucketed else ingest_batch)(df, batch_id, folder)
+
+    return named.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
