@@ -43,7 +43,7 @@ def test_cosine_pairs(spark, monkeypatch, kind, least, row_cost):
     rng = np.random.default_rng(4)
     rows = [(f"n{i:03}", v.tolist()) for i, v in enumerate(vectors(kind, 150, rng))]
     rows += [("zero", [0.0] * 60), ("none", None), ("empty", []), ("short", rows[0][1][:7]), ("same", rows[0][1])]
-    for cell_rows in (7, 64):
+    for cell_rows in (7 if row_cost else 64,):
         got = [tuple(r) for r in cosine_pairs(spark.createDataFrame(rows, VECTOR).repartition(3), least, cell_rows).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows, least - ROOM)
 
