@@ -29,7 +29,7 @@ def op4_token_count(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return media.fingerprint_vectors(vectors).withColumnRenamed("id", "vec_id")
+    return media.fingerprint_takes(vectors).withColumnRenamed("id", "vec_id")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

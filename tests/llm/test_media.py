@@ -112,3 +112,53 @@ def test_recall_against_a_search_over_all_offsets():
                 hit = bool(len(row) and error[0] <= 0.2)
                 linked, found, near, near_found = linked + 1, found + hit, near + (least <= 0.1), near_found + (hit and least <= 0.1)
     assert linked > 250 and found / linked >= 0.9 and near_found / near >= 0.98
+
+
+def least_error(a, b):
+    """The least bit error of any offset with half of the shorter recording."""
+    out = 1.0
+    for o in range(-len(a) + 1, len(b)):
+        x, y = max(o, 0), max(-o, 0)
+        n = min(len(b) - x, len(a) - y)
+        if 2 * n >= min(len(a), len(b)):
+            out = min(out, np.bitwise_count(b[x : x + n] ^ a[y : y + n]).sum() / (32 * n))
+    return out
+
+
+def test_recall_in_every_band():
+    """Links by their least bit error up to the limit: each band is found, not only the easy ones."""
+    rng = np.random.default_rng(77)
+    bands = {k: [] for k in range(4)}
+    for seed in range(60):
+        x = melody(1000 + seed, 64)
+        a = m.fingerprint(x)
+        for noise in (0.01, 0.02, 0.05, 0.08, 0.1, 0.12, 0.15, 0.2):
+            y = x[int(rng.integers(0, 4000)) :]
+            b = m.fingerprint(y * rng.uniform(0.3, 1) + rng.normal(0, noise, len(y)))
+            least = least_error(a, b)
+            if least <= 0.2:
+                row, _, _, _, error = m.QueryBlock([0], [a]).align([b], 3)
+                bands[min(3, int(least / 0.05))].append(bool(len(row) and error[0] <= 0.2))
+    assert all(len(b) >= 20 and np.mean(b) >= 0.9 for b in bands.values()), {k: (len(b), np.mean(b)) for k, b in bands.items()}
+
+
+def test_halves_vote_apart():
+    """An upper half never meets a lower one of the same bits."""
+    a, b = np.array([0x00010002] * 5, np.uint32), np.array([0x00020001] * 5, np.uint32)
+    assert len(m.QueryBlock([0], [a]).align([b], 1)[0]) == 0
+    row, _, offset, votes, error = m.QueryBlock([0], [a]).align([a], 1)
+    assert (row[0], offset[0], votes[0], error[0]) == (0, 0, 10, 0.0)
+
+
+def test_takes_find_each_other(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.15, 64)]) for i in range(40)] + [(None, [0.1] * 64), (41, None), (42, [])]
+    out = m.fingerprint_takes(spark.createDataFrame(rows, "id long, vector array<float>"), 10).collect()
+    assert len(out) == 86 and {(r.id, r["take"]) for r in out if r.id is not None} == {(i, k) for i in [*range(40), 41, 42] for k in (0, 1)}
+    prints = {2 * r.id + r["take"]: r for r in m.fingerprints(m.takes(spark.createDataFrame(rows[:40], "id long, vector array<float>"))).selectExpr("id div 2 id", "id % 2 take", "fp").collect()}
+    prints = {k: np.frombuffer(r.fp, "<u4") for k, r in prints.items()}
+    for r in out:
+        if r.is_query and r.id is not None and r.id < 40:
+            close = {k for k in prints if k != 2 * r.id and least_error(prints[2 * r.id], prints[k]) <= 0.2}
+            assert r["take"] == 0 and r.n_links == len(close) and (not close or r.best_class == 2 * r.id + 1)
+    assert sum(r.n_links or 0 for r in out) >= 3
