@@ -36,6 +36,7 @@ CLASSES, FILTERS, WIDTH = 12, 16, 16
 THRESHOLDS = np.array([-0.12, 0.0, 0.12])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 NOTE = 256  # samples of a rendered note
+SLICE = 128  # recordings that a task holds decoded or rendered at once
 
 
 def decode_wav(data: bytes | None) -> np.ndarray | None:
@@ -134,56 +135,62 @@ def fingerprints(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if (f := fingerprint(decode_wav(m))) is None else f.astype("<u4").tobytes() for m in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "fp"])
+            for a in range(0, batch.num_rows, SLICE):
+                out = [None if (f := fingerprint(decode_wav(m))) is None else f.astype("<u4").tobytes() for m in batch.column(1).slice(a, SLICE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, SLICE), pa.array(out, pa.binary())], names=["id", "fp"])
 
     return media.select(F.col("id").cast("long").alias("id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, "id long, fp binary")
 
 
-def render(vectors: DataFrame) -> DataFrame:
-    """(id, vector) to (id, media): a melody whose notes follow the vector's numbers, as WAV bytes.
+def melody(v: list[float] | None) -> bytes | None:
+    """WAV bytes whose notes follow the numbers; None without any."""
+    if not v:
+        return None
+    x = np.nan_to_num(np.array([0.0 if a is None else a for a in v], float))
+    note = np.clip(np.floor((np.clip(x / 0.3, -1, 1) + 1) * 12), 0, 23)
+    t = np.arange(NOTE) / RATE
+    return encode_wav((0.5 * np.sin(2 * np.pi * (110 * 2 ** (note / 12))[:, None] * t)).ravel())
 
-    The given tables hold no audio; this makes a media column whose recordings are alike if the vectors are.
-    """
 
-    def one(v: list[float] | None) -> bytes | None:
-        if not v:
-            return None
-        x = np.nan_to_num(np.array([0.0 if a is None else a for a in v], float))
-        note = np.clip(np.floor((np.clip(x / 0.3, -1, 1) + 1) * 12), 0, 23)
-        t = np.arange(NOTE) / RATE
-        return encode_wav((0.5 * np.sin(2 * np.pi * (110 * 2 ** (note / 12))[:, None] * t)).ravel())
+def other_take(i: int | None, media: bytes | None) -> bytes | None:
+    """The recording again: cut at the front, quieter, noisy, as drawn from its id; the same without an id."""
+    x = decode_wav(media)
+    if i is None or x is None:
+        return media
+    rng = np.random.default_rng(abs(i))
+    y = x[min(int(rng.integers(0, 2000)), len(x) // 2) :]
+    return encode_wav(y * rng.uniform(0.3, 1) + rng.normal(0, rng.uniform(0, 0.1), len(y)))
 
+
+def _recordings(vectors: DataFrame, both: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array([one(v) for v in batch.column(1).slice(a, 256).to_pylist()], pa.binary())], names=["id", "media"])
+            for a in range(0, batch.num_rows, SLICE):
+                ids = batch.column(0).slice(a, SLICE).to_pylist()
+                media = [melody(v) for v in batch.column(1).slice(a, SLICE).to_pylist()]
+                if both:
+                    media = [m for i, first in zip(ids, media, strict=True) for m in (first, other_take(i, first))]
+                    ids = [None if i is None else 2 * i + k for i in ids for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], names=["id", "media"])
 
     return vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "id long, media binary")
 
 
+def render(vectors: DataFrame) -> DataFrame:
+    """(id, vector) to (id, media): a melody whose notes follow the vector's numbers, as WAV bytes.
+
+    The given tables hold no audio; this makes a media column whose recordings are alike if the vectors are.
+    """
+    return _recordings(vectors, False)
+
+
 def takes(vectors: DataFrame) -> DataFrame:
     """(id, vector) to (id, media): two recordings of each vector, 2 * id the melody, 2 * id + 1 another take of it.
 
     The other take starts up to 2,000 samples later, is quieter and has noise of up to a fifth of the melody's amplitude,
     all drawn from its id, so that recordings of one melody have to be aligned to be found.
     """
-
-    def other(i: int | None, media: bytes | None) -> bytes | None:
-        x = decode_wav(media)
-        if i is None or x is None:
-            return media
-        rng = np.random.default_rng(abs(i))
-        y = x[min(int(rng.integers(0, 2000)), len(x) // 2) :]
-        return encode_wav(y * rng.uniform(0.3, 1) + rng.normal(0, rng.uniform(0, 0.1), len(y)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, media = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            both = [m for i, m in zip(ids, media, strict=True) for m in (m, other(i, m))]
-            yield pa.RecordBatch.from_arrays([pa.array([None if i is None else 2 * i + k for i in ids for k in (0, 1)], pa.int64()), pa.array(both, pa.binary())], names=["id", "media"])
-
-    return render(vectors).mapInArrow(run, "id long, media binary")
+    return _recordings(vectors, True)
 
 
 def halves(prints: np.ndarray) -> np.ndarray:
