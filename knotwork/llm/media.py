@@ -81,7 +81,8 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     out = []
     for a in range(0, len(frames), 1024):
-        out.append((np.abs(np.fft.rfft(frames[a : a + 1024] * np.hanning(FRAME))) ** 2) @ pitch_classes())
+        spectrum = np.fft.rfft(frames[a : a + 1024] * np.hanning(FRAME))
+        out.append((spectrum.real**2 + spectrum.imag**2) @ pitch_classes())
     x = np.concatenate(out)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.where(norm > 1e-6, x / np.maximum(norm, 1e-6), 0)
@@ -121,8 +122,7 @@ def fingerprint(samples: np.ndarray | None) -> np.ndarray | None:
         return np.zeros(0, np.uint32)
     image = np.zeros((len(c) + 1, CLASSES + 1))
     image[1:, 1:] = c.cumsum(0).cumsum(1)
-    at = np.arange(n)
-    area = lambda x, y, w, h: image[at + x + w, y + h] - image[at + x, y + h] - image[at + x + w, y] + image[at + x, y]
+    area = lambda x, y, w, h: image[x + w : x + w + n, y + h] - image[x : x + n, y + h] - image[x + w : x + w + n, y] + image[x : x + n, y]
     out = np.zeros(n, np.uint32)
     for plus, minus in filter_bank():
         response = np.log1p(sum(area(*r) for r in plus)) - np.log1p(sum(area(*r) for r in minus))
@@ -152,25 +152,26 @@ def melody(v: list[float] | None) -> bytes | None:
     return encode_wav((0.5 * np.sin(2 * np.pi * (110 * 2 ** (note / 12))[:, None] * t)).ravel())
 
 
-def other_take(i: int | None, media: bytes | None) -> bytes | None:
-    """The recording again: cut at the front, quieter, noisy, as drawn from its id; the same without an id."""
+def other_take(i: int, media: bytes | None) -> bytes | None:
+    """The recording again: cut at the front, quieter, noisy, as drawn from its id."""
     x = decode_wav(media)
-    if i is None or x is None:
+    if x is None:
         return media
     rng = np.random.default_rng(abs(i))
     y = x[min(int(rng.integers(0, 2000)), len(x) // 2) :]
     return encode_wav(y * rng.uniform(0.3, 1) + rng.normal(0, rng.uniform(0, 0.1), len(y)))
 
 
-def _recordings(vectors: DataFrame, both: bool) -> DataFrame:
+def _recordings(vectors: DataFrame, every: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, SLICE):
                 ids = batch.column(0).slice(a, SLICE).to_pylist()
                 media = [melody(v) for v in batch.column(1).slice(a, SLICE).to_pylist()]
-                if both:
-                    media = [m for i, first in zip(ids, media, strict=True) for m in (first, other_take(i, first))]
-                    ids = [None if i is None else 2 * i + k for i in ids for k in (0, 1)]
+                if every is not None:
+                    again = [(2 * i + 1, other_take(i, m)) for i, m in zip(ids, media, strict=True) if i is not None and i % every == 0]
+                    ids = [None if i is None else 2 * i for i in ids] + [i for i, _ in again]
+                    media += [m for _, m in again]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], names=["id", "media"])
 
     return vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "id long, media binary")
@@ -181,16 +182,16 @@ def render(vectors: DataFrame) -> DataFrame:
 
     The given tables hold no audio; this makes a media column whose recordings are alike if the vectors are.
     """
-    return _recordings(vectors, False)
+    return _recordings(vectors, None)
 
 
-def takes(vectors: DataFrame) -> DataFrame:
-    """(id, vector) to (id, media): two recordings of each vector, 2 * id the melody, 2 * id + 1 another take of it.
+def takes(vectors: DataFrame, every: int) -> DataFrame:
+    """(id, vector) to (id, media): 2 * id is the melody, 2 * id + 1 another take of it where ``every`` divides id.
 
     The other take starts up to 2,000 samples later, is quieter and has noise of up to a fifth of the melody's amplitude,
     all drawn from its id, so that recordings of one melody have to be aligned to be found.
     """
-    return _recordings(vectors, True)
+    return _recordings(vectors, every)
 
 
 def halves(prints: np.ndarray) -> np.ndarray:
@@ -232,13 +233,16 @@ class QueryBlock:
             found.append((bar, votes))
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0),)
-        bar, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        votes = np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
+        if len(found) > 1:
+            bar, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            votes = np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
+        enough = votes >= least_votes
+        bar, votes = bar[enough], votes[enough]
         pair, offset = bar >> 32, (bar & 0xFFFFFFFF) - (1 << 31)
         by = np.lexsort((offset, -votes, pair))
         start = np.diff(pair[by], prepend=-1) != 0
         highest = votes[by][np.flatnonzero(start)][np.cumsum(start) - 1]
-        top = by[(votes[by] >= least_votes) & (2 * votes[by] >= highest)]
+        top = by[2 * votes[by] >= highest]
         r, q, offset, votes = pair[top] // len(self.ids), pair[top] % len(self.ids), offset[top], votes[top]
         a = np.maximum(offset, 0)
         n = np.minimum(sizes[r] - a, self.sizes[q] - np.maximum(-offset, 0))
@@ -316,10 +320,10 @@ def fingerprint_vectors(vectors: DataFrame, every: int = 100) -> DataFrame:
 
 
 def fingerprint_takes(vectors: DataFrame, every: int = 100) -> DataFrame:
-    """Both recordings of each vector (``takes``), fingerprinted and aligned; the melodies of ids divisible by ``every`` ask.
+    """Recordings of all vectors (``takes``), fingerprinted and aligned; the melodies of ids divisible by ``every`` ask.
 
     id is the vector's, take 0 or 1 (null for a null id); class_id and best_class are recordings, 2 * id + take.
     """
-    prints = materialize(fingerprints(takes(vectors)), "prints")
+    prints = materialize(fingerprints(takes(vectors, every)), "prints")
     found = align_recordings(prints, 2 * every)
     return found.select(F.floor(F.col("id") / 2).alias("id"), F.pmod("id", F.lit(2)).alias("take"), *(c for c in found.columns if c != "id"))
