@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_text, is_marker, null_like, prefix_numeric, squash, strip_units
+from ..session import materialize
 
 HORIZONTAL_MARK = "1.7"
+#: Digits with marks of ranges, signs and comparisons.
+DATA = "^(?=.*\\d)[\\d,.\\s\\-–±≤≥<>×]+$"
 
 
 def repair_decimal_commas(cells: Column, width: Column) -> Column:
@@ -142,9 +145,16 @@ def comparison_triplets(table: DataFrame) -> DataFrame:
     return named.where(~null_like(F.col("predicate")) & (F.col("subject") != ""))
 
 
-def drop_technical(table: DataFrame) -> DataFrame:
-    """Rows of bare indices go, and so does a first column of enumeration markers."""
-    rows = table.where(~F.forall("cells", lambda c: F.trim(c).rlike("^\\d*$")) | ~F.exists("cells", lambda c: F.trim(c) != ""))
+def drop_technical(table: DataFrame, keep_continued: bool = False) -> DataFrame:
+    """Rows of bare indices go, and so does a first column of enumeration markers.
+
+    ``keep_continued`` keeps rows of numbers whose first cell is empty, from the third row on: they continue a row.
+    """
+    bare = F.forall("cells", lambda c: F.trim(c).rlike("^\\d*$")) & F.exists("cells", lambda c: F.trim(c) != "")
+    if keep_continued:
+        table = clean_rows(table)
+        bare = bare & ((F.col("row_idx") < 3) | (F.get("cells", F.lit(0)) != ""))
+    rows = table.where(~bare)
     numbered = clean_rows(rows)
     marks = numbered.groupBy("table_file").agg(F.bool_and((F.col("row_idx") == 1) | is_marker(F.get("cells", F.lit(0)))).alias("marked"), F.count("*").alias("n"))
     return numbered.join(marks, "table_file").select("table_file", "row_idx", F.when(F.col("marked") & (F.col("n") > 1), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))).otherwise(F.col("cells")).alias("cells"))
@@ -152,18 +162,69 @@ def drop_technical(table: DataFrame) -> DataFrame:
 
 def rule_triplets(table: DataFrame) -> DataFrame:
     """Deterministic extraction: technical rows and columns out, matrix rule, null-like cells out, numbers named."""
-    rows = drop_technical(table)
+    return _matrix_rule(drop_technical(table))
+
+
+def _matrix_rule(rows: DataFrame) -> DataFrame:
     corner = rows.where("row_idx = 1").select("table_file", F.get("cells", F.lit(0)).alias("corner"))
     found = ordinary_triplets(rows).where(~null_like(F.col("predicate")) & ~null_like(F.col("subject")))
     obj = F.when(null_like(F.col("object")), "").otherwise(F.col("object"))
     return found.join(corner, "table_file", "left").select("table_file", "row_idx", "col_idx", prefix_numeric(F.col("subject"), F.col("corner")).alias("subject"), "predicate", obj.alias("object"))
 
 
+def merge_headers(table: DataFrame) -> DataFrame:
+    """Headers of two rows become one row; the other rows are numbered on.
+
+    A header has two rows if its first leaves a cell after the corner empty (or generated), as a name over several
+    columns does, its second holds few data (``header_rows``), and a row follows.
+    """
+    rows = clean_rows(table)
+    at = lambda n: F.max(F.when(F.col("row_idx") == n, F.col("cells")))
+    spread = F.exists(F.slice("top", 2, F.greatest(F.size("top") - 1, F.lit(0))), lambda c: (c == "") | c.startswith("Unnamed"))
+    heads = rows.groupBy("table_file").agg(at(1).alias("top"), at(2).alias("bottom"), F.max("row_idx").alias("n")).where((F.col("n") > 2) & (F.size("top") > 1) & spread & (header_rows(F.col("bottom")) == 2))
+    cells = heads.select("table_file", F.posexplode(F.arrays_zip("top", "bottom")).alias("col_idx", "c")).select("table_file", "col_idx", "c.top", "c.bottom")
+    names = flatten_header(cells).groupBy("table_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "name"))), lambda x: x["name"]).alias("header"))
+    merged = rows.join(names, "table_file", "left").where(F.col("header").isNull() | (F.col("row_idx") != 2))
+    return clean_rows(merged.select("table_file", "row_idx", F.when(F.col("row_idx") == 1, F.coalesce("header", "cells")).otherwise(F.col("cells")).alias("cells")))
+
+
+def table_kinds(table: DataFrame) -> DataFrame:
+    """(table_file, row_idx, cells, kind): each table's rows under the rule that its shape asks for.
+
+    ``horizontal``: names over one row of values, that is, two rows of which the second starts with data and the first
+    has none, or a file with the horizontal mark. Of the others, without technical rows and columns and with merged
+    headers: ``vertical`` where no row has over two cells and the first row's second is data, so there is no header;
+    ``comparison`` where a row without a first cell continues the row above; else ``matrix``, which also covers an entity
+    with its properties. A table without a filled cell has no row.
+    """
+    is_data = lambda c: F.trim(c).rlike(DATA)
+    rows = clean_rows(table)
+    at = lambda n: F.max(F.when(F.col("row_idx") == n, F.col("cells")))
+    two = rows.groupBy("table_file").agg(at(1).alias("a"), at(2).alias("b"), F.max("row_idx").alias("n"))
+    named = (F.col("n") == 2) & (F.size("a") > 1) & is_data(F.coalesce(F.get("b", F.lit(0)), F.lit(""))) & ~F.exists("a", is_data)
+    flat = two.where(F.contains("table_file", F.lit(HORIZONTAL_MARK)) | F.coalesce(named, F.lit(False))).select("table_file")
+    horizontal = rows.join(flat, "table_file", "left_semi").withColumn("kind", F.lit("horizontal"))
+    rest = drop_technical(merge_headers(table.join(flat, "table_file", "left_anti")), True)
+    tail = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
+    continues = (F.col("row_idx") > 1) & null_like(F.get("cells", F.lit(0))) & F.exists(tail, lambda c: ~null_like(c))
+    shape = rest.groupBy("table_file").agg(F.max(F.size("cells")).alias("width"), at(1).alias("a"), F.bool_or(continues).alias("continued"))
+    kind = F.when((F.col("width") == 2) & is_data(F.coalesce(F.get("a", F.lit(1)), F.lit(""))), "vertical").when(F.col("continued"), "comparison").otherwise("matrix")
+    return horizontal.unionByName(rest.join(shape.select("table_file", kind.alias("kind")), "table_file"))
+
+
+def triplets_by_shape(tables: DataFrame) -> DataFrame:
+    """Tables of all kinds at once, each by the rule of its kind; null-like slots but the object give nothing."""
+    shaped = materialize(table_kinds(tables), "shapes")
+    of = lambda kind: shaped.where(F.col("kind") == kind).drop("kind")
+    full = lambda found: found.where(~null_like(F.col("subject")) & ~null_like(F.col("predicate")))
+    return _matrix_rule(of("matrix")).unionByName(full(horizontal_triplets(of("horizontal")))).unionByName(full(vertical_triplets(of("vertical")))).unionByName(comparison_triplets(of("comparison")))
+
+
 def extract_triplets(tables: DataFrame, backend=None) -> DataFrame:
     """Triplets of tables by a pluggable backend: a mapInPandas function over (table_file, prompt), which gives
-    (table_file, row_idx, col_idx, subject, predicate, object). Without one the deterministic rules apply."""
+    (table_file, row_idx, col_idx, subject, predicate, object). Without one the rule of each table's shape applies."""
     if backend is None:
-        return rule_triplets(tables)
+        return triplets_by_shape(tables)
     return prompt_tables(tables).mapInPandas(backend, "table_file string, row_idx int, col_idx int, subject string, predicate string, object string")
 
 

@@ -129,6 +129,43 @@ def rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.extract_triplets(_raw_parts(spark, sf_dir)).groupBy("table_file", "subject").agg(F.count("*").alias("triplets"))
 
 
+def _raw_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw tables of all shapes: a matrix of parts, headers of two rows over nations, two columns for each supplier,
+    names over values for each customer, a comparison with a continued row for each order."""
+
+    def rows(df: DataFrame, file, *lines) -> DataFrame:
+        cells = F.array(*(F.array(*(c if not isinstance(c, str) else F.lit(c) for c in line)) for line in lines))
+        return df.select(file.alias("table_file"), F.posexplode(cells).alias("row_idx", "cells")).withColumn("row_idx", F.col("row_idx").cast("long"))
+
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"), F.lit(".csv"))
+    word = lambda c: F.col(c).cast("string")
+    nation, supplier, customer, orders = (load(spark, sf_dir, x) for x in ("nation", "supplier", "customer", "orders"))
+    heads = rows(nation.select("n_regionkey").distinct(), name("n", "n_regionkey"), ("nation", "ids", ""), ("", "key", "region"))
+    body = nation.select(name("n", "n_regionkey").alias("table_file"), (F.col("n_nationkey") + 2).cast("long").alias("row_idx"), F.array("n_name", word("n_nationkey"), word("n_regionkey")).alias("cells"))
+    upright = rows(supplier, name("s", "s_suppkey"), ("nation", word("s_nationkey")), ("supplier", F.col("s_name")))
+    level = rows(customer, name("c", "c_custkey"), ("key", "segment"), (word("c_custkey"), F.col("c_mktsegment")))
+    compared = rows(
+        orders, name("o", "o_orderkey"), ("order", "customer", "priority"), ("code", F.concat(word("o_custkey"), F.lit("-")), F.col("o_orderstatus")), ("", (F.col("o_custkey") + 1).cast("string"), F.col("o_orderpriority"))
+    )
+    parts = _raw_parts(spark, sf_dir)
+    return parts.unionByName(heads).unionByName(body).unionByName(upright).unionByName(level).unionByName(compared)
+
+
+@query(f"""WITH {_RAW},
+    n AS (SELECT 'n' || n_regionkey || '.csv' AS table_file, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_idx, n_name, n_nationkey, n_regionkey FROM nation)
+    SELECT table_file, row_idx, col_idx, CASE WHEN regexp_full_match(p_name, '[0-9]+') THEN 'name ' || p_name ELSE p_name END AS subject,
+      [p_brand, p_type, p_size][col_idx] AS predicate, ['brand', 'type', 'size'][col_idx] AS object FROM raw, (SELECT unnest([1, 2, 3]) AS col_idx)
+    UNION ALL SELECT table_file, row_idx, col_idx, n_name, CAST([n_nationkey, n_regionkey][col_idx] AS VARCHAR), ['key ids', 'region ids'][col_idx] FROM n, (SELECT unnest([1, 2]) AS col_idx)
+    UNION ALL SELECT 's' || s_suppkey || '.csv', 1, 1, 'nation', CAST(s_nationkey AS VARCHAR), '' FROM supplier
+    UNION ALL SELECT 's' || s_suppkey || '.csv', 2, 1, 'supplier', s_name, '' FROM supplier
+    UNION ALL SELECT 'c' || c_custkey || '.csv', 2, 0, 'key', CAST(c_custkey AS VARCHAR), '' FROM customer
+    UNION ALL SELECT 'c' || c_custkey || '.csv', 2, 1, 'segment', c_mktsegment, '' FROM customer
+    UNION ALL SELECT 'o' || o_orderkey || '.csv', 2, 1, 'code', o_custkey || '-' || (o_custkey + 1), 'customer' FROM orders
+    UNION ALL SELECT 'o' || o_orderkey || '.csv', 2, 2, 'code', o_orderstatus || o_orderpriority, 'priority' FROM orders""")
+def shape_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.extract_triplets(_raw_shapes(spark, sf_dir))
+
+
 # Text functions
 
 

@@ -124,6 +124,44 @@ def test_rules_drop_markers_indices_and_null_cells(spark):
     assert triplets(tables.rule_triplets(raw)) == [(2, "ABC", "0.1", "Cu"), (4, "Сталь 7", "0.3", "Cu")]
 
 
+def test_rule_follows_the_shape(spark):
+    raw = readers.tables_from_rows(
+        spark,
+        {
+            "matrix": [["0", "1", "2"], ["№", "Сталь", "Cu"], ["1", "ABC", "0.1"], ["2", "type2", "-"], ["3", "7", "0.3"]],
+            "entity": [["0", "effect", "state"], ["1", "finer grain", "NbCy"], ["2", "slower growth", "NbC"]],
+            "one": [["steel", "Cu"], ["ABC", "0.1"]],
+            "across": [["width", "height", "note"], ["10", "20", "-"]],
+            "whole": [["width", "height"], ["10", "20"]],
+            "x1.7": [["w", "h"], ["wide", "high"]],
+            "down": [["1", "width", "10"], ["2", "height", "5-7"]],
+            "compared": [["kind", "m1", "m2"], ["speed", "10-", "30-"], ["", "20", "40"], ["mass", "5", "-"]],
+            "two rows": [["steel", "content", ""], ["", "Cu", "Mg"], ["ABC", "0.1", "0.2"], ["DEF", "0.3", "."]],
+            "corner": [["", "a", "b"], ["x", "red", "blue"], ["y", "green", "grey"]],
+            "empty": [["", ""]],
+        },
+    )
+    kinds = {r.table_file: r.kind for r in tables.table_kinds(raw).select("table_file", "kind").distinct().collect()}
+    matrix = {"matrix", "entity", "one", "two rows", "corner"}
+    assert kinds == {k: "matrix" for k in matrix} | {k: "horizontal" for k in ("across", "whole", "x1.7")} | {"down": "vertical", "compared": "comparison"}
+    out = {}
+    for r in sorted(tables.extract_triplets(raw).collect()):
+        out.setdefault(r.table_file, []).append((r.subject, r.predicate, r.object))
+    assert out == {
+        "matrix": [("ABC", "0.1", "Cu"), ("Сталь 7", "0.3", "Cu")],
+        "entity": [("finer grain", "NbCy", "state"), ("slower growth", "NbC", "state")],
+        "one": [("ABC", "0.1", "Cu")],
+        "across": [("width", "10", ""), ("height", "20", "")],
+        "whole": [("width", "10", ""), ("height", "20", "")],
+        "x1.7": [("w", "wide", ""), ("h", "high", "")],
+        "down": [("width", "10", ""), ("height", "5-7", "")],
+        "compared": [("speed", "10-20", "m1"), ("speed", "30-40", "m2"), ("mass", "5", "m1")],
+        "two rows": [("ABC", "0.1", "Cu content"), ("ABC", "0.2", "Mg content"), ("DEF", "0.3", "Cu content")],
+        "corner": [("x", "red", "a"), ("x", "blue", "b"), ("y", "green", "a"), ("y", "grey", "b")],
+    }
+    assert tables.extract_triplets(raw.where("false")).count() == 0
+
+
 def test_headers(spark):
     df = spark.createDataFrame([(["x", "y", "1"],), (["1", "2,5", "x"],), ([],), (None,), (["≤ 5", "-", "Unnamed: 4"],)], "second array<string>")
     assert [r[0] for r in df.select(tables.header_rows(F.col("second"))).collect()] == [2, 1, 2, 1, 1]
