@@ -198,13 +198,13 @@ def table_kinds(table: DataFrame) -> DataFrame:
     with its properties. A table without a filled cell has no row.
     """
     is_data = lambda c: F.trim(c).rlike(DATA)
-    rows = clean_rows(table)
+    rows = materialize(clean_rows(table), "rows")
     at = lambda n: F.max(F.when(F.col("row_idx") == n, F.col("cells")))
     two = rows.groupBy("table_file").agg(at(1).alias("a"), at(2).alias("b"), F.max("row_idx").alias("n"))
     named = (F.col("n") == 2) & (F.size("a") > 1) & is_data(F.coalesce(F.get("b", F.lit(0)), F.lit(""))) & ~F.exists("a", is_data)
     flat = two.where(F.contains("table_file", F.lit(HORIZONTAL_MARK)) | F.coalesce(named, F.lit(False))).select("table_file")
     horizontal = rows.join(flat, "table_file", "left_semi").withColumn("kind", F.lit("horizontal"))
-    rest = drop_technical(merge_headers(table.join(flat, "table_file", "left_anti")), True)
+    rest = materialize(drop_technical(merge_headers(rows.join(flat, "table_file", "left_anti")), True), "rest")
     tail = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
     continues = (F.col("row_idx") > 1) & null_like(F.get("cells", F.lit(0))) & F.exists(tail, lambda c: ~null_like(c))
     shape = rest.groupBy("table_file").agg(F.max(F.size("cells")).alias("width"), at(1).alias("a"), F.bool_or(continues).alias("continued"))
