@@ -379,3 +379,14 @@ def test_default_thresholds_lose_no_pair(spark):
     contexts = spark.createDataFrame(rows, "norm string, name string, out_preds array<string>, in_preds array<string>, child_terms array<string>, occ_count long, document_ids array<int>, embedding array<double>")
     passed = lambda df: {(r.l_norm, r.r_norm, round(r.structural, 9), round(r.combined, 9)) for r in df.where("round(structural, 12) >= 0.10").collect()}
     assert passed(mining.context_pair_scores(contexts, True, 0.10)) == passed(mining.context_pair_scores(contexts, True, 0.0))
+
+
+def test_containment_candidates_follow_the_rows(spark):
+    """Strings that differ in a number only: the rarest trigram of each is in a hundredth of the others."""
+    name = F.concat(F.lit("item-"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit("x"))
+    empty = F.array().cast("array<string>")
+    for inner, outer in ((name, F.concat(F.lit("the "), name, F.lit(" of steel"))), (F.concat(F.lit("the "), name, F.lit(" of steel")), name)):
+        rest = spark.range(1000).select(F.col("id").alias("row_key"), inner.alias("c_subject"), F.lit("is").alias("c_predicate"), F.lit("part").alias("c_object"))
+        index = spark.range(1000).select(F.col("id").alias("entry"), F.array(outer).alias("f_subject"), empty.alias("f_predicate"), empty.alias("f_object"))
+        found = {tuple(r) for r in evaluate.containment_candidates(rest, index).collect()}
+        assert {(k, k) for k in range(1000)} <= found and len(found) < 2000
