@@ -129,3 +129,18 @@ def test_aliases_over_any_limit(spark, least):
     rows = [(r.norm, list(r.embedding)) for r in table.collect()]
     want = brute(rows, least - 1e-12)
     assert {tuple(sorted(p)) for p in got} == want and ("bada goku", "bada gokus") in got
+
+
+def test_scored_pairs_move_no_vectors(spark):
+    """The join's own cosines are those of the expression, and a vector of any width is not joined to its pairs again."""
+    rows = [(f"n{i:03}", v.tolist()) for i, v in enumerate(vectors("counts", 90, np.random.default_rng(5)))]
+    table = spark.createDataFrame(rows, VECTOR)
+    full = dict(rows)
+    for r in cosine_join.cosine_scores(table, 0.5, 16).collect():
+        a, b = np.array(full[r.l_norm]), np.array(full[r.r_norm])
+        assert r.cosine == pytest.approx(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b), abs=1e-14)
+    found = mining.alias_candidates(table.select("norm", F.col("norm").alias("name"), F.lit(1).alias("support"), "embedding"), least_cosine=0.5)
+    assert found.count() > 0
+    c = contexts(spark, 30, True)
+    scored = mining.context_pair_scores(c, candidates=cosine_join.cosine_scores(c, 0.5))
+    assert "l_embedding" not in scored.columns and scored.count() > 0
