@@ -7,6 +7,8 @@ pairs of many rows are first looked for among pairs of high scores, which only s
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,8 +260,55 @@ def alias_candidates(vertices: DataFrame, least_support: int = 1, least_cosine:
     return _first(materialize(rows, "aliases"), [F.desc("_c"), F.desc("support"), "l_name", "r_name", "canonical_norm", "alias_norm"], limit).drop("_c", "l_name", "r_name")
 
 
+#: Rows of a cell of the exact search: vectors, queries, and queries at once.
+NEIGHBOUR_CELL, QUERY_CELL, QUERIES_AT_ONCE = 1 << 15, 1 << 13, 64
+
+
+def _nearest(k: int):
+    """applyInArrow body: the queries (side 1) and vectors (side 0) of a cell to each query's ``k`` nearest in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, lists = table.column("side").to_numpy(), table.column("embedding").combine_chunks()
+        start, length = lists.offsets.to_numpy()[:-1], np.diff(lists.offsets.to_numpy())
+        values = np.asarray(lists.values.to_numpy(zero_copy_only=False), np.float64)
+        full = np.zeros((table.num_rows, max(1, int(length.max(initial=0)))))
+        row = np.repeat(np.arange(table.num_rows), length)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        full[row, at] = values[np.repeat(start, length) + at]
+        size = np.sqrt((full * full).sum(1))
+        ids = table.column("id").combine_chunks()
+        rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        mine, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        n, found = min(k + 1, len(mine)), []
+        for a in range(0, len(asked), QUERIES_AT_ONCE):
+            q = asked[a : a + QUERIES_AT_ONCE]
+            scale = size[q][:, None] * size[mine]
+            cosine = np.divide(full[q] @ full[mine].T, scale, out=np.zeros(scale.shape), where=scale > 0)
+            # Order by cosine at six digits, then id; a query itself comes last.
+            order = np.floor(cosine * 1e6 + 0.5) * len(rank) - rank[mine]
+            order[rank[q][:, None] == rank[mine]] = -np.inf
+            best = np.argpartition(-order, n - 1, axis=1)[:, :n] if n else np.zeros((len(q), 0), np.int64)
+            owner = np.repeat(np.arange(len(q)), n)
+            keep = np.isfinite(order[owner, best.ravel()])
+            found.append((q[owner[keep]], mine[best.ravel()[keep]], cosine[owner[keep], best.ravel()[keep]]))
+        q, v, cosine = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (mine[:0], mine[:0], size[:0])
+        return pa.table({"query_id": ids.take(pa.array(q)), "id": ids.take(pa.array(v)), "cosine": pa.array(cosine, pa.float64())})
+
+    return run
+
+
 def top_neighbours(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
-    """The ``k`` most similar vectors of each query row (id, embedding); a query is not its own neighbour."""
-    asked = vectors.where(queries).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-    scored = vectors.join(asked, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("cosine"))
+    """The ``k`` most similar vectors of each query row (id, embedding); a query is not its own neighbour.
+
+    Every query meets every vector, in cells of bounded size, each a matrix product that keeps the best of each query.
+    """
+    known = vectors.select("id", F.coalesce(F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))), F.array().cast("array<double>")).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks")).where("id is not null")
+    rows, asked = known.agg(F.count("*"), F.count_if("asks")).first()
+    across, down = max(1, -(-rows // NEIGHBOUR_CELL)), max(1, -(-asked // QUERY_CELL))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = known.select("id", "embedding", F.lit(0).alias("side"), deal(across).alias("i"), every(down).alias("j"))
+    sides = sides.unionByName(known.where("asks").select("id", "embedding", F.lit(1).alias("side"), deal(down).alias("j"), every(across).alias("i")))
+    kind = dict(vectors.dtypes)["id"]
+    scored = sides.groupBy("i", "j").applyInArrow(_nearest(k), f"query_id {kind}, id {kind}, cosine double").withColumn("cosine", F.round("cosine", 6))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k)

@@ -144,3 +144,23 @@ def test_scored_pairs_move_no_vectors(spark):
     c = contexts(spark, 30, True)
     scored = mining.context_pair_scores(c, candidates=cosine_join.cosine_scores(c, 0.5))
     assert "l_embedding" not in scored.columns and scored.count() > 0
+
+
+def test_top_neighbours_in_cells(spark, monkeypatch):
+    """Cells of any size give what all pairs give: ties by id, zero, null, short and repeated vectors too."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(90)] + [(90, None), (91, []), (92, [0.0] * 4), (93, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>").cache()
+    asked = table.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    every = table.join(asked, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(similarity.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+    want = {}
+    for r in sorted(every.collect(), key=lambda r: (r.query_id, -r.cosine, r.id)):
+        want.setdefault(r.query_id, []).append((r.id, r.cosine))
+    for cell in (7, 1000):
+        monkeypatch.setattr(mining, "NEIGHBOUR_CELL", cell)
+        monkeypatch.setattr(mining, "QUERY_CELL", 4)
+        got = {}
+        for r in mining.top_neighbours(table, F.col("id") % 10 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, r.cosine))
+        assert got == {q: x[:5] for q, x in want.items()}
+    assert "NestedLoopJoin" not in mining.top_neighbours(table, F.col("id") % 10 == 0)._jdf.queryExecution().executedPlan().toString()
