@@ -232,9 +232,12 @@ def orphans(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame
 
 
 def concept_nodes(triplets: DataFrame) -> DataFrame:
-    """(norm, name): concepts of subjects and objects; the first spelling, by (triplet id, role), stays."""
+    """(norm, name): concepts of subjects and objects; the first spelling, by (triplet id, role), stays.
+
+    Equal spellings are counted together by hash first: choosing a name sorts its rows, and a task would sort all of its own.
+    """
     ends = triplets.select("id", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("subject_text").alias("name")), F.struct(F.lit(1).alias("side"), F.col("object_text").alias("name")))))
-    return ends.withColumn("norm", entity_name(F.col("name"))).where("norm <> ''").groupBy("norm").agg(F.min_by("name", F.struct("id", "side")).alias("name"))
+    return ends.withColumn("norm", entity_name(F.col("name"))).where("norm <> ''").groupBy("norm", "name", "side").agg(F.min("id").alias("id")).groupBy("norm").agg(F.min_by("name", F.struct("id", "side")).alias("name"))
 
 
 def relation_edges(triplets: DataFrame) -> DataFrame:

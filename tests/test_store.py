@@ -390,3 +390,11 @@ def test_containment_candidates_follow_the_rows(spark):
         index = spark.range(1000).select(F.col("id").alias("entry"), F.array(outer).alias("f_subject"), empty.alias("f_predicate"), empty.alias("f_object"))
         found = {tuple(r) for r in evaluate.containment_candidates(rest, index).collect()}
         assert {(k, k) for k in range(1000)} <= found and len(found) < 2000
+
+
+def test_first_spelling_sorts_few_rows(spark):
+    """The rows of each concept are reduced by hash before one name is chosen."""
+    rows = [(3, "A b", "x"), (1, "a B", "X"), (2, "a b", "A B"), (1, "a B", "a b")]
+    nodes = store.concept_nodes(spark.createDataFrame(rows, "id long, subject_text string, object_text string"))
+    assert {tuple(r) for r in nodes.collect()} == {("a b", "a B"), ("x", "X")}
+    assert "HashAggregate" in nodes._jdf.queryExecution().executedPlan().toString()
