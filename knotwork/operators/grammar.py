@@ -2,7 +2,7 @@
 
 Input is a token table (sentence_id, id, text, lemma, upos, feats map, head, deprel); a parser is plugged in
 front of it. Rules are filters and self-joins on (sentence_id, head); closures are short loops, since parse
-trees are shallow.
+trees are shallow. Both sides of such a join follow the sentences, so neither is broadcast, however small its files are.
 """
 
 from __future__ import annotations
@@ -62,8 +62,8 @@ def _core(tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Predicates; subjects (sentence_id, pred, word, ord); objects likewise."""
     preds = tokens.where(is_predicate()).select("sentence_id", F.col("id").alias("pred"), F.col("head").alias("pred_head"), F.col("deprel").alias("pred_deprel"), F.col("text").alias("pred_text"), short_adjective().alias("pred_short"))
     markers = tokens.where("deprel = 'case'").groupBy("sentence_id", F.col("head").alias("id")).agg(F.min_by(F.lower("text"), "id").alias("prep"))
-    nouns = tokens.where(F.col("upos").isin(*NOUNS)).join(markers, ["sentence_id", "id"], "left")
-    near = nouns.join(preds.select("sentence_id", F.col("pred")), (nouns["head"] == F.col("pred")) & (nouns["sentence_id"] == preds["sentence_id"])).select(nouns["*"], "pred")
+    nouns = tokens.where(F.col("upos").isin(*NOUNS)).join(markers.hint("merge"), ["sentence_id", "id"], "left")
+    near = nouns.join(preds.select("sentence_id", F.col("pred")).hint("merge"), (nouns["head"] == F.col("pred")) & (nouns["sentence_id"] == preds["sentence_id"])).select(nouns["*"], "pred")
     accusative = feature("Case", "Acc")
     subject = F.col("deprel").isin(*SUBJECT_RELATIONS) & ~accusative
     obj = (
@@ -97,8 +97,8 @@ def replace_pronouns(tokens: DataFrame, words: DataFrame) -> DataFrame:
     gender = F.when(F.col("form").endswith("ый"), "Masc").when(F.col("form").endswith("ая"), "Fem").when(F.col("form").endswith("ое"), "Neut")
     number = F.when(F.col("form").endswith("ые"), "Plur").otherwise("Sing")
     fits = (F.try_element_at("feats", F.lit("Number")) == number) & (gender.isNull() | (F.try_element_at("feats", F.lit("Gender")) == gender))
-    found = pron.join(nouns, "sentence_id").where((F.col("noun") < F.col("word")) & F.coalesce(fits, F.lit(False))).groupBy("sentence_id", "word").agg(F.max("noun").alias("noun"))
-    return words.join(found, ["sentence_id", "word"], "left").select("sentence_id", "pred", F.coalesce("noun", "word").alias("word"), F.col("word").alias("was")).distinct()
+    found = pron.join(nouns.hint("merge"), "sentence_id").where((F.col("noun") < F.col("word")) & F.coalesce(fits, F.lit(False))).groupBy("sentence_id", "word").agg(F.max("noun").alias("noun"))
+    return words.join(found.hint("merge"), ["sentence_id", "word"], "left").select("sentence_id", "pred", F.coalesce("noun", "word").alias("word"), F.col("word").alias("was")).distinct()
 
 
 def arguments(tokens: DataFrame, share_objects: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,11 +135,11 @@ def sentence_triplets(tokens: DataFrame, separate: bool = True, share_objects: b
     preds, subjects, objects = arguments(tokens, share_objects)
     s = subjects.select("sentence_id", "pred", F.col("word").alias("subject_id"))
     o = objects.select("sentence_id", "pred", F.col("word").alias("object_id"))
-    joined = preds.where(~F.lower("pred_text").isin(*MODALS)).join(s, ["sentence_id", "pred"], "left").join(o, ["sentence_id", "pred"], "left")
+    joined = preds.where(~F.lower("pred_text").isin(*MODALS)).join(s.hint("merge"), ["sentence_id", "pred"], "left").join(o.hint("merge"), ["sentence_id", "pred"], "left")
     if not separate:
         joined = joined.where("subject_id is not null or object_id is not null")
     word = lambda role: tokens.select("sentence_id", F.col("id").alias(f"{role}_id"), F.col("text").alias(role))
-    named = joined.join(word("subject"), ["sentence_id", "subject_id"], "left").join(word("object"), ["sentence_id", "object_id"], "left")
+    named = joined.join(word("subject").hint("merge"), ["sentence_id", "subject_id"], "left").join(word("object").hint("merge"), ["sentence_id", "object_id"], "left")
     rows = named.select("sentence_id", F.coalesce("subject", F.lit("")).alias("subject"), F.col("pred_text").alias("predicate"), F.coalesce("object", F.lit("")).alias("object"), "subject_id", F.col("pred").alias("predicate_id"), "object_id")
     first = Window.partitionBy("sentence_id", "subject", "predicate", "object").orderBy("predicate_id", "subject_id", "object_id")
     return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
@@ -148,7 +148,7 @@ def sentence_triplets(tokens: DataFrame, separate: bool = True, share_objects: b
 def root_triplets(tokens: DataFrame) -> DataFrame:
     """Sentences whose root is a noun: the root and its coordinated nouns, with empty predicate and object."""
     root = tokens.where((F.col("deprel") == "root") & F.col("upos").isin(*NOUNS)).groupBy("sentence_id").agg(F.min("id").alias("root"))
-    with_root = tokens.join(root, "sentence_id")
+    with_root = tokens.join(root.hint("merge"), "sentence_id")
     mine = (F.col("id") == F.col("root")) | ((F.col("head") == F.col("root")) & (F.col("deprel") == "conj") & F.col("upos").isin(*NOUNS))
     return with_root.where(mine).select("sentence_id", F.col("text").alias("subject"), F.lit("").alias("predicate"), F.lit("").alias("object"), F.col("id").alias("subject_id"), F.lit(None).cast("int").alias("predicate_id"), F.lit(None).cast("int").alias("object_id"))
 
@@ -158,7 +158,7 @@ def extract(tokens: DataFrame, separate: bool = True, share_objects: bool = Fals
     if not separate:
         return sentence_triplets(tokens, False, share_objects)
     roots = root_triplets(tokens)
-    rest = tokens.join(roots.select("sentence_id").distinct(), "sentence_id", "left_anti")
+    rest = tokens.join(roots.select("sentence_id").distinct().hint("merge"), "sentence_id", "left_anti")
     return roots.unionByName(sentence_triplets(rest, True, share_objects))
 
 

@@ -398,3 +398,12 @@ def test_first_spelling_sorts_few_rows(spark):
     nodes = store.concept_nodes(spark.createDataFrame(rows, "id long, subject_text string, object_text string"))
     assert {tuple(r) for r in nodes.collect()} == {("a b", "a B"), ("x", "X")}
     assert "HashAggregate" in nodes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grammar_broadcasts_no_tokens(spark):
+    tokens = spark.range(30).select(F.col("id").alias("sentence_id"), F.inline(F.array(*(
+        F.struct(F.lit(i).alias("id"), F.lit(t).alias("text"), F.lit(t).alias("lemma"), F.lit(tag).alias("upos"), F.create_map().cast("map<string,string>").alias("feats"), F.lit(head).alias("head"), F.lit(rel).alias("deprel"))
+        for i, t, tag, head, rel in ((1, "bolt", "NOUN", 2, "nsubj"), (2, "weighs", "VERB", 0, "root"), (3, "Brand", "PROPN", 2, "obj"))))))
+    found = grammar.extract(tokens)
+    assert {tuple(r) for r in found.select("subject", "predicate", "object").collect()} == {("bolt", "weighs", "Brand")} and found.count() == 30
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 4
