@@ -282,7 +282,7 @@ def survivors(docs: DataFrame, columns: tuple[str, ...], threshold: int = 2) ->
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, 512) for c in batch.columns), pa.array(marks, pa.int64())], names=[*columns, "_mark"])
 
     rows = docs.select(*columns).mapInArrow(marked, T.StructType(list(schema.fields)).add("_mark", "long")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return rows.join(stays, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*columns)
+    return rows.join(stays.hint("merge"), ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -164,3 +164,10 @@ def test_group_of_near_copies_gives_a_forest(spark):
     df = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, low long")
     out = s.link_components(df).collect()
     assert len(out) == len(fps) and len({r.root for r in out}) == 1
+
+
+def test_survivors_are_not_broadcast(spark, docs_of):
+    """Those that stay are nearly as many as the documents."""
+    kept = s.survivors(docs_of(["one two three four", "five six seven eight", "one two three four"]), ("doc_id", "text"))
+    assert "LeftSemi" in (plan := kept._jdf.queryExecution().optimizedPlan().toString()) and "strategy=merge" in plan
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
