@@ -1,5 +1,7 @@
 """Text functions and table rules on literal rows, with results worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,36 @@ def test_rule_follows_the_shape(spark):
     assert tables.extract_triplets(raw.where("false")).count() == 0
 
 
+def test_shapes_take_one_shuffle_of_the_rows(spark, monkeypatch):
+    """Odd tables by shape: as by the operators step by step, with the rows dealt out once and once more for runs."""
+    rng = random.Random(3)
+    pool = ["", "", "a", "b b", "1", "2,5", "35", "-", "null", "№ 1", "a)", "2.", "Unnamed: 3", "3-5", "+", " x ", '"', None, "≤ 4", "name"]
+    rows = []
+    for t in range(150):
+        width, numbered = rng.choice([1, 2, 2, 3, 4, 6]), rng.random() < 0.4
+        for r in range(rng.choice([1, 2, 2, 3, 4, 5, 8])):
+            cells = [rng.choice(pool) for _ in range(max(0, width + rng.choice([0, 0, 0, 1, -1])))]
+            rows.append((f"t{t}{'-1.7' if t % 9 == 0 else ''}.csv", r * 3, [rng.choice(["1", "2)", "№"]), *cells] if numbered and r else cells))
+    rng.shuffle(rows)
+    table = tables.materialize(spark.createDataFrame(rows, "table_file string, row_idx long, cells array<string>"))
+
+    kinds = tables.materialize(tables.table_kinds(table))
+    of = lambda kind: kinds.where(F.col("kind") == kind).drop("kind")
+    full = lambda found: found.where(~text.null_like(F.col("subject")) & ~text.null_like(F.col("predicate")))
+    flat = of("horizontal").select("table_file").distinct()
+    rest = tables.drop_technical(tables.merge_headers(tables.clean_rows(table).join(flat, "table_file", "left_anti")), True)
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(kinds.where("kind <> 'horizontal'").select("table_file", "row_idx", "cells")) == key(rest.select("table_file", "row_idx", "cells"))
+    want = tables._matrix_rule(of("matrix")).unionByName(full(tables.horizontal_triplets(of("horizontal")))).unionByName(full(tables.vertical_triplets(of("vertical")))).unionByName(tables.comparison_triplets(of("comparison")))
+
+    plans, store = [], tables.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tables, "materialize", lambda df, *a: plans.append(plan(df)) or store(df, *a))
+    got = tables.triplets_by_shape(table)
+    assert key(got.select(want.columns)) == key(want) and len({r.kind for r in kinds.collect()}) == 4
+    assert sum(p.count("Exchange hashpartitioning") for p in [*plans, plan(got)]) == 2
+
+
 def test_headers(spark):
     df = spark.createDataFrame([(["x", "y", "1"],), (["1", "2,5", "x"],), ([],), (None,), (["≤ 5", "-", "Unnamed: 4"],)], "second array<string>")
     assert [r[0] for r in df.select(tables.header_rows(F.col("second"))).collect()] == [2, 1, 2, 1, 1]
