@@ -106,6 +106,20 @@ def test_language_against_brute_force(spark, docs_of):
         assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4)
 
 
+def test_language_learns_from_every_row(spark, docs_of):
+    """Centroids of more rows than a sample of 240 for each language, and limits that one odd row of each half lowers."""
+    rng = random.Random(14)
+    stems = ["the", "house", "with", "which", "garden", "river"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["", "s", "en"]) for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    rows = docs_of(texts).withColumn("lang", F.lit("en"))
+    model = language_id.fit(rows)
+    want = brute_language([(t, "en") for t in texts], texts[:50], 8192, 3)
+    got = {r.doc_id: r.score for r in language_id.predict(rows, model).collect()}
+    assert max(abs(got[i] - score) for i, (score, _) in enumerate(want)) < 1e-4
+    odd = language_id.fit(docs_of([*texts, "zyx wvu", "qqq jjj"]).withColumn("lang", F.lit("en")))
+    assert odd.limits.min() < model.limits.min()
+
+
 def test_language_rejects_junk_and_keeps_labelled_texts(spark, docs_of):
     docs = read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang")
     rng = random.Random(4)
