@@ -143,17 +143,16 @@ class Stage:
 class Rows:
     """Some stored rows as one list of weights."""
 
-    lang: np.ndarray  # by row, like doc_id and start
+    lang: np.ndarray  # by row, like doc_id
     doc_id: np.ndarray
-    start: np.ndarray  # its first weight
     owner: np.ndarray  # by weight: its row
     gram: np.ndarray
     weight: np.ndarray
 
     def cosines(self, centers: np.ndarray, live: np.ndarray) -> np.ndarray:
-        by_gram = centers.transpose(0, 2, 1)
-        found = np.add.reduceat(by_gram[self.lang[self.owner], self.gram] * self.weight[:, None], self.start, axis=0)
-        return np.where(live[self.lang], found, -np.inf)
+        at = self.lang[self.owner] * centers[0].size + self.gram
+        found = [np.bincount(self.owner, centers.reshape(-1)[at + j * centers.shape[2]] * self.weight) for j in range(centers.shape[1])]
+        return np.where(live[self.lang], np.stack(found, 1), -np.inf)
 
 
 def _stored(batches: Iterator[pa.RecordBatch], stage: Stage) -> Iterator[Rows]:
@@ -169,9 +168,8 @@ def _stored(batches: Iterator[pa.RecordBatch], stage: Stage) -> Iterator[Rows]:
             weight = log * stage.idf[gram]
             weight /= np.sqrt(np.bincount(owner, weight * weight))[owner]
             code = np.array([number[x] for x in lang.to_pylist()])
-            start = np.searchsorted(owner, np.arange(len(held)))
             ids = np.array([-1 if x is None else x for x in doc_id.to_pylist()])
-            yield Rows(code, ids, start, owner, gram, weight)
+            yield Rows(code, ids, owner, gram, weight)
 
 
 def _sums(stored: DataFrame, stage: Stage, first: bool) -> dict[int, np.ndarray]:
